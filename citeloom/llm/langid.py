@@ -164,6 +164,8 @@ class Identifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """(language, pooled probability) of each text; und and 0 for a null text or one without a letter."""
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         names, values = [], []
         for s in range(0, len(texts), 500):
             split = [(t or "").lower().split() for t in texts[s : s + 500]]
@@ -174,7 +176,7 @@ class Identifier:
             get = self.memo.__getitem__
             for tokens in split:
                 sums = self.table[np.array(list(map(get, tokens)), np.int64)].sum(axis=0, dtype=np.float64)
-                if sums[-1] == 0 or not self.languages:
+                if sums[-1] == 0:
                     names.append("und")
                     values.append(0.0)
                 else:
