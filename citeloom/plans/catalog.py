@@ -12,7 +12,7 @@ from citeloom.operators import chunking, citations, context, embed, figures, lay
 from citeloom.plans import manifest, store
 from citeloom.sources import fixtures as fx
 from citeloom.sources import listing, spans
-from citeloom.streaming import watch
+from citeloom.streaming import feed, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -687,3 +687,10 @@ def str04_stable(spark, sf_dir):
     e = fx.fixture(spark, sf_dir, "events")
     size = F.max(F.when(F.col("event_id") % 23 != 0, F.floor(F.col("size") / 100)))
     return watch.stable(e.groupBy("path", "us").agg(size.alias("size")))
+
+
+@query(f"""SELECT path, op FROM (SELECT coalesce(m.rel_path, l.rel_path) AS path, CASE WHEN m.rel_path IS NULL THEN 'created' WHEN l.rel_path IS NULL THEN 'deleted' WHEN m.size_bytes <> l.size_bytes OR m.mtime <> l.mtime THEN 'modified' END AS op
+  FROM {_MAN} m FULL JOIN {_LIST} l ON m.rel_path = l.rel_path) WHERE op IS NOT NULL""")
+def str05_differences(spark, sf_dir):
+    before, after = (d.withColumnRenamed("rel_path", "path") for d in _both(spark, sf_dir))
+    return feed.differences(before, after)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +23,20 @@ SPAN_SCHEMA = (
 
 def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
     """Span rows of files (rel_path, content), a file at a time; a failing file gives one row with its error."""
-    names = [c.split(" ")[0] for c in SPAN_SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in SPAN_SCHEMA.split(", "))])
 
-    def run(frames):
-        for frame in frames:
-            for path, content in zip(frame["rel_path"], frame["content"], strict=True):
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [{"rel_path": path} | row for row in extractor(path, bytes(content))]
+                    rows = [{"rel_path": path} | row for row in extractor(path, content)]
                 except Exception as problem:  # one bad file must not end the batch
                     rows = [{"rel_path": path, "error": f"{type(problem).__name__}: {problem}"[:2000]}]
-                yield pd.DataFrame(rows, columns=names).astype({"page_number": "Int32", "block": "Int32", "line": "Int32", "span": "Int32"})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     with_python_path(files.sparkSession)
-    return files.select("rel_path", "content").mapInPandas(run, SPAN_SCHEMA)
+    return files.select("rel_path", "content").mapInArrow(run, SPAN_SCHEMA)
 
 
 def text_lines(spans: DataFrame) -> DataFrame:
@@ -57,3 +58,13 @@ def graphics(spans: DataFrame) -> DataFrame:
 def only_pages(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """rows of the pages that the cheap test flagged, ahead of an expensive extractor."""
     return rows.join(flagged.select("rel_path", "page_number").distinct(), ["rel_path", "page_number"], "left_semi")
+
+
+def plain_text(path: str, content: bytes) -> Iterable[dict]:
+    """An extractor of text files: form feeds part pages, and each line is a span of a single column."""
+    if b"\0" in content:
+        raise ValueError("not a text file")
+    for page, text in enumerate(content.decode("utf-8", "replace").split("\f"), 1):
+        for no, line in enumerate(text.split("\n")):
+            y = 60.0 + 12 * no
+            yield {"page_number": page, "block": no, "line": 0, "span": 0, "kind": "text", "text": line, "dir_y": 0.0, "x0": 50.0, "y0": y, "x1": 560.0, "y1": y + 10, "width": 612.0, "height": max(792.0, y + 60)}

@@ -73,7 +73,7 @@ class SizeGate:
                     told = True
                     out.append((key[0], int(us)))
         state.update((size, since, told))
-        yield pd.DataFrame(out, columns=["path", "stable_at"])
+        yield pd.DataFrame(out, columns=["path", "stable_at"]).astype({"path": object})
 
 
 def stable_stream(looks: DataFrame, wait: float = STABLE) -> DataFrame:
