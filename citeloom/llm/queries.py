@@ -108,8 +108,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+#: A source's slots take its stream from the start, over and over, up to its target; so what a document gives follows
+#: from where it stands in the stream. Targets: sources fill up in the order of size over weight.
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+    md5(concat('mix-1:', coalesce(doc_id::VARCHAR, 'null'))) AS d FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 1.5::DOUBLE * sum(n) OVER () AS goal FROM by_source),
+steps AS (
+  SELECT *, coalesce(sum(2 * n) OVER (ORDER BY n::DOUBLE / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_n,
+    sum(w) OVER (ORDER BY n::DOUBLE / w, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS free_w, row_number() OVER (ORDER BY n::DOUBLE / w, nth) AS k FROM weighed),
+cut AS (SELECT full_n, free_w, k FROM steps WHERE (goal - full_n) * w / free_w <= 2.0::DOUBLE * n ORDER BY k LIMIT 1),
+targets AS (SELECT s.source, s.n, CASE WHEN c.k IS NULL OR s.k < c.k THEN 2.0::DOUBLE * s.n ELSE (s.goal - c.full_n) * s.w / c.free_w END AS target FROM steps s LEFT JOIN cut c ON true),
+stream AS (
+  SELECT doc_id, size, n AS source_size, target, floor(target)::BIGINT AS take,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ('0x' || substring(d, 1, 4))::INT % 256, d, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - ahead)) END::BIGINT AS taken FROM stream
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op5_license_scan": license_sql()}
+    return {"op4_url_filter": OP4_SQL, "op5_license_scan": license_sql(), "op7_mix": OP7_SQL}
 
 
 def license_sql() -> str:
