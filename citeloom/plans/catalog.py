@@ -73,6 +73,13 @@ def src08_text_lines(spark, sf_dir):
     return spans.text_lines(s).select(F.col("rel_path").alias("doc_id"), "page_number", F.col("block").alias("line_number"), "text", "x0", "y0", "x1", "y1")
 
 
+@query(f"""SELECT page_number, count(*) AS n, min(x0) AS x0, max(y1) AS y1 FROM {fx.DUCK_BOXES} WHERE pos % 3 <> 2 GROUP BY page_number""")
+def src09_graphics(spark, sf_dir):
+    kind = F.when(F.col("pos") % 3 == 0, "drawing").when(F.col("pos") % 3 == 1, "image").otherwise("text")
+    rows = spans.graphics(fx.boxes(spark, sf_dir).withColumnRenamed("doc_id", "rel_path").withColumn("kind", kind))
+    return rows.groupBy("page_number").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
+
+
 @query(f"""SELECT page_number, count(*) AS n FROM {fx.DUCK_LINES} l SEMI JOIN (SELECT DISTINCT doc_id, page_number FROM {fx.DUCK_LINES} WHERE contains(text, 'License')) f USING (doc_id, page_number) GROUP BY page_number""")
 def src10_flagged_pages(spark, sf_dir):
     rows = fx.lines(spark, sf_dir).withColumnRenamed("doc_id", "rel_path")
@@ -113,6 +120,12 @@ def snk07_documents(spark, sf_dir):
     return store.document_names(fx.fixture(spark, sf_dir, "hits"))
 
 
+@query(f"SELECT image_path FROM {fx.duck('hits')} WHERE document_name = 'doc_3.pdf' AND image_path <> ''")
+def snk08_image_paths(spark, sf_dir):
+    rows = fx.fixture(spark, sf_dir, "hits").withColumnRenamed("document_name", "doc_uid")
+    return store.image_paths(rows, "doc_3.pdf")
+
+
 @query(f"""SELECT image_path FROM (SELECT image_path FROM {fx.duck("hits")} EXCEPT SELECT image_path FROM {fx.duck("hits")} WHERE content_type = 'table') WHERE starts_with(image_path, '/img/')""")
 def snk09_orphans(spark, sf_dir):
     before = fx.fixture(spark, sf_dir, "hits")
@@ -521,6 +534,11 @@ def cit04_verify(spark, sf_dir):
     return _checked(spark, sf_dir).select("answer_id", "ord", "verified", "hit_ord", "snippet")
 
 
+@query(f"""WITH {_CITED}, {_VERIFY} SELECT c.answer_id, c.ord::INT AS ord, coalesce(h.content_type, '') AS content_type, coalesce(h.caption, '') AS caption, coalesce(h.image_path, '') AS image_path FROM checked c LEFT JOIN hits h USING (query_id, hit_ord)""")
+def cit05_enrich(spark, sf_dir):
+    return _checked(spark, sf_dir).select("answer_id", "ord", "content_type", "caption", "image_path")
+
+
 @query(f"SELECT query_id, hit_ord, concat('[', document_name, ', Page ', page_number, ', Line ', line_start, '-', line_end, ']') AS raw, true AS verified FROM {fx.duck('hits')}")
 def cit06_from_hits(spark, sf_dir):
     return citations.from_hits(fx.fixture(spark, sf_dir, "hits")).select("query_id", "hit_ord", "raw", "verified")
@@ -548,6 +566,12 @@ def _both(spark, sf_dir):
     return fx.fixture(spark, sf_dir, "manifest"), fx.fixture(spark, sf_dir, "listing")
 
 
+@query(f"SELECT doc_uid, document_name, status, chunk_count FROM {_MAN} WHERE doc_uid = substring(sha1('src/doc_3.pdf'), 1, 16)")
+def man01_get(spark, sf_dir):
+    rows = fx.fixture(spark, sf_dir, "manifest")
+    return rows.where(F.col("doc_uid") == tx.doc_uid(F.lit("src/doc_3.pdf"))).select("doc_uid", "document_name", "status", "chunk_count")
+
+
 @query(f"SELECT document_name, doc_uid FROM {_MAN}")
 def man02_by_name(spark, sf_dir):
     return manifest.by_name(fx.fixture(spark, sf_dir, "manifest")).select("document_name", "doc_uid")
