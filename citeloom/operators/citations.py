@@ -39,12 +39,12 @@ def verify(cited: DataFrame, hits: DataFrame, slack: int = SLACK) -> DataFrame:
     """
     key = ["answer_id", "ord"]
     named = hits.withColumn("doc_key", F.lower("document_name"))
-    docs = named.groupBy("query_id", "doc_key").agg(F.min("hit_ord").alias("doc_ord")).withColumn("stem", F.regexp_replace("doc_key", r"\.pdf$", ""))
-    asked = cited.withColumn("_doc", F.lower("document_name"))
-    same = asked.join(docs.select("query_id", F.col("doc_key").alias("_doc"), F.lit(True).alias("_has")), ["query_id", "_doc"], "left")
-    other = same.where("_has is null").withColumn("stem", F.regexp_replace("_doc", r"\.pdf$", ""))
-    other = other.join(docs, ["query_id", "stem"]).groupBy(*key).agg(F.min_by("doc_key", "doc_ord").alias("_other"))
-    asked = same.join(other, key, "left").withColumn("doc_key", F.coalesce("_other", "_doc"))
+    docs = named.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("hit_ord", "doc_key"))).alias("_docs"))  # a question's hits are few
+    stem = lambda c: F.regexp_replace(c, r"\.pdf$", "")
+    asked = cited.withColumn("_doc", F.lower("document_name")).join(docs, "query_id", "left")
+    alike = F.get(F.filter("_docs", lambda d: stem(d["doc_key"]) == stem(F.col("_doc"))), F.lit(0))["doc_key"]
+    same = F.coalesce(F.exists("_docs", lambda d: d["doc_key"] == F.col("_doc")), F.lit(False))
+    asked = asked.withColumn("doc_key", F.when(same, F.col("_doc")).otherwise(F.coalesce(alike, "_doc"))).drop("_docs")
     names = {"line_start": "h_start", "line_end": "h_end", "page_number": "page"}
     extra = [c for c in ("content_type", "image_path", "caption", "source_path") if c in hits.columns]
     found = named.select("query_id", "doc_key", *[F.col(c).alias(n) for c, n in names.items()], "hit_ord", F.substring("text", 1, SNIPPET).alias("snippet"), *extra)
