@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, pairwise
 from uuid import uuid4
@@ -104,24 +105,22 @@ def _pieces(word: str) -> list[str]:
     return [marked[i : i + WINDOW] for i in range(0, len(marked) - WINDOW // 2, WINDOW // 2)]
 
 
-def subsequences(pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of equal length each: (their places in the list, subsequence codes, weights)."""
+def subsequences(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of equal length, some at a time: (their places in the list, subsequence codes, weights)."""
     by_length: dict[int, list[int]] = {}
     for i, p in enumerate(pieces):
         by_length.setdefault(len(p), []).append(i)
-    out = []
     for n, own in by_length.items():
         if n < ORDER:
             continue
         at, weight = _places(n)
-        for s in range(0, len(own), max(1, 2_000_000 // len(at))):
-            some = own[s : s + max(1, 2_000_000 // len(at))]
+        for s in range(0, len(own), max(1, 500_000 // len(at))):
+            some = own[s : s + max(1, 500_000 // len(at))]
             letters = np.frombuffer("".join([pieces[i] for i in some]).translate(_codes).encode("latin-1"), np.uint8).reshape(-1, n).astype(np.int32)
             code = letters[:, at[:, 0]]
             for k in range(1, ORDER):
                 code = code * 32 + letters[:, at[:, k]]
-            out.append((np.array(some), code, _normed(code, weight)))
-    return out
+            yield np.array(some), code, _normed(code, weight)
 
 
 def features(words: list[str], landmarks: np.ndarray) -> np.ndarray:
@@ -150,12 +149,16 @@ def table_of(words: list[str]) -> np.ndarray:
 
 def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, rounds: int = 12) -> np.ndarray:
     """A linear machine's weights, the last one its bias: squared hinge loss, by Newton steps."""
-    x = np.c_[z, np.ones(len(z))].astype(np.float64)
-    w = np.zeros(x.shape[1])
+    n = z.shape[1]
+    w = np.zeros(n + 1)
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        a, k = x[active], c * weight[active]
-        new = np.linalg.solve(np.eye(len(w)) + (a.T * k) @ a, (a.T * k) @ y[active])
+        h, g = np.eye(n + 1), np.zeros(n + 1)
+        for s in range(0, len(z), 4096):  # a block at a time, so that no second copy of z is made
+            a, t, k = z[s : s + 4096], y[s : s + 4096], c * weight[s : s + 4096]
+            a = np.c_[a[on := t * (a @ w[:-1] + w[-1]) < 1], np.ones(on.sum())].astype(np.float64)
+            h += (a.T * k[on]) @ a
+            g += a.T @ (k[on] * t[on])
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -163,7 +166,7 @@ def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, rounds
 
 
 def _gapped(words: list[str], rng) -> list[str]:
-    """The words with a sign or letter put in at one or two places, and with one letter left out."""
+    """The words with a sign or letter put in at one or two places, two of each."""
     out = []
     for w in words:
         if len(w) >= 4:
@@ -218,7 +221,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3, seed: int =
     base = table_of(marks)
     values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
     keep = values > 1e-4 * values[-1]
-    root = vectors[:, keep] / np.sqrt(values[keep])
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     some = rng.choice(len(pool), min(len(pool), CLEAN_WORDS // 2), replace=False)
     z_neg, negatives = features([pool[i] for i in some], base) @ root, {pool[i] for i in some}
     positive = sure
