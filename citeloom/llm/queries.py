@@ -65,12 +65,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens): the flat files hold no ids, so the nth document of the files is the nth by doc_id."""
+    """(doc_id, start, n_tokens): the token blocks have no index, so their nth document is the nth of the names."""
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "flat")
     tokencount.write_flat(docs, path, tokenizer_path())
     counts = tokencount.count_tokens(spark, path)
-    return tokencount.numbered(docs).join(counts, "ordinal").select("doc_id", "start", "n_tokens")
+    return tokencount.numbered(spark, path).join(counts, "ordinal").select("doc_id", "start", "n_tokens")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,30 +15,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_python, shuffle_partitions, written
-from citeloom.llm.tokenfile import Encoder, in_order
+from citeloom.llm.shared import in_python, spread, written
+from citeloom.llm.tokenfile import Encoder
 
 SEPARATOR = 50256
 BLOCK_IDS = 1 << 19
+FLAT_SCHEMA = "kind string, part int, block int, id_bytes int, ids binary, first long, docs array<bigint>"
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPARATOR, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the ids of docs (doc_id, text), a separator after each document, in ascending doc_id order, as flat blocks
-    (part, block, id_bytes, ids). Ids equal to the separator inside a text are left out, as they'd end the document.
-    Null and empty texts are the separator alone; repeated and null doc_ids stand as in_order() puts them."""
+    """Writes the ids of docs (doc_id, text), a separator after each document, as flat blocks under path/kind=tokens
+    (part, block, id_bytes, ids), and the doc_ids in the same order under path/kind=names (part, first, docs).
+
+    Documents are written where they are read, so texts are not shuffled; the order is that of parts and of the rows in
+    them. Ids equal to the separator inside a text are left out, as they'd end the document. Null and empty texts are
+    the separator alone; repeated and null doc_ids are documents of their own. An empty table gives no blocks.
+    """
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
         width, end = encoder.id_bytes, array.array(encoder.kind, [separator]).tobytes()
-        part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("id_bytes", pa.int32()), ("ids", pa.binary())])
+        part, block, held, size, nth = TaskContext.get().partitionId(), 0, [], 0, 0
+        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("first", pa.int64()), ("docs", pa.list_(pa.int64()))])
 
         def row(ids):
             nonlocal block
             block += 1
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block - 1, "id_bytes": width, "ids": ids}], schema)
+            return pa.RecordBatch.from_pylist([{"kind": "tokens", "part": part, "block": block - 1, "id_bytes": width, "ids": ids}], schema)
 
         for b in batches:
+            names = b.column(0).to_pylist()
+            if names:
+                yield pa.RecordBatch.from_pylist([{"kind": "names", "part": part, "first": nth, "docs": names}], schema)
+            nth += len(names)
             for text in b.column(1).to_pylist():
                 ids = encoder.ids(text)
                 if end in ids:
@@ -55,7 +65,13 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPA
         if size:
             yield row(b"".join(held))
 
-    in_python(in_order(docs), run, "part int, block int, id_bytes int, ids binary").write.option("compression", "zstd").parquet(path)
+    made = in_python(rows, run, FLAT_SCHEMA)
+    made.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The rows at path; a filter on kind reads one folder. Files of an empty table have none."""
+    return spark.read.schema(FLAT_SCHEMA).parquet(path)
 
 
 def _scan(files: DataFrame, separator: int) -> DataFrame:
@@ -80,7 +96,7 @@ def _scan(files: DataFrame, separator: int) -> DataFrame:
 def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
     """(ordinal, start, n_tokens) per document of the flat files at path: its place from 0, the ids ahead of it, and
     its ids with the separator. Ids after the last separator are no document."""
-    scan = written(_scan(spark.read.parquet(path), separator), "separators")
+    scan = written(_scan(_files(spark, path).where("kind = 'tokens'").select("part", "block", "id_bytes", "ids"), separator), "separators")
     blocks = scan.where("nth = -1").select("part", "block", F.col("length").alias("rest"), F.col("place").alias("n"), "n_ids")
     # A part's summary composes its blocks': documents, ids, and the ids after its last separator.
     inside = Window.partitionBy("part").orderBy("block")
@@ -102,12 +118,10 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR) ->
     return found.select((F.col("docs") + F.col("nth")).alias("ordinal"), (stop - tokens).alias("start"), tokens.alias("n_tokens"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(ordinal, doc_id): the rows of docs numbered from 0 by ascending doc_id, null ones first, in two steps."""
-    n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange(n, "doc_id")
-    rows = written(rows.select("doc_id", F.spark_partition_id().alias("part")), "numbered")
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, doc_id): the documents of the flat files at path in their order, numbered from 0 in two steps."""
+    names = _files(spark, path).where("kind = 'names'")
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first()))
-    return rows.withColumn("nth", nth).join(base, "part").select((F.col("base") + F.col("nth") - 1).alias("ordinal"), "doc_id")
+    base = names.groupBy("part").agg(F.sum(F.size("docs")).alias("n")).select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    each = names.select("part", "first", F.posexplode("docs").alias("nth", "doc_id"))
+    return each.join(base, "part").select((F.col("base") + F.col("first") + F.col("nth")).alias("ordinal"), "doc_id")
