@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from itertools import repeat
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_python, spread
+from citeloom.llm.shared import held, in_python, spread
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -31,6 +32,7 @@ COMMON = 0.25  # the most that the terms that are followed last may add to an it
 HALF, BOTH = 0.6, 0.8
 BLOCK_ITEMS = 4
 MAX_ITEMS = 20_000
+TEXTS = 500  # texts whose words are in memory at once
 CELLS = 1 << 21  # passages times blocks that are bounded at once
 words = re.compile(r"[^\W_]+").findall
 
@@ -139,6 +141,9 @@ class Benchmark:
 
     def hits(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float, int]]]:
         """Per text: item_id -> (score, question overlap, answer overlap, first word of the window) of its best verified window."""
+        return [h for i in range(0, len(texts), TEXTS) for h in self._hits(texts[i : i + TEXTS])]
+
+    def _hits(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float, int]]]:
         split = [words_of(t) for t in texts]
         best: list[dict[int, tuple]] = [{} for _ in texts]
         for index in self.indexes:
@@ -189,10 +194,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     found = spark.createDataFrame([], schema)
     for part in slices(benchmark, max_items):
-        shared = spark.sparkContext.broadcast(part)
+        shared = spark.sparkContext.broadcast((uuid4().hex, part))
 
         def run(batches, shared=shared):
-            known = Benchmark(shared.value, threshold)
+            known = held("benchmark", shared.value[0], lambda: Benchmark(shared.value[1], threshold))
             for b in batches:
                 ids = b.column(0).to_pylist()
                 out = [(ids[i], item, *hit) for i, found in enumerate(known.hits(b.column(1).to_pylist())) for item, hit in sorted(found.items())]
@@ -209,10 +214,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
     place = docs.columns.index("text")
     schema = docs.schema
     for part in slices(benchmark, max_items):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, part))
 
         def run(batches, shared=shared):
-            known = Benchmark(shared.value, threshold)
+            known = held("benchmark", shared.value[0], lambda: Benchmark(shared.value[1], threshold))
             for b in batches:
                 yield b.filter(pa.array([not h for h in known.hits(b.column(place).to_pylist())], pa.bool_()))
 

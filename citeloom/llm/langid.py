@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_python, spread
+from citeloom.llm.shared import held, in_python, spread
 
 HIDDEN = 24
 WINDOW = 24
@@ -187,16 +187,10 @@ class Identifier:
         return names, values
 
 
-_held: dict[str, Identifier] = {}
-
-
 def _identifier(shared) -> Identifier:
     """One per process and model, so that what one task memoised serves the next."""
     name, network, languages = shared.value
-    if name not in _held:
-        _held.clear()
-        _held[name] = Identifier(network, languages)
-    return _held[name]
+    return held("language", name, lambda: Identifier(network, languages))
 
 
 def held_out(doc_id: Column) -> Column:

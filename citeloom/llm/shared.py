@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+_held: tuple | None = None
+
+
+def held(kind: str, key, make):
+    """What make() gives for kind and key, kept in this worker process for its next tasks. Only the latest is kept, so
+    that one operator's memo doesn't stay in memory while another works."""
+    global _held
+    if _held is None or _held[:2] != (kind, key):
+        _held = None
+        _held = (kind, key, make())
+    return _held[2]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

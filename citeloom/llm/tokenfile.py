@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.elias_fano import EliasFano
-from citeloom.llm.shared import in_python, shuffle_partitions
+from citeloom.llm.shared import held, in_python, shuffle_partitions
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 1_000_000  # a cache's bound, about 200 MB; what is beyond it is encoded again
+MEMO_WORDS = 600_000  # a cache's bound, about 100 MB; what is beyond it is encoded again
 FILE_SCHEMA = (
     "part int, block int, n_docs int, n_ids long, id_bytes int, ids binary, doc_base long, "
     + ", ".join(f"{x}_width int, {x}_low binary, {x}_high binary, {x}_samples binary" for x in ("end", "doc"))
@@ -55,7 +55,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         ids = array.array(self.kind, [t.id for t in tokens]).tobytes()
-        if len(self) < MEMO_WORDS:
+        if len(self) < MEMO_WORDS // 2:
             self[piece] = ids
         return ids
 
@@ -84,8 +84,6 @@ class Encoder:
     one take the way through words; any other is asked for whole texts.
     """
 
-    _held: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -100,7 +98,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One per process, so that what one task memoised serves the next."""
-        return cls._held.get(path) or cls._held.setdefault(path, cls(path))
+        return held("encoder", path, lambda: cls(path))
 
     def ids(self, text: str | None) -> bytes:
         if not text:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_python, spread
+from citeloom.llm.shared import held, in_python, spread
 
 ORDER, DECAY = 3, 0.6
 WINDOW = 16  # longer words are scored by windows of so many characters, half of them new
@@ -32,7 +32,7 @@ CHANCE = 1e-5
 POOL = 150_000  # clean words at most that training looks at
 SAMPLE = 3000  # training texts of either class at most
 CLEAN_WORDS = 40_000  # clean training words in a round at most, beside those that earlier rounds found hard
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 600_000
 EDGE, DIGIT, OTHER, ACCENTED = 27, 28, 29, 30
 _single = re.compile(r"(?:(?<!\S)\S\s+){3,}\S(?!\S)").finditer
 _space = re.compile(r"\s+").sub
@@ -307,16 +307,10 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(shared) -> Scorer:
     """One per process and model, so that what one task memoised serves the next."""
     name, model = shared.value
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(model)
-    return _scorers[name]
+    return held("toxicity", name, lambda: Scorer(model))
 
 
 def trainable(doc_id: Column) -> Column:
