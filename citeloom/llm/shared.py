@@ -26,6 +26,12 @@ def held(kind: str, key, make):
     return _held[2]
 
 
+def release() -> None:
+    """Drops what held() keeps, in tasks of operators that keep nothing."""
+    global _held
+    _held = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import connected_components
-from citeloom.llm.shared import in_python, spread, written
+from citeloom.llm.shared import in_python, release, spread, written
 
 BITS, BLOCKS, DISTANCE, SHINGLE = 64, 6, 4, 4
 LEAF, FAN = 16, 16
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) per row of docs; whole texts, null texts are empty. Other columns are not read."""
 
     def run(batches):
+        release()
         for b in batches:
             fps = [fingerprint(t, k) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])

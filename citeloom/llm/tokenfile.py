@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.elias_fano import EliasFano
-from citeloom.llm.shared import held, in_python, shuffle_partitions
+from citeloom.llm.shared import held, in_python, release, shuffle_partitions
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -183,8 +183,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
 
     def run(batches):
+        release()
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # a block at a time
+                row = b.slice(i, 1).to_pylist()[0]
                 docs, ends, ids = read_block(row)
                 begins, data = np.r_[0, ends[:-1]], memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
