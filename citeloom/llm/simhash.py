@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import nearcopies
 from citeloom.llm.components import connected_components
 from citeloom.llm.shared import in_python, release, spread, written
 
@@ -261,8 +262,18 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row for each class of near-duplicates: that of the smallest doc_id. Rows without doc_id stay."""
-    classes = near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    whole = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return whole.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row for each class of near copies, texts whose five-word shingles have a Jaccard of 0.8 or more.
+
+    The pipeline's stage; op1's fingerprints find too few of these (at 0.8 they differ by about 10 bits), so the links
+    come from the exact join of nearcopies. A class keeps the row of its smallest doc_id, of several that of the smallest
+    digest of the text. Rows without doc_id stay, and texts without words are one class.
+    """
+    numbered = written(docs.withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    known = numbered.where(F.col("doc_id").isNotNull())
+    place = known.select("_no", F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_no").alias("place"))
+    found = written(nearcopies.classes(known).join(place, "_no").select("_no", "kind", "place"), "classes")
+    best = found.groupBy("kind").agg(F.min("place").alias("best"))
+    kept = best.select(F.col("best._no").alias("_no"))
+    gone = written(found.select("_no").join(kept, "_no", "left_anti"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= nearcopies.BROADCAST else gone
+    return numbered.join(gone, "_no", "left_anti").select(docs.columns)

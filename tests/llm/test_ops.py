@@ -100,6 +100,30 @@ def test_keep_one(spark, docs):
     assert sorted((r[0] or -1) for r in kept) == [-1, 1, 3]
 
 
+def brute_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {b" ".join(words)}
+
+
+def test_keep_one_equals_brute_force(spark, docs):
+    rng = random.Random(5)
+    rows = [r for r in docs if r[0] is not None]
+    for n in (6, 30, 200, 600):  # near copies about 0.8, also a crowd of them, which share every shingle
+        base = [f"v{rng.randrange(10**5)}" for _ in range(n)]
+        for i in range(60 if n == 200 else 12):
+            w = list(base)
+            for _ in range(rng.randrange(1 + n // 25)):
+                w[rng.randrange(n)] = f"u{rng.randrange(10**6)}"
+            rows.append((10_000 + 100 * n + i, " ".join(w[: n - rng.randrange(1 + n // 10)])))
+    sets = {i: brute_shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any((simhash.fingerprint(dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])).bit_count() > 4 for a, b in near)
+    want = set(classes(ids, near).values())
+    kept = [r[0] for r in simhash.keep_one(frame(spark, rows).repartition(3)).collect()]
+    assert sorted(kept) == sorted(want)
+
+
 def brute_neighbours(rows, queries, k):
     good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
