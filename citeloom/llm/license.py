@@ -2,8 +2,8 @@
 
 All rolling word k-grams of a text are joined by hash to the k-gram positions of the templates; each match votes for a
 diagonal, the offset between its place in the text and its place in the template. Votes are summed per diagonal,
-neighbouring diagonals of a template (an inserted or missing word moves the rest by one) are merged where their
-spans follow each other, and a span is verified by the share of the template's k-grams that it holds. Matches compare
+neighbouring diagonals of a template (an inserted word moves the rest up by one, a missing word down) are merged where
+their spans follow each other in the text and the template, and a span is verified by the share of the template's k-grams that it holds. Matches compare
 the words themselves beside their hashes, so a span that holds all k-grams of one diagonal is the phrase word by word.
 """
 
@@ -60,8 +60,8 @@ def template_grams(spark: SparkSession, phrases=None, notices=None) -> DataFrame
 
 
 def votes(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """(row, n_words, template.., diagonal, n, first, last) for rows (row, words); a row without a match keeps one
-    line with a null template."""
+    """(row, n_words, template.., diagonal, n, first, last, places) for rows (row, words); a row without a match keeps one
+    line with a null template. places has n entries, no more than the template has word pairs."""
     pairs = F.arrays_zip(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), F.col("words"), F.expr("slice(words, 2, greatest(size(words) - 1, 0))"))
     each = rows.select("*", F.size("words").alias("n_words"), F.inline_outer(pairs).alias("place", "w1", "w2")).drop("words")
     each = each.where("place is not null and (w2 is not null or place = 0)")
@@ -71,17 +71,40 @@ def votes(rows: DataFrame, grams: DataFrame) -> DataFrame:
     for c in ("template", "exact", "label", "n_grams", "at"):
         hit = hit.withColumn(c, F.when(same, F.col(c)))
     keys = ["row", "n_words", "template", "exact", "label", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")]
-    return hit.groupBy(*keys).agg(F.count("at").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    return hit.groupBy(*keys).agg(F.count("at").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_list("place").alias("places"))
+
+
+def islands(voted: DataFrame, drift: int = DRIFT) -> DataFrame:
+    """voted in parts (row, .., n, first, last) with `island`, the parts that are merged. Notices come twice, as two orders
+    find islands: whole diagonals, upward, and single matches by place in the text, among diagonals that are near each
+    other, where they may move both ways. An island of either counts, so what parts one of them doesn't part the other."""
+    exact = F.coalesce("exact", F.lit(True))
+    near = Window.partitionBy("row", "template").orderBy("diagonal", "first")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > drift, F.lit(True))
+    apart = far | F.coalesce(F.col("first") <= F.lag("last").over(near), F.lit(False))
+    rows = voted.withColumn("upward", F.sum((exact | apart).cast("int")).over(near)).withColumn("band", F.sum(far.cast("int")).over(near))
+    part = lambda single, n, first, last: F.struct(F.lit(single).alias("single"), n.cast("long").alias("n"), first.alias("first"), last.alias("last"))
+    whole = F.array(part(False, F.col("n"), F.col("first"), F.col("last")))
+    parts = F.when(exact, whole).otherwise(F.concat(whole, F.transform("places", lambda p: part(True, F.lit(1), p, p))))
+    rows = rows.withColumn("votes", F.col("n")).withColumn("part", F.explode(parts)).drop("n", "first", "last", "places").select("*", "part.*").drop("part")
+    keys = ["row", "template", "single", "band"]
+    order = ["first", F.desc("votes"), "diagonal"]
+    along = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumn("again", F.coalesce(F.col("first") == F.lag("first").over(along), F.lit(False)))  # a place counts once
+    along = Window.partitionBy(*keys, "again").orderBy(*order)
+    moved = F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > drift
+    back = F.col("first") - F.col("diagonal") <= F.lag(F.col("first") - F.col("diagonal")).over(along)
+    rows = rows.withColumn("onward", F.sum(F.coalesce(moved | back, F.lit(True)).cast("int")).over(along))
+    single = F.col("single")
+    island = F.struct(single, F.when(single, F.col("onward")).otherwise(F.col("upward")).alias("no"), F.when(single, F.col("band")).alias("band"), F.when(single, F.col("again")).alias("again"))
+    return rows.withColumn("island", island).drop("votes", "upward", "band", "single", "again", "onward")
 
 
 def spans(voted: DataFrame, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
     """Spans (row, n_words, template, exact, label, start, end, score, good) of votes(): end is the last word's place,
     good whether the span is verified. A row without a match keeps one line with good false."""
-    near = Window.partitionBy("row", "template").orderBy("diagonal", "first")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > drift, F.lit(True)) | F.coalesce(F.col("first") <= F.lag("last").over(near), F.lit(False))
-    islands = voted.withColumn("island", F.sum((F.coalesce("exact", F.lit(True)) | apart).cast("int")).over(near))
     keys = ["row", "n_words", "template", "exact", "label", "n_grams", "island"]
-    merged = islands.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("start"), (F.max("last") + 1).alias("end"))
+    merged = islands(voted, drift).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("start"), (F.max("last") + 1).alias("end"))
     score = F.least(F.col("n") / F.col("n_grams"), F.lit(1.0))
     enough = F.when(F.col("exact"), F.col("n") >= F.col("n_grams")).otherwise(score >= coverage)
     return merged.select("row", "n_words", "template", "exact", "label", "start", "end", score.alias("score"), (F.col("template").isNotNull() & F.coalesce(enough, F.lit(False))).alias("good"))

@@ -264,6 +264,25 @@ def test_license_base_equals_brute_force(spark, docs):
     assert license.scan(frame(spark, []).limit(0)).collect() == []
 
 
+def test_license_finds_notices_with_missing_words(spark):
+    rows, want = [], {}
+    for text, label in license.NOTICES:
+        w = text.split()
+        if len(w) > 10:  # one word missing costs two word pairs, one put in costs one
+            for at in (len(w) // 2, len(w) // 2 - 1):
+                rows.append((len(rows), " ".join([*w[:at], *w[at + 1 :]])))
+                want[rows[-1][0]] = (label, (len(w) - 3) / (len(w) - 1))
+        if len(w) > 15:
+            for gone, new in ((4, 9), (9, 4)):
+                changed = [x for i, x in enumerate(w) for x in ([] if i == gone else ["zzz", x] if i == new else [x])]
+                rows.append((len(rows), "some words of the text first " + " ".join(changed) + " and of the rest"))
+                want[rows[-1][0]] = (label, (len(w) - 4) / (len(w) - 1))
+    got = {r["doc_id"]: r for r in license.scan(frame(spark, rows)).collect()}
+    for i, (label, share) in want.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= share - 1e-9, rows[i]
+    assert "mit" == license.scan(frame(spark, [(1, "permission is hereby granted free of charge to person obtaining a copy of this software")])).first()["labels"]
+
+
 def brute_hits(text, items):
     """All pairs that hold the items' five-word shingles at 0.8 or more: the operator must find them."""
     w = decontam.words_of(text)
