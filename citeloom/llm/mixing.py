@@ -25,11 +25,14 @@ SHARE = 1.5
 TIMES = 2.0
 
 
-def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size): size is the number of words in the whole text, 0 for a null one."""
-    rows = spread(docs.select("doc_id", "source", F.col(text_col).alias("text")))
+def sizes(docs: DataFrame, text_col: str = "text", no_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, no): size is the number of words in the whole text, 0 for a null one; no is unique, that of
+    no_col where it is named."""
+    no = [F.col(no_col).alias("no")] if no_col else []
+    rows = spread(docs.select("doc_id", "source", F.col(text_col).alias("text"), *no))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    no = F.col("no") if no_col else F.monotonically_increasing_id().alias("no")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), no)
 
 
 def targets(by_source: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, times: float = TIMES) -> list[tuple]:
@@ -101,8 +104,8 @@ def schedule(spark: SparkSession, known: list[tuple[int, int, int]], block: int
     return every.select("slot", "nth", "rank", F.least(F.lit(block), F.col("take") - F.col("rank") * block).alias("words"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, times: float = TIMES, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, passes, source) per row of docs.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, times: float = TIMES, block: int = BLOCK, seed: str = SEED, no_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, passes, source, no) per row of docs; no is that of no_col, if named.
 
     taken is how many of the document's words the mix takes, repeats counted; passes how often it takes the first of
     them. A source's taken words are its target, rounded down. Texts that are null or blank have size 0 and are taken
@@ -110,11 +113,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, times: float = T
     have target 0. An empty table gives no rows. The number of sources is what the driver holds, not their documents.
     """
     spark = docs.sparkSession
-    sized = written(sizes(docs).withColumn("no", F.monotonically_increasing_id()), "sizes")
+    sized = written(sizes(docs, no_col=no_col), "sizes")
     by_source = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
     known = targets(by_source, weights, share, times)
     if not known:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("passes"), "source")
+        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("passes"), "source", "no")
     listed = spark.createDataFrame([(s, i, n, float(t)) for i, (s, n, t) in enumerate(known)], "source string, nth int, source_size long, target double")
     sized = sized.join(F.broadcast(listed), sized["source"].eqNullSafe(listed["source"])).drop(listed["source"])
     placed = written(shuffled_stream(sized, seed), "stream")

@@ -34,12 +34,15 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as often as the mix takes their first word: not at all, once or twice. Documents without words stay."""
-    columns = docs.columns
-    taken = mixing.mix(docs).where("doc_id is not null and (passes > 0 or size = 0)")
-    taken = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("passes"))).alias("_times"))
-    again = docs.join(taken, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return again.select(columns)
+    """docs as often as the mix takes their first word: not at all, once or twice. Documents without words stay.
+
+    Each row is taken by itself, whether its doc_id is null, repeated or its own.
+    """
+    numbered = written(docs.withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(numbered, no_col="_no").where("passes > 0 or size = 0")
+    taken = taken.select(F.col("no").alias("_no"), F.when(F.col("size") == 0, 1).otherwise(F.col("passes")).cast("int").alias("_times"))
+    again = numbered.join(taken, "_no").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return again.select(docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

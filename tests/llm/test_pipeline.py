@@ -1,5 +1,7 @@
 """The pipeline's stages in order, each against what it must keep and drop."""
 
+from collections import Counter
+
 import corpus_pipeline
 from citeloom.llm import mixing
 
@@ -25,3 +27,14 @@ def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     ends = sorted((r["start"], r["n_tokens"]) for r in rows)
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
+
+
+def test_mixing_takes_rows_without_doc_id(spark, sf_dir):
+    rows = [(None if s == "b" or i % 3 == 0 else i, " ".join(f"{s}{i}w{j}" for j in range(5 + i)), s) for s in "abc" for i in range(40)]
+    rows += [(7, "of the same id", "a"), (None, "", "b"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect())
+    assert set(got) <= set(rows) and got[None, "", "b"] == got[None, None, None] == 1
+    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    for s, _, target in mixing.targets(list(sizes.items())):  # a document comes whole, so the last one is over or under
+        assert abs(sum(n * len((r[1] or "").split()) for r, n in got.items() if r[2] == s) - int(target)) <= 45, s
