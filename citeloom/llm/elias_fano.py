@@ -31,28 +31,34 @@ class EliasFano:
         high[ones] = 1
         return cls(n, width, low, np.packbits(high, bitorder="little").tobytes(), ones[::STEP].astype("<u4").tobytes())
 
-    def _low(self, i: int) -> int:
-        bit = i * self.low_width
-        end = bit + self.low_width
-        return int.from_bytes(self.low[bit >> 3 : (end + 7) >> 3], "little") >> (bit & 7) & ((1 << self.low_width) - 1)
+    def slice(self, first: int, end: int) -> np.ndarray:
+        """The values from place first to place end, read between the two select samples around them."""
+        if first >= end:
+            return np.empty(0, np.int64)
+        at, after = first // STEP, -(-end // STEP)
+        samples = np.frombuffer(self.samples, "<u4")
+        start, stop = int(samples[at]), int(samples[after]) if after < len(samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[start >> 3 : (stop + 7) >> 3], bitorder="little")
+        ones = np.flatnonzero(bits) + (start & ~7)
+        ones = ones[np.searchsorted(ones, start) :][first - at * STEP : end - at * STEP]
+        return (ones - np.arange(first, end)) << self.low_width | self._low(first, end)
+
+    def _low(self, first: int, end: int) -> np.ndarray:
+        bit, width = first * self.low_width, self.low_width
+        held = np.frombuffer(self.low, np.uint8)[bit >> 3 : (end * width + 7) >> 3]
+        bits = np.unpackbits(held, bitorder="little")[bit & 7 :][: (end - first) * width].reshape(end - first, width)
+        return (bits.astype(np.int64) << np.arange(width)).sum(axis=1)
 
     def select(self, i: int) -> int:
         """The i-th value, from 0."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = i // STEP
-        place = int(np.frombuffer(self.samples, "<u4", 1, 4 * at)[0])
-        after = 4 * at + 4
-        end = int(np.frombuffer(self.samples, "<u4", 1, after)[0]) if after < len(self.samples) else 8 * len(self.high)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8)[place >> 3 : (end + 7) >> 3], bitorder="little")) + (place & ~7)
-        pos = int(ones[ones >= place][i - at * STEP])
-        return (pos - i) << self.low_width | self._low(i)
-
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_width].reshape(self.n, self.low_width)
-        low = (bits.astype(np.int64) << np.arange(self.low_width)).sum(axis=1)
-        return (ones - np.arange(self.n)) << self.low_width | low
+        return int(self.slice(i, i + 1)[0])
+
+    def rank(self, value: int) -> int:
+        """How many values are below value, by selects."""
+        low, high = 0, self.n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self.select(mid) < value else (low, mid)
+        return low

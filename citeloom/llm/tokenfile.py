@@ -4,7 +4,8 @@ Documents are range-partitioned by doc_id, so the files of a data set, in the or
 ascending doc_id order. A block is one row of the files: about a million ids as 16-bit (or, for larger vocabularies,
 32-bit) little-endian integers, and the ends of its documents and their doc_ids as Elias-Fano codes. Blocks start at a
 document; where a block starts in the whole array is a prefix sum over the blocks' lengths, so no table of 64-bit
-offsets is kept. The files are Parquet with binary columns, which any store that Spark reads can hold.
+offsets is kept. Readers take documents and their offsets by select, some at a time, and a range of doc_ids by a binary
+search of selects in the blocks that can hold it. The files are Parquet with binary columns.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import array
 import os
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ from citeloom.llm.shared import held, in_python, release, shuffle_partitions
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
+SPREAD = 1 << 61  # doc_ids of a block lie within so many of its first
+SELECTED = 4096  # documents that a reader selects at a time
 MEMO_WORDS = 600_000  # a cache's bound, about 100 MB; what is beyond it is encoded again
 FILE_SCHEMA = (
-    "part int, block int, n_docs int, n_ids long, id_bytes int, ids binary, doc_base long, "
+    "part int, block int, n_docs int, n_null int, n_ids long, id_bytes int, ids binary, doc_base long, doc_last long, "
     + ", ".join(f"{x}_width int, {x}_low binary, {x}_high binary, {x}_samples binary" for x in ("end", "doc"))
 )
 
@@ -90,7 +95,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.id_bytes = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4  # the largest integer stays free
         self.kind = {2: "H", 4: "I"}[self.id_bytes]
         by_word = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.word = _Words(self.tokenizer, self.kind).__getitem__ if by_word else None
@@ -109,10 +114,12 @@ class Encoder:
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) dealt by ranges of doc_id and sorted within; null doc_ids come first, equal ones by text."""
+    """(doc_id, text) dealt by ranges of doc_id and sorted within; null doc_ids come first, equal ones by their texts'
+    digest. A doc_id that many rows hold, or null, is cut by digest and row, so it fills no task alone."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = shuffle_partitions(docs.sparkSession)
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    n = max(shuffle_partitions(docs.sparkSession), rows.rdd.getNumPartitions() // 4)
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_d"), F.monotonically_increasing_id().alias("_no"))
+    return keyed.repartitionByRange(n, "doc_id", "_d", "_no").sortWithinPartitions("doc_id", "_d", "_no").select("doc_id", "text")
 
 
 def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -121,13 +128,15 @@ def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: in
     def run(batches):
         encoder = Encoder.of(tokenizer)
         end = array.array(encoder.kind, [end_id]).tobytes()
-        part, block, docs, parts, ends, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, block, docs, parts, ends, size, first = TaskContext.get().partitionId(), 0, [], [], [], 0, None
 
         def flush():
             nonlocal block, size
-            ids = np.array([-1 if d is None else d for d in docs], np.int64)
-            codes = {"end": EliasFano.encode(np.array(ends)), "doc": EliasFano.encode(ids - ids[0])}
-            row = {"part": part, "block": block, "n_docs": len(docs), "n_ids": size, "id_bytes": encoder.id_bytes, "ids": b"".join(parts), "doc_base": int(ids[0])}
+            known = np.array([d for d in docs if d is not None], np.int64)  # nulls come first
+            base = int(known[0]) if len(known) else 0
+            codes = {"end": EliasFano.encode(np.array(ends)), "doc": EliasFano.encode(known - base)}
+            row = {"part": part, "block": block, "n_docs": len(docs), "n_null": len(docs) - len(known), "n_ids": size, "id_bytes": encoder.id_bytes, "ids": b"".join(parts)}
+            row |= {"doc_base": base, "doc_last": int(known[-1])} if len(known) else {}
             for x, code in codes.items():
                 row |= {f"{x}_width": code.low_width, f"{x}_low": code.low, f"{x}_high": code.high, f"{x}_samples": code.samples}
             block, size = block + 1, 0
@@ -139,6 +148,10 @@ def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: in
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = encoder.ids(text) + end
+                first = doc_id if not docs or docs[-1] is None else first
+                if docs and doc_id is not None and doc_id - first >= SPREAD:
+                    yield flush()
+                    first = doc_id
                 size += len(own) // encoder.id_bytes
                 docs.append(doc_id)
                 parts.append(own)
@@ -155,8 +168,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Writes the token files of docs (doc_id, text) to path.
 
     Whole texts are encoded; a null or empty text is the end id alone. Rows that repeat a doc_id are documents of
-    their own, in the order of their texts' crc32. A null doc_id is kept, as -1, ahead of all others; an own doc_id
-    below 0 is not allowed beside it. An empty table gives files without blocks. Other columns are not read.
+    their own, in the order of their texts' digests. Rows without doc_id come ahead of all others and are counted in
+    their block; any 64-bit doc_id is allowed. An empty table gives files without blocks. Other columns are not read.
     """
     encoded(in_order(docs), tokenizer, end_id, block_ids).write.option("compression", "zstd").parquet(path)
 
@@ -172,31 +185,51 @@ def starts_of(blocks: DataFrame) -> DataFrame:
     return own.join(by_part, "part").select("part", "block", (F.col("own") + F.col("ahead")).alias("base"))
 
 
-def read_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, ends, ids) of a block's row: ends count ids from the block's start."""
-    ends, docs = (EliasFano(row["n_docs"], row[f"{x}_width"], row[f"{x}_low"], row[f"{x}_high"], row[f"{x}_samples"]) for x in ("end", "doc"))
-    return docs.all() + row["doc_base"], ends.all(), np.frombuffer(row["ids"], {2: "<u2", 4: "<u4"}[row["id_bytes"]])
+def select_documents(row: dict, low: int | None = None, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, null, begins, ends) of a block's documents in their order, SELECTED at a time, by selects; ids are
+    counted from the block's start. With low or high, only those of doc_ids from low to high."""
+    ends, docs = (EliasFano(n, row[f"{x}_width"], row[f"{x}_low"], row[f"{x}_high"], row[f"{x}_samples"]) for x, n in (("end", row["n_docs"]), ("doc", row["n_docs"] - row["n_null"])))
+    nulls, base = row["n_null"], row["doc_base"] or 0
+    first = nulls + docs.rank(low - base) if low is not None else 0 if high is None else nulls
+    last = nulls + docs.rank(high - base + 1) if high is not None else row["n_docs"]
+    for s in range(first, last, SELECTED):
+        e = min(last, s + SELECTED)
+        stop = ends.slice(s, e)
+        begin = np.r_[ends.select(s - 1) if s else 0, stop[:-1]]
+        null = np.arange(s, e) < nulls
+        yield np.r_[np.zeros(null.sum(), np.int64), docs.slice(max(0, s - nulls), max(0, e - nulls)) + base], null, begin, stop
+
 
+def read_documents(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) per document, from the token files at path; with_ids adds the ids themselves.
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per document, from the token files at path."""
+    With low or high only blocks that can hold doc_ids from low to high are read, and of these only such documents.
+    """
     files = spark.read.parquet(path)
+    some = files
+    if low is not None:
+        some = some.where(F.col("doc_last") >= low)
+    if high is not None:
+        some = some.where(F.col("doc_base") <= high)
 
     def run(batches):
         release()
         for b in batches:
             for i in range(b.num_rows):  # a block at a time
                 row = b.slice(i, 1).to_pylist()[0]
-                docs, ends, ids = read_block(row)
-                begins, data = np.r_[0, ends[:-1]], memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                same = np.full(len(docs), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(same * row["part"], pa.int32()), pa.array(same * row["block"], pa.int32()), pa.array(docs, pa.int64(), mask=docs < 0), pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
-                    ["part", "block", "doc_id", "begin", "n_tokens", "ids_crc32"],
-                )
-
-    per_doc = in_python(files, run, "part int, block int, doc_id long, begin long, n_tokens long, ids_crc32 long")
-    starts = starts_of(files.select("part", "block", "n_ids"))
-    joined = per_doc.join(starts, ["part", "block"])
-    return joined.select("doc_id", (F.col("begin") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+                ids = np.frombuffer(row["ids"], {2: "<u2", 4: "<u4"}[row["id_bytes"]])
+                for docs, null, begins, ends in select_documents(row, low, high):
+                    at = int(begins[0])
+                    own = ids[at : int(ends[-1])].astype("<u4")
+                    data, cuts = memoryview(own.tobytes()), [*(begins - at).tolist(), int(ends[-1]) - at]
+                    crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in pairwise(cuts)]
+                    same = np.full(len(docs), 1)
+                    columns = [pa.array(same * row["part"], pa.int32()), pa.array(same * row["block"], pa.int32()), pa.array(docs, pa.int64(), mask=null), pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own.astype(np.int64))))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "part int, block int, doc_id long, begin long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    joined = in_python(some, run, schema).join(starts_of(files.select("part", "block", "n_ids")), ["part", "block"])
+    return joined.select("doc_id", (F.col("begin") + F.col("base")).alias("start"), *names[4:])
