@@ -18,24 +18,29 @@ from pyspark.sql import functions as F
 from citeloom.llm.shared import in_python, spread, written
 from citeloom.llm.tokenfile import Encoder
 
-SEPARATOR = 50256
 BLOCK_IDS = 1 << 19
 FLAT_SCHEMA = "kind string, part int, block int, id_bytes int, ids binary, first long, docs array<bigint>"
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPARATOR, block_ids: int = BLOCK_IDS) -> None:
+def separator_of(id_bytes: int) -> int:
+    """The end-of-document id of flat files: the largest integer of so many bytes, which no vocabulary holds, so a text
+    that spells a special token ends no document."""
+    return (1 << 8 * id_bytes) - 1
+
+
+def write_flat(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of docs (doc_id, text), a separator after each document, as flat blocks under path/kind=tokens
     (part, block, id_bytes, ids), and the doc_ids in the same order under path/kind=names (part, first, docs).
 
     Documents are written where they are read, so texts are not shuffled; the order is that of parts and of the rows in
-    them. Ids equal to the separator inside a text are left out, as they'd end the document. Null and empty texts are
-    the separator alone; repeated and null doc_ids are documents of their own. An empty table gives no blocks.
+    them. All ids of a text are kept. Null and empty texts are the separator alone; repeated and null doc_ids are
+    documents of their own. An empty table gives no blocks.
     """
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
-        width, end = encoder.id_bytes, array.array(encoder.kind, [separator]).tobytes()
+        width, end = encoder.id_bytes, array.array(encoder.kind, [separator_of(encoder.id_bytes)]).tobytes()
         part, block, held, size, nth = TaskContext.get().partitionId(), 0, [], 0, 0
         schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("first", pa.int64()), ("docs", pa.list_(pa.int64()))])
 
@@ -51,9 +56,6 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPA
             nth += len(names)
             for text in b.column(1).to_pylist():
                 ids = encoder.ids(text)
-                if end in ids:
-                    own = np.frombuffer(ids, f"<u{width}")
-                    ids = own[own != separator].tobytes()
                 held += (ids, end)
                 size += len(ids) + width
                 if size >= width * block_ids:
@@ -74,14 +76,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLAT_SCHEMA).parquet(path)
 
 
-def _scan(files: DataFrame, separator: int) -> DataFrame:
-    """A row per separator, and for each block one with its summary (nth -1)."""
+def _scan(files: DataFrame, separator: int | None) -> DataFrame:
+    """A row per separator (None: separator_of), and for each block one with its summary (nth -1)."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 ids = np.frombuffer(row["ids"], {2: "<u2", 4: "<u4"}[row["id_bytes"]])
-                at = np.flatnonzero(ids == separator)
+                at = np.flatnonzero(ids == (separator_of(row["id_bytes"]) if separator is None else separator))
                 length = np.diff(np.r_[-1, at])  # with the separator; the first one lacks what earlier blocks left open
                 rest = len(ids) - 1 - (at[-1] if len(at) else -1)
                 n = len(at) + 1
@@ -93,9 +95,10 @@ def _scan(files: DataFrame, separator: int) -> DataFrame:
     return in_python(files, run, "part int, block int, nth long, length long, place long, n_ids long")
 
 
-def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
+def count_tokens(spark: SparkSession, path: str, separator: int | None = None) -> DataFrame:
     """(ordinal, start, n_tokens) per document of the flat files at path: its place from 0, the ids ahead of it, and
-    its ids with the separator. Ids after the last separator are no document."""
+    its ids with the separator, which is that of write_flat unless one is given. Ids after the last separator are no
+    document."""
     scan = written(_scan(_files(spark, path).where("kind = 'tokens'").select("part", "block", "id_bytes", "ids"), separator), "separators")
     blocks = scan.where("nth = -1").select("part", "block", F.col("length").alias("rest"), F.col("place").alias("n"), "n_ids")
     # A part's summary composes its blocks': documents, ids, and the ids after its last separator.
