@@ -55,7 +55,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,24 +108,39 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
-#: A source's slots take its stream from the start, over and over, up to its target; so what a document gives follows
-#: from where it stands in the stream. Targets: sources fill up in the order of size over weight.
-OP7_SQL = r"""
+#: The whole schedule: targets fill up in the order of size over weight, slots go to sources by their van der Corput
+#: points, and documents meet the slots that take their words in each pass of their source's stream.
+OP7_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    md5(concat('mix-1:', coalesce(doc_id::VARCHAR, 'null'))) AS d FROM documents),
-by_source AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, row_number() OVER () AS no FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT AS nth FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 1.5::DOUBLE * sum(n) OVER () AS goal FROM by_source),
 steps AS (
   SELECT *, coalesce(sum(2 * n) OVER (ORDER BY n::DOUBLE / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_n,
     sum(w) OVER (ORDER BY n::DOUBLE / w, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS free_w, row_number() OVER (ORDER BY n::DOUBLE / w, nth) AS k FROM weighed),
 cut AS (SELECT full_n, free_w, k FROM steps WHERE (goal - full_n) * w / free_w <= 2.0::DOUBLE * n ORDER BY k LIMIT 1),
-targets AS (SELECT s.source, s.n, CASE WHEN c.k IS NULL OR s.k < c.k THEN 2.0::DOUBLE * s.n ELSE (s.goal - c.full_n) * s.w / c.free_w END AS target FROM steps s LEFT JOIN cut c ON true),
+targets AS (
+  SELECT s.source, s.nth, s.n, CASE WHEN c.k IS NULL OR s.k < c.k THEN 2.0::DOUBLE * s.n ELSE (s.goal - c.full_n) * s.w / c.free_w END AS target FROM steps s LEFT JOIN cut c ON true),
+wanted AS (SELECT *, floor(target)::BIGINT AS take, ((floor(target)::BIGINT + {mixing.BLOCK - 1}) // {mixing.BLOCK})::BIGINT AS need FROM targets),
+spread AS (
+  SELECT *, coalesce(sum(need) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT * {1 << mixing.POINT_BITS} // total AS low,
+    sum(need) OVER (ORDER BY nth)::HUGEINT * {1 << mixing.POINT_BITS} // total AS high FROM (SELECT *, sum(need) OVER () AS total FROM wanted WHERE n > 0 AND take > 0)),
+points AS (
+  SELECT i AS slot, list_sum(list_transform(range({mixing.POINT_BITS}), lambda k: ((i >> k) & 1) << ({mixing.POINT_BITS - 1} - k)))::HUGEINT AS u FROM (SELECT unnest(range((SELECT max(total) FROM spread)::BIGINT)) AS i)),
+ranked AS (SELECT slot, nth, need, take, row_number() OVER (PARTITION BY nth ORDER BY slot) - 1 AS rank FROM points JOIN spread ON low <= u AND u < high),
+rest AS (
+  SELECT (total + rank * (SELECT count(*) FROM targets) + nth)::BIGINT AS slot, nth, need, take, rank FROM (
+    SELECT s.*, unnest(range(coalesce(g.got, 0), s.need)) AS rank FROM spread s LEFT JOIN (SELECT nth, count(*) AS got FROM ranked GROUP BY nth) g USING (nth))),
+slots AS (
+  SELECT slot, nth, rank * {mixing.BLOCK} AS a, least(take, (rank + 1) * {mixing.BLOCK}) AS b FROM (SELECT slot, nth, need, take, rank FROM ranked UNION ALL SELECT slot, nth, need, take, rank FROM rest) WHERE rank < need),
 stream AS (
-  SELECT doc_id, size, n AS source_size, target, floor(target)::BIGINT AS take,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ('0x' || substring(d, 1, 4))::INT % 256, d, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - ahead)) END::BIGINT AS taken FROM stream
+  SELECT no, doc_id, size, t.n AS source_size, target, t.nth, coalesce(sum(size) OVER (PARTITION BY t.nth ORDER BY md5(concat('{mixing.SEED}:', coalesce(doc_id::VARCHAR, 'null'), ':', size)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+met AS (
+  SELECT no, slot, least(b, pass * source_size + ahead + size) - greatest(a, pass * source_size + ahead) AS words
+  FROM (SELECT *, unnest([0, 1, 2]) AS pass FROM stream WHERE size > 0) d JOIN slots s ON d.nth = s.nth AND s.a < pass * source_size + ahead + size AND s.b > pass * source_size + ahead),
+given AS (SELECT no, sum(words) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM met GROUP BY no)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots FROM stream LEFT JOIN given USING (no)
 """
 
 
