@@ -17,6 +17,7 @@ from citeloom.llm.shared import ascii_lower, spread
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DRIFT = 2  # how far neighbouring diagonals may be apart
 COVERAGE = 0.8
+BROADCAST = 200_000  # word pairs of templates that go to every task; of more both sides are dealt by hash
 
 # Exact phrases with their labels.
 PHRASES = [
@@ -55,8 +56,9 @@ def template_grams(spark: SparkSession, phrases=None, notices=None) -> DataFrame
     for no, (text, label, exact) in enumerate(listed):
         words = text.split(" ")
         rows += [(words[i], words[i + 1], no, exact, label, len(words) - 1, i) for i in range(len(words) - 1)]
+    small = F.broadcast if len(rows) <= BROADCAST else lambda d: d
     grams = spark.createDataFrame(rows, "w1 string, w2 string, template int, exact boolean, label string, n_grams int, at int")
-    return grams.select(F.xxhash64("w1", "w2").alias("h"), F.col("w1").alias("t1"), F.col("w2").alias("t2"), "template", "exact", "label", "n_grams", "at")
+    return small(grams.select(F.xxhash64("w1", "w2").alias("h"), F.col("w1").alias("t1"), F.col("w2").alias("t2"), "template", "exact", "label", "n_grams", "at"))
 
 
 def votes(rows: DataFrame, grams: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def votes(rows: DataFrame, grams: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), F.col("words"), F.expr("slice(words, 2, greatest(size(words) - 1, 0))"))
     each = rows.select("*", F.size("words").alias("n_words"), F.inline_outer(pairs).alias("place", "w1", "w2")).drop("words")
     each = each.where("place is not null and (w2 is not null or place = 0)")
-    hit = each.join(F.broadcast(grams), F.xxhash64("w1", "w2") == F.col("h"), "left")
+    hit = each.join(grams, F.xxhash64("w1", "w2") == F.col("h"), "left")
     same = F.coalesce((F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")), F.lit(False))
     hit = hit.where(same | (F.col("place") == 0))
     for c in ("template", "exact", "label", "n_grams", "at"):

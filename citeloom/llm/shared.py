@@ -37,16 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one of this machine for
+    a local master; on a cluster that is an error, as each executor would write to a disk of its own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-citeloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+_made: list[str] = []  # folders that this session wrote
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/citeloom-{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/citeloom-{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -57,6 +64,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, keep: int = 0) -> None:
+    """Removes the folders that this session wrote, but for the `keep` latest; what was read from them can't be read again."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    gone, _made[:] = _made[: len(_made) - keep], _made[len(_made) - keep :]
+    for path in map(hadoop, gone):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_python_path(spark: SparkSession) -> None:
     """Lets Python workers import this package when only the driver's sys.path names it."""
     env = spark.sparkContext.environment

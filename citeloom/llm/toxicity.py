@@ -179,30 +179,34 @@ def _gapped(words: list[str], rng) -> list[str]:
     return out
 
 
-def _apart(texts: list[str | None]) -> list[int]:
-    """The places of texts that are no near copies of earlier ones: no four smallest word-pair digests in common."""
+def marks_of(text: str | None) -> list[int]:
+    """The four smallest word-pair digests of a text; near copies have some in common."""
+    words = (text or "").lower().split()
+    return sorted({crc32(f"{a} {b}".encode()) for a, b in pairwise(words)})[:4]
+
+
+def _apart(marks: list[list[int]]) -> list[int]:
+    """The places of texts that are no near copies of earlier ones: no mark in common."""
     seen: set[int] = set()
     kept = []
-    for i, t in enumerate(texts):
-        words = (t or "").lower().split()
-        marks = sorted({crc32(f"{a} {b}".encode()) for a, b in pairwise(words)})[:4]
-        if not seen.intersection(marks):
+    for i, own in enumerate(marks):
+        if not seen.intersection(own):
             kept.append(i)
-        seen.update(marks)
+        seen.update(own)
     return kept
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 3, seed: int = 7) -> dict:
-    """A model of labelled texts: table (a weight per subsequence), bias, and slope and offset of the logistic curve.
+def fit(sets: list[set[str]], marks: list[list[int]], labels: list[int], rounds: int = 3, seed: int = 7) -> dict:
+    """A model of labelled texts, each by its units() and marks_of(): table (a weight per subsequence), bias, and slope and
+    offset of the logistic curve.
 
     With texts of one class only, the model gives that class's score to all texts.
     """
     if len(set(labels)) < 2:
         return {"table": np.zeros(32**ORDER, np.float32), "bias": 0.0, "curve": (0.0, 6.0 if 1 in labels else -6.0)}
     rng = np.random.default_rng(seed)
-    kept = _apart(texts)
-    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
-    sets = [units(t) for t in texts]
+    kept = _apart(marks)
+    sets, labels = [sets[i] for i in kept], [labels[i] for i in kept]
     toxic, clean = [s for s, y in zip(sets, labels, strict=True) if y], [s for s, y in zip(sets, labels, strict=True) if not y]
     known = sorted(set().union(*clean))
     fresh = Counter(w for s in toxic for w in s)
@@ -242,7 +246,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3, seed: int =
         z_neg = np.r_[z_neg, features(hard, base) @ root]
         best = {max(c, key=lambda x: (scorer.values([x])[0], x)) for s in open_texts if (c := [x for x in s if x in fresh and len(x) > 2])}
         positive = sorted({*sure, *(x for x in best if scorer.values([x])[0] > 0)})
-    x = np.array([scorer.highest(t) for t in texts])
+    x = np.array([max(scorer.bias, *scorer.values(sorted(own)).tolist()) if own else scorer.bias for own in sets])
     model["curve"] = _logistic(x, np.array(labels, float))
     return model
 
@@ -321,14 +325,26 @@ def trainable(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = 200_000) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, toxic): of either class `sample` texts at most, those whose
     ids have the smallest hashes, and none over `longest` characters. Rows that repeat a label count once, a toxic one
-    first; null labels, ids and texts are left out."""
+    first; null labels, ids and texts are left out. Executors cut the texts into units, and the driver gets these alone."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(trainable(F.col("doc_id")))
     some = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.lit(y).alias("toxic")) for c, y in (("toxic = 1", 1), ("toxic <> 1", 0))]
     ids = F.broadcast(some[0].unionByName(some[1]))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(ids, "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows]) if rows else fit([], [])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "toxic", "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(units(t)) for t in texts], schema.field(3).type), pa.array([marks_of(t) for t in texts], schema.field(4).type)], schema=schema)
+
+    one: dict[str, str] = {}  # of equal words a single one is kept
+    found = []
+    for r in in_python(rows, run, "doc_id long, digest long, toxic int, units array<string>, marks array<long>").toLocalIterator():
+        found.append((r["doc_id"], r["digest"], r["toxic"], {one.setdefault(w, w) for w in r["units"]}, r["marks"]))
+    found.sort(key=lambda r: r[:3])
+    return fit([r[3] for r in found], [r[4] for r in found], [r[2] for r in found])
 
 
 def shared_model(spark: SparkSession, model: dict):
