@@ -53,6 +53,11 @@ def image_stem(document: Column) -> Column:
     return F.substring(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), 1, 60)
 
 
+def image_name(document: Column, uid: Column, page: Column, index: Column, suffix: Column) -> Column:
+    """The file name of an embedded image: stem, eight digits of the document's id, page, place in the document, suffix."""
+    return F.concat(image_stem(document), F.format_string("_%s_p%04d_img%03d.", F.substring(uid, 1, 8), page, index), F.lower(suffix))
+
+
 def without_thinking(text: Column) -> Column:
     """text without <think> blocks; an unclosed block goes to the end, a stray closing tag stays."""
     return F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", "")

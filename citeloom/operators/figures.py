@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import collapse, first_line, strip_u
-from citeloom.functions.workers import with_python_path
 
 # Fixed value: how a caption begins, by kind word, number and an optional sign.
 CAPTION = r"(?i)^\s*(figure|fig\.?|table|scheme|chart|plate|exhibit)\s*(\d{1,3}[a-z]?|[ivxlc]{1,6})\b\s*[.:)–—-]?"
@@ -93,21 +91,14 @@ def regions(caps: DataFrame, lines: DataFrame, graphics: DataFrame, page: list[s
 
 def accepted(found: DataFrame, page: list[str], min_area: float = MIN_AREA, per_page: int = PER_PAGE) -> DataFrame:
     """Those regions (page.., rect_id, x0..y1), in the order of rect_id, that are large enough and meet no earlier
-    accepted one, per_page of them at most. Each choice depends on those before it, so a page is one group."""
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple] = []
-        rows = []
-        for i, r in frame.sort_values("rect_id").iterrows():
-            if len(taken) == per_page:
-                break
-            if (r.x1 - r.x0) * (r.y1 - r.y0) >= min_area and not any(r.x0 < b[2] and b[0] < r.x1 and r.y0 < b[3] and b[1] < r.y1 for b in taken):
-                taken.append((r.x0, r.y0, r.x1, r.y1))
-                rows.append(i)
-        return frame.loc[rows]
-
-    with_python_path(found.sparkSession)
-    return found.groupBy(*page).applyInPandas(choose, found.schema)
+    accepted one, per_page of them at most. Each choice depends on those before it, so a page's regions are folded."""
+    rest = [c for c in found.columns if c not in (*page, "rect_id")]
+    large = found.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= min_area)
+    rows = large.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("rect_id", *rest))).alias("_r"))
+    meets = lambda a, b: (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+    none = F.slice("_r", 1, 0)
+    take = lambda kept, r: F.when((F.size(kept) < per_page) & ~F.exists(kept, lambda k: meets(k, r)), F.concat(kept, F.array(r))).otherwise(kept)
+    return rows.select(*page, F.inline(F.aggregate("_r", none, take))).select(found.columns)
 
 
 def embedded_images(images: DataFrame, caps: DataFrame, taken: DataFrame, page: list[str], min_pixels: int = MIN_PIXELS, per_page: int = PER_PAGE, strict_captions: bool = True) -> DataFrame:

@@ -11,64 +11,73 @@ from citeloom.functions.text import content_words
 from citeloom.functions.workers import with_python_path
 
 TEXT_TOP, FIGURE_TOP, CANDIDATES, WEIGHT, FIGURE_WEIGHT = 5, 3, 24, 0.35, 0.25
-QUERY_BLOCK = 2_000  # queries that go to every task at once
+QUERY_BLOCK = 2_000  # queries that a task multiplies its rows with at once
+SCAN_BLOCKS = 10  # blocks that one scan of the corpus serves
 
 
 def dense_top(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, row_id, distance, dense_score, dense_rank): the k rows of corpus (row_id, embedding) of least cosine
     distance to each of queries (query_id, embedding), ties by row_id; dense_score is 1 - distance, 0 at least.
 
-    Queries are taken in blocks of QUERY_BLOCK; a task multiplies its rows with a block and keeps k rows per query, so
-    tasks x queries x k rows are shuffled, whatever the corpus's size. Vectors that are null, zero or of another length
-    than the query's are left out.
+    Queries go out in blocks of QUERY_BLOCK; a task reads its rows once, multiplies them with each block and keeps k rows
+    per query, so
+    tasks x queries x k rows are shuffled, whatever the corpus's size. A row whose vector is null, empty or zero is at
+    distance 1 from every query; vectors of another length than the query's and those with null or non-finite components
+    are left out. Queries of the latter kinds, and zero ones, have no neighbours; rows that repeat a query_id ask once, with
+    the smallest vector.
     """
     spark = corpus.sparkSession
     with_python_path(spark)
-    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-    rows = corpus.where("row_id is not null and embedding is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    asked = queries.where("query_id is not null and embedding is not null").where(fine).select(F.col("query_id").cast("long"), vector)
+    asked = asked.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
+    none = F.array().cast("array<double>")
+    rows = corpus.where("row_id is not null").where(F.coalesce(fine, F.lit(True)))
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(vector, none).alias("embedding"))
     schema = "query_id long, row_id long, distance double"
-    found, last = spark.createDataFrame([], schema), None
-    while True:
-        block = asked if last is None else asked.where(F.col("query_id") > last)
-        block = block.orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if not block:
-            break
+    blocks, last = [], None
+    while block := (asked if last is None else asked.where(F.col("query_id") > last)).orderBy("query_id").limit(QUERY_BLOCK).collect():
         last = block[-1][0]
-        shared = spark.sparkContext.broadcast([(q, list(e)) for q, e in block])
-        found = found.unionByName(rows.mapInArrow(_top_of_task(shared, k), schema))
+        blocks.append(spark.sparkContext.broadcast([(q, list(e)) for q, e in block]))
         if len(block) < QUERY_BLOCK:
             break
+    found = spark.createDataFrame([], schema)
+    for i in range(0, len(blocks), SCAN_BLOCKS):
+        found = found.unionByName(rows.mapInArrow(_top_of_task(blocks[i : i + SCAN_BLOCKS], k), schema))
     best = Window.partitionBy("query_id").orderBy("distance", "row_id")
     ranked = found.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k)
     return ranked.select("query_id", "row_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("dense_score"), "dense_rank")
 
 
-def _top_of_task(shared, k: int):
+def _top_of_task(blocks: list, k: int):
     def run(batches):
-        by_dim: dict[int, tuple[list, list]] = {}
-        for q, e in shared.value:
-            if any(e):
-                ids, vectors = by_dim.setdefault(len(e), ([], []))
-                ids.append(q)
-                vectors.append(np.array(e) / np.linalg.norm(e))
-        queries = {d: (np.array(ids), np.array(v)) for d, (ids, v) in by_dim.items()}
-        held = {d: (np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))) for d, (ids, _) in queries.items()}
+        parts = []  # of a block the queries of one length
+        for shared in blocks:
+            by_dim: dict[int, tuple[list, list]] = {}
+            for q, e in shared.value:
+                if any(e):
+                    ids, vectors = by_dim.setdefault(len(e), ([], []))
+                    ids.append(q)
+                    vectors.append(np.array(e) / np.linalg.norm(e))
+            parts += [(d, np.array(ids), np.array(v)) for d, (ids, v) in by_dim.items()]
+        held = [(np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))) for _, ids, _ in parts]
         for b in batches:
-            sizes = np.diff(b.column(1).offsets.to_numpy())
-            for d, (_, matrix) in queries.items():
+            names, sizes = b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            bare = names[sizes == 0]
+            units = {}
+            for d in {d for d, _, _ in parts}:
                 own = np.flatnonzero(sizes == d)
-                if not len(own):
-                    continue
                 x = b.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 norm = np.linalg.norm(x, axis=1)
-                fine = np.isfinite(norm) & (norm > 0)
-                distance = 1 - matrix @ (x[fine] / norm[fine, None]).T
-                ids = b.column(0).to_numpy()[own[fine]]
-                every = np.c_[held[d][0], np.broadcast_to(ids, distance.shape)], np.c_[held[d][1], distance]
+                units[d] = np.r_[names[own], bare], x / np.where(norm > 0, norm, 1)[:, None]
+            for i, (d, _, matrix) in enumerate(parts):
+                ids, unit = units[d]
+                distance = 1 - np.c_[matrix @ unit.T, np.zeros((len(matrix), len(bare)))]
+                every = np.c_[held[i][0], np.broadcast_to(ids, distance.shape)], np.c_[held[i][1], distance]
                 best = np.lexsort(every, axis=1)[:, :k]
-                held[d] = tuple(np.take_along_axis(e, best, axis=1) for e in every)
-        for d, (ids, _) in queries.items():
-            rows, distance = held[d]
+                held[i] = tuple(np.take_along_axis(e, best, axis=1) for e in every)
+        for (_, ids, _), (rows, distance) in zip(parts, held, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, rows.shape[1])), pa.array(rows.ravel()), pa.array(distance.ravel())], ["query_id", "row_id", "distance"])
 
     return run

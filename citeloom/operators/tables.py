@@ -27,14 +27,14 @@ def markdown(rows: Column, max_rows: int = MAX_ROWS) -> Column:
     return F.when((F.size(clean) < 2) | (F.size(places) < 2), "").otherwise(text)
 
 
-def table_chunks(tables: DataFrame, ranges: DataFrame, pages: DataFrame) -> DataFrame:
+def table_chunks(tables: DataFrame, ranges: DataFrame, pages: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """tables (doc_uid, page_number, ord, rows) as chunks: the nth table has the nth detected range (doc_uid,
     page_number, ord, line_start, line_end), else its page's lines (doc_uid, page_number, n_lines), else 0 and 0."""
-    made = tables.withColumn("md", markdown(F.col("rows"))).where("md <> ''")
+    made = tables.withColumn("md", markdown(F.col("rows"), max_rows)).where("md <> ''")
     made = made.join(ranges, ["doc_uid", "page_number", "ord"], "left").join(pages, ["doc_uid", "page_number"], "left")
     head = F.format_string("Table extracted from page %d:\n\n", F.col("page_number"))
     whole = F.when(F.col("n_lines") > 0, 1)
     return made.select(
         "doc_uid", "page_number", "ord", F.coalesce("line_start", whole, F.lit(0)).alias("line_start"), F.coalesce("line_end", F.when(whole == 1, F.col("n_lines")), F.lit(0)).alias("line_end"),
-        F.concat(head, F.substring("md", 1, MAX_CHARS)).alias("text"),
+        F.concat(head, F.substring("md", 1, max_chars)).alias("text"),
     )

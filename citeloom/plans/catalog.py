@@ -53,14 +53,14 @@ def src01_discover(spark, sf_dir):
 @query(f"""SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n FROM {fx.duck("paths")}
   WHERE ends_with(path, '.pdf') AND NOT regexp_matches(regexp_extract(path, '[^/]*$'), '^([.]|~[$])') GROUP BY 1""")
 def src03_counts(spark, sf_dir):
-    rows = fx.fixture(spark, sf_dir, "paths").where(listing.is_scanned(F.col("path")))
-    return rows.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"))
+    return listing.counts_by_folder(fx.fixture(spark, sf_dir, "paths"))
 
 
 @query("""SELECT concat('src/doc_', doc_id, '.pdf') AS rel_path, substring(sha1(concat('src/doc_', doc_id, '.pdf')), 1, 16) AS doc_uid, octet_length(encode(text))::BIGINT AS size_bytes, sha256(text) AS sha256 FROM documents""")
 def src04_records(spark, sf_dir):
     rel = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return read(spark, sf_dir, "documents").select(rel.alias("rel_path"), tx.doc_uid(rel).alias("doc_uid"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
+    rows = read(spark, sf_dir, "documents").select(*listing.record(rel, F.col("text").cast("binary")), F.octet_length("text").cast("long").alias("size_bytes"))
+    return rows.select("rel_path", "doc_uid", "size_bytes", "sha256")
 
 
 @query(f"""SELECT doc_id, page_number, line_number, trim(text, E' \\t\\n\\r') AS text, x0, y0, x1, y1 FROM {fx.DUCK_BOXES} WHERE dir_y <= 0.1 AND trim(text, E' \\t\\n\\r') <> ''""")
@@ -106,8 +106,8 @@ def snk01_replace(spark, sf_dir):
 
 @query(f"SELECT source, count(*) AS n FROM {_OLD} WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
 def snk04_delete(spark, sf_dir):
-    gone = read(spark, sf_dir, "labels").select("doc_id")
-    return _stored(spark, sf_dir).join(gone, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    gone = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc_uid"))
+    return store.without(_stored(spark, sf_dir).withColumnRenamed("doc_id", "doc_uid"), gone).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'chunks' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'figures', count(*) FROM benchmark")
@@ -132,6 +132,26 @@ def snk09_orphans(spark, sf_dir):
     return store.orphans(before, before.where("content_type = 'table'"), "/img")
 
 
+@query(f"""WITH gone AS (SELECT DISTINCT document_name FROM {fx.duck("hits")} WHERE content_type = 'table' AND document_name LIKE 'doc_1%')
+  SELECT 'figures' AS collection, count(*) AS n FROM {fx.duck("hits")} WHERE document_name NOT IN (FROM gone) UNION ALL SELECT 'manifest', count(*) FROM {fx.duck("manifest")} WHERE lower(document_name) NOT IN (FROM gone)
+  UNION ALL SELECT 'images', count(*) FROM (SELECT image_path FROM {fx.duck("hits")} EXCEPT SELECT image_path FROM {fx.duck("hits")} WHERE document_name NOT IN (FROM gone)) WHERE starts_with(image_path, '/img/')""")
+def snk10_remove_everywhere(spark, sf_dir):
+    """The rows that are left of figures and manifest, and the images that go, when some documents are removed."""
+    hits = fx.fixture(spark, sf_dir, "hits").withColumnRenamed("document_name", "doc_uid")
+    gone = hits.where("content_type = 'table' and doc_uid like 'doc_1%'").select("doc_uid").distinct()
+    left = store.without(hits, gone)
+    rows = fx.fixture(spark, sf_dir, "manifest").withColumn("doc_uid", F.lower("document_name"))
+    n = lambda d, c: d.agg(F.count("*").alias("n")).select(F.lit(c).alias("collection"), "n")
+    return n(left, "figures").unionByName(n(manifest.delete(rows, gone), "manifest")).unionByName(n(store.orphans(hits, left, "/img"), "images"))
+
+
+@query(f"""SELECT path, concat(substring(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 60), '_', substring(sha1(path), 1, 8), '_p', lpad((1 + doc_id % 7)::VARCHAR, 4, '0'), '_img', lpad((doc_id % 90)::VARCHAR, 3, '0'), '.png') AS name FROM {fx.duck("paths")}""")
+def snk11_embedded_names(spark, sf_dir):
+    p, i = F.col("path"), F.col("doc_id")
+    name = tx.image_name(listing.base_name(p), tx.doc_uid(p), (1 + i % 7).cast("int"), (i % 90).cast("int"), F.lit("PNG"))
+    return fx.fixture(spark, sf_dir, "paths").select("path", name.alias("name"))
+
+
 @query(f"""SELECT path, substring(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1'), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 60) AS stem FROM {fx.duck("paths")}""")
 def snk11_image_names(spark, sf_dir):
     return fx.fixture(spark, sf_dir, "paths").select("path", tx.image_stem(listing.base_name(F.col("path"))).alias("stem"))
@@ -300,7 +320,10 @@ def fig05_region(spark, sf_dir):
     return figures.regions(_capped(spark, sf_dir), fx.boxes(spark, sf_dir).where("dir_y <= 0.1"), _art(spark, sf_dir), PAGE).select("doc_id", "rect_id", "x0", "y0", "x1", "y1")
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, page_number, pos AS rect_id, x0 - 10 AS x0, y0, x1, y0 + 30 + 5 * (pos % 5) AS y1 FROM {fx.DUCK_BOXES}),
+pages AS (SELECT doc_id, page_number, list({{'rect_id': rect_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY rect_id) AS l FROM r WHERE (x1 - x0) * (y1 - y0) >= 10000 GROUP BY ALL),
+kept AS (SELECT doc_id, page_number, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda b: b.x0 < x[1].x1 AND x[1].x0 < b.x1 AND b.y0 < x[1].y1 AND x[1].y0 < b.y1)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM pages)
+SELECT doc_id, page_number, k.rect_id AS rect_id, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1 FROM kept""")
 def fig06_accepted(spark, sf_dir):
     """Regions of each page taken in order, none that meets an earlier one."""
     rows = fx.boxes(spark, sf_dir).select("doc_id", "page_number", F.col("pos").alias("rect_id"), (F.col("x0") - 10).alias("x0"), F.col("y0"), F.col("x1"), (F.col("y0") + 30 + 5 * (F.col("pos") % 5)).alias("y1"))
@@ -410,17 +433,19 @@ def _hybrid_sql(n: int, w: float) -> str:
     return _HYBRID.format(words=_words_sql("c.text"), qwords=_words_sql("b.text"), n=n, w=w)
 
 
-_CHUNK_CORPUS = f"""WITH {_WALK}, corpus AS (SELECT doc_id * 100000 + ord AS row_id, text, doc_id, line_start, line_end, embedding FROM chunks JOIN embeddings ON vec_id = doc_id),
-docdense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS nth FROM ({_KNN})),
-dense AS (SELECT query_id, c.row_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.row_id) AS dense_rank FROM docdense d JOIN corpus c ON c.doc_id = d.row_id WHERE nth <= 48)"""
+_DOC_KNN = "SELECT q.item_id AS query_id, d.doc_id AS row_id, coalesce(1 - list_cosine_similarity(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1) AS distance FROM benchmark q JOIN embeddings qe ON q.item_id = qe.vec_id, documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
+_CHUNK_CORPUS = f"""WITH {_WALK}, corpus AS (SELECT doc_id * 100000 + ord AS row_id, text, doc_id, line_start, line_end FROM chunks),
+docdense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS nth FROM (SELECT * FROM ({_DOC_KNN}) WHERE row_id IN (SELECT doc_id FROM corpus))),
+dense AS (SELECT query_id, c.row_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.row_id) AS dense_rank FROM docdense d JOIN corpus c ON c.doc_id = d.row_id WHERE nth <= 24)"""
 
 
 @query(f"""{_CHUNK_CORPUS}, {_hybrid_sql(24, 0.35)}
 SELECT query_id, row_id, hit_rank::INT AS hit_rank, round(score, 9) AS score, round(lexical, 9)::DOUBLE AS lexical_score, concat('[doc_', doc_id, '.pdf, Page 1, Line ', line_start, '-', line_end, ']') AS citation FROM hits JOIN corpus USING (row_id) WHERE hit_rank <= 5""")
 def ret06_hybrid_topk(spark, sf_dir):
-    """The five best chunks of each question, with citation labels: chunks of all documents, each with its document's vector."""
+    """The five best chunks of each question, with citation labels: chunks of all documents, each with its document's
+    vector, or at distance 1 where it has none."""
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = _chunks(spark, sf_dir).join(vectors, "doc_id")
+    chunks = _chunks(spark, sf_dir).join(vectors, "doc_id", "left")
     corpus = chunks.select((F.col("doc_id") * 100000 + F.col("ord")).alias("row_id"), "doc_id", "line_start", "line_end", "text", "embedding")
     hits = retrieval.hybrid(corpus, _questions(spark, sf_dir))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
@@ -428,20 +453,25 @@ def ret06_hybrid_topk(spark, sf_dir):
     return hits.select("query_id", "row_id", "hit_rank", F.round("score", 9).alias("score"), F.round("lexical_score", 9).alias("lexical_score"), label.alias("citation"))
 
 
-_DOC_CORPUS = "corpus AS (SELECT doc_id AS row_id, text FROM documents JOIN embeddings ON vec_id = doc_id)"
+_DOC_CORPUS = "corpus AS (SELECT doc_id AS row_id, text FROM documents)"
+_DOC_DENSE = f"dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS dense_rank FROM ({_DOC_KNN}))"
 
 
 def _documents(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text").join(vectors, "row_id")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text").join(vectors, "row_id", "left")
 
 
-@query(f"WITH {_DENSE.replace('embeddings e)', 'embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents))')}, {_DOC_CORPUS}, {_hybrid_sql(9, 0.25)} SELECT query_id, row_id, hit_rank::INT AS hit_rank, round(score, 9) AS score FROM hits WHERE hit_rank <= 3")
+@query(f"WITH {_DOC_DENSE}, {_DOC_CORPUS}, {_hybrid_sql(9, 0.25)} SELECT query_id, row_id, hit_rank::INT AS hit_rank, round(score, 9) AS score FROM hits WHERE hit_rank <= 3")
 def ret07_caption_topk(spark, sf_dir):
     return retrieval.figures(_documents(spark, sf_dir), _questions(spark, sf_dir)).select("query_id", "row_id", "hit_rank", F.round("score", 9).alias("score"))
 
 
-@query()
+_TOPS = f"WITH {_DOC_DENSE}, {_DOC_CORPUS}, {{}} SELECT '{{}}' AS collection, query_id, row_id, hit_rank, score FROM hits WHERE hit_rank <= {{}}"
+
+
+@query(f"""SELECT query_id, collection, row_id, hit_rank::INT AS hit_rank, (row_number() OVER (PARTITION BY query_id ORDER BY collection, hit_rank) - 1)::INT AS hit_ord, round(score, 9) AS score
+  FROM (SELECT * FROM ({_TOPS.format(_hybrid_sql(24, 0.35), "chunks", 5)}) UNION ALL SELECT * FROM ({_TOPS.format(_hybrid_sql(9, 0.25), "figures", 3)}))""")
 def ret08_bundle(spark, sf_dir):
     docs, asked = _documents(spark, sf_dir), _questions(spark, sf_dir)
     return retrieval.bundle(retrieval.hybrid(docs, asked), retrieval.figures(docs, asked)).select("query_id", "collection", "row_id", "hit_rank", "hit_ord", F.round("score", 9).alias("score"))
@@ -568,8 +598,7 @@ def _both(spark, sf_dir):
 
 @query(f"SELECT doc_uid, document_name, status, chunk_count FROM {_MAN} WHERE doc_uid = substring(sha1('src/doc_3.pdf'), 1, 16)")
 def man01_get(spark, sf_dir):
-    rows = fx.fixture(spark, sf_dir, "manifest")
-    return rows.where(F.col("doc_uid") == tx.doc_uid(F.lit("src/doc_3.pdf"))).select("doc_uid", "document_name", "status", "chunk_count")
+    return manifest.get(fx.fixture(spark, sf_dir, "manifest"), tx.doc_uid(F.lit("src/doc_3.pdf"))).select("doc_uid", "document_name", "status", "chunk_count")
 
 
 @query(f"SELECT document_name, doc_uid FROM {_MAN}")
@@ -657,12 +686,13 @@ def ing02_outcome(spark, sf_dir):
     return fx.fixture(spark, sf_dir, "manifest").select("doc_uid", manifest.outcome(F.col("chunk_count"), F.col("figure_count"), F.col("error")).alias("outcome"))
 
 
-@query(f"""WITH a AS (SELECT CASE WHEN {_NEEDS} THEN 'ingest' ELSE 'skip' END AS action, CASE WHEN {_NEEDS} THEN 'indexed' ELSE '' END AS status, coalesce(m.chunk_count, 0) AS c, coalesce(m.figure_count, 0) AS f FROM {_LIST} l LEFT JOIN {_MAN} m ON l.doc_uid = m.doc_uid)
-SELECT count(*) AS scanned, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (action = 'skip') AS skipped, concat('scanned ', count(*), ' | indexed ', count(*) FILTER (status = 'indexed'), ' | skipped ', count(*) FILTER (action = 'skip'), ' | failed 0 | removed 0 | ', sum(c), ' chunks, ', sum(f), ' figures') AS summary FROM a""")
+@query(f"""WITH a AS (SELECT CASE WHEN {_NEEDS} THEN 'ingest' ELSE 'skip' END AS action, CASE WHEN {_NEEDS} THEN 'indexed' ELSE '' END AS status, coalesce(m.chunk_count, 0) AS c, coalesce(m.figure_count, 0) AS f, coalesce(m.table_count, 0) AS t FROM {_LIST} l LEFT JOIN {_MAN} m ON l.doc_uid = m.doc_uid)
+SELECT count(*) AS scanned, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (action = 'skip') AS skipped, concat('indexed=', count(*) FILTER (status = 'indexed'), ' skipped=', count(*) FILTER (action = 'skip'), ' failed=0 removed=0 chunks=', sum(c), ' figures=', sum(f), ' tables=', sum(t)) AS summary FROM a""")
 def ing06_report(spark, sf_dir):
     rows, files = _both(spark, sf_dir)
-    acts = manifest.plan(files, rows).join(rows.select("doc_uid", F.col("chunk_count").alias("chunks"), F.col("figure_count").alias("figures")), "doc_uid", "left")
-    acts = acts.select("action", F.when(F.col("action") == "ingest", "indexed").otherwise("").alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("figures", F.lit(0)).alias("figures"))
+    counts = [F.col(c).alias(n) for c, n in (("chunk_count", "chunks"), ("figure_count", "figures"), ("table_count", "tables"))]
+    acts = manifest.plan(files, rows).join(rows.select("doc_uid", *counts), "doc_uid", "left")
+    acts = acts.select("action", F.when(F.col("action") == "ingest", "indexed").otherwise("").alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "figures", "tables")])
     return manifest.report(acts).select("scanned", "indexed", "skipped", "summary")
 
 
@@ -713,8 +743,25 @@ def str04_stable(spark, sf_dir):
     return watch.stable(e.groupBy("path", "us").agg(size.alias("size")))
 
 
+@query(f"""WITH {_ACTS}, last AS (SELECT path, arg_max(action, (us, event_id)) AS action, max(us) AS us FROM acts GROUP BY path),
+looks AS (SELECT path, us, max(CASE WHEN event_id % 23 = 0 THEN NULL ELSE size // 100 END) AS size FROM {fx.duck("events")} GROUP BY path, us),
+steps AS (SELECT *, CASE WHEN row_number() OVER p > 1 AND size IS NOT DISTINCT FROM lag(size) OVER p THEN 0 ELSE 1 END AS new FROM looks WINDOW p AS (PARTITION BY path ORDER BY us)),
+since AS (SELECT *, min(us) OVER (PARTITION BY path, run) AS since FROM (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY us) AS run FROM steps)),
+steady AS (SELECT DISTINCT path FROM since WHERE size IS NOT NULL AND us - since >= 2000000)
+SELECT path, action, CASE WHEN action = 'remove' THEN 0 ELSE 1 END AS step FROM last WHERE us + 4000000 <= (SELECT max(us) FROM acts) AND (action = 'remove' OR path IN (FROM steady))""")
+def str05_drain(spark, sf_dir):
+    """What is handed over at the time of the last event: due removals first, then due upserts of steady files."""
+    acts = _acts(spark, sf_dir)
+    e = fx.fixture(spark, sf_dir, "events")
+    steady = watch.stable(e.groupBy("path", "us").agg(F.max(F.when(F.col("event_id") % 23 != 0, F.floor(F.col("size") / 100))).alias("size")))
+    ended = watch.bursts(acts).groupBy("path").agg(F.max_by("action", "due").alias("action"), F.max("due").alias("due"))
+    now = acts.agg(F.max("ts").alias("now"))
+    due = ended.join(F.broadcast(now), F.col("due") <= F.col("now")).join(steady, "path", "left")
+    return watch.steps(due.where("action = 'remove' or stable_at is not null")).select("path", "action", "step")
+
+
 @query(f"""SELECT path, op FROM (SELECT coalesce(m.rel_path, l.rel_path) AS path, CASE WHEN m.rel_path IS NULL THEN 'created' WHEN l.rel_path IS NULL THEN 'deleted' WHEN m.size_bytes <> l.size_bytes OR m.mtime <> l.mtime THEN 'modified' END AS op
   FROM {_MAN} m FULL JOIN {_LIST} l ON m.rel_path = l.rel_path) WHERE op IS NOT NULL""")
-def str05_differences(spark, sf_dir):
+def str00_differences(spark, sf_dir):
     before, after = (d.withColumnRenamed("rel_path", "path") for d in _both(spark, sf_dir))
     return feed.differences(before, after)

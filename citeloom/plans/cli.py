@@ -102,11 +102,25 @@ def _doctor(settings: Settings, out) -> int:
     java, free = shutil.which("java"), shutil.disk_usage(".").free
     out(f"python {sys.version.split()[0]}  pyspark {pyspark.__version__}  java {java or 'missing'}")
     out(f"free disk {human(free)}{'  (low)' if free < 5 * 2**30 else ''}")
+    have = memory()
+    if "MemAvailable" in have:
+        out(f"free memory {human(have['MemAvailable'])}{'  (low)' if have['MemAvailable'] < 3 * 2**30 else ''}")
+    if have.get("SwapTotal"):
+        out(f"free swap {human(have['SwapFree'])}{'  (low)' if have['SwapFree'] < 0.05 * have['SwapTotal'] else ''}")
     embed.embedder(settings.embedding_backend)
     out(f"embedding {settings.embedding_backend}:{settings.embedding_model}:{settings.embedding_dim}")
     return 0 if java else 1
 
 
+def memory() -> dict[str, float]:
+    """The bytes of memory and swap of this machine, where it tells: MemTotal, MemAvailable, SwapTotal, SwapFree."""
+    try:
+        with open("/proc/meminfo") as lines:
+            return {name: float(rest.split()[0]) * 1024 for name, _, rest in (line.partition(":") for line in lines)}
+    except OSError:
+        return {}
+
+
 def _with_store(args, settings: Settings, ingest: Ingest, generate, out) -> int:
     store = ingest.store
     if args.command == "ingest":
@@ -125,7 +139,7 @@ def _with_store(args, settings: Settings, ingest: Ingest, generate, out) -> int:
     elif args.command == "watch":
         from citeloom.streaming.feed import follow
 
-        follow(ingest, f"{settings.stability_seconds:g} seconds", not args.no_initial_sync).awaitTermination()
+        follow(ingest, initial_sync=not args.no_initial_sync).awaitTermination()
         return 0
     elif args.command == "reset":
         if not args.yes:
@@ -138,6 +152,8 @@ def _with_store(args, settings: Settings, ingest: Ingest, generate, out) -> int:
         row = manifest.status(store.read("manifest"), store.read("chunks"), store.read("figures"), store.fingerprint).first()
         for name, value in row.asDict().items():
             out(f"{name}: {value}")
+        size = store.read("images").selectExpr("coalesce(sum(length(data)), 0)").first()[0]
+        out(f"images: {human(size)}")
         for r in manifest.by_status(store.read("manifest"), "failed").limit(15).collect():
             out(f"failed: {r['document_name']}: {r['error']}")
         return 0
@@ -156,8 +172,11 @@ def _with_store(args, settings: Settings, ingest: Ingest, generate, out) -> int:
         return 0
     for name in report.planned:
         out(f"would ingest {name}")
-    for name, problem in report.errors:
-        out(f"failed: {name}: {problem}")
+    for word, found in (("failed", report.errors), ("warning", report.warnings)):
+        for name, problem in found:
+            out(f"{word}: {name}: {problem}")
+    if report.failed > len(report.errors):
+        out(f"failed: {report.failed - len(report.errors)} more")
     out(report.summary())
     return 1 if report.failed and not report.indexed else 0
 

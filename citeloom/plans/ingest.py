@@ -5,21 +5,25 @@ from __future__ import annotations
 import contextlib
 import datetime
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import row_id
-from citeloom.operators import chunking, embed, figures, layout
+from citeloom.functions.text import image_name, row_id
+from citeloom.operators import chunking, embed, figures, layout, tables
 from citeloom.plans import manifest
 from citeloom.plans.settings import Settings
-from citeloom.plans.store import Store
+from citeloom.plans.store import Store, orphans
 from citeloom.sources import listing, spans
 
 PAGE = ["rel_path", "page_number"]
+ERRORS = 100
+AFTER = 1_000_000  # images are numbered after a page's regions
+FEW = 10_000  # documents whose names go to every task
 
 
 class Busy(RuntimeError):
@@ -57,11 +61,17 @@ class Report:
     recovered: int = 0
     chunks: int = 0
     figures: int = 0
-    errors: list[tuple[str, str]] = field(default_factory=list)
+    tables: int = 0
+    images_removed: int = 0
+    seconds: float = 0.0
+    errors: list[tuple[str, str]] = field(default_factory=list)  # ERRORS at most; failed counts all
+    warnings: list[tuple[str, str]] = field(default_factory=list)  # of pages that can't be read, ERRORS at most
     planned: list[str] = field(default_factory=list)
 
     def summary(self) -> str:
-        return f"scanned {self.scanned} | indexed {self.indexed} | skipped {self.skipped} | failed {self.failed} | removed {self.removed} | {self.chunks} chunks, {self.figures} figures"
+        if self.planned:
+            return f"would re-ingest {len(self.planned)} document(s), skip {self.skipped}"
+        return manifest.SUMMARY % tuple(getattr(self, n) for n in manifest.SUMMED) + f" in {self.seconds:.1f}s"
 
 
 def utc_now() -> str:
@@ -88,15 +98,26 @@ class Ingest:
         """Brings the store up to date with the corpus; a narrowed run never prunes, a dry run writes nothing."""
         if dry_run:
             report = Report()
-            rows = self.plan(selector, force).select("document_name", "action").collect()
-            report.scanned, report.planned = len(rows), sorted(r[0] for r in rows if r[1] == "ingest")
+            rows = self.plan(selector, force).orderBy(listing.path_order(F.col("rel_path"))).select("document_name", "action").collect()
+            report.scanned, report.planned = len(rows), [r[0] for r in rows if r[1] == "ingest"]
             report.skipped = report.scanned - len(report.planned)
             return report
-        with self._lock():
+        with self._lock(), self._workplace():
+            began = time.monotonic()
             report = self._sync(selector, force, prune and not selector.is_narrowed)
+            report.seconds = time.monotonic() - began
         self.progress(report.summary())
         return report
 
+    @contextlib.contextmanager
+    def _workplace(self) -> Iterator[None]:
+        """A folder for this run's tables, removed at its end."""
+        self._work = f"work/{uuid.uuid4().hex}"
+        try:
+            yield
+        finally:
+            self.store.remove_path(self._work)
+
     def _sync(self, selector, force, prune) -> Report:
         report, now = Report(), self.now()
         self.store.check_backend()
@@ -115,13 +136,34 @@ class Ingest:
             gone = self._snapshot(manifest.missing(self.store.read("manifest"), files).select("doc_uid"), "gone")
             report.removed = gone.count()
             if report.removed:
-                self.store.delete_documents(gone)
+                report.images_removed += self._delete(gone)
         return report
 
-    def remove(self, uids: DataFrame) -> None:
-        """Takes documents out of all collections."""
+    def _delete(self, uids: DataFrame) -> int:
+        """Takes documents out of all collections; gives how many images went."""
+        before = self.store.read("figures")
+        self.store.delete_documents(uids)
+        return orphans(before, self.store.read("figures"), self.settings.images_dir).count()
+
+    def remove(self, uids: DataFrame) -> int:
+        """Takes documents (doc_uid) out of all collections, the manifest and their images; gives how many images went."""
         with self._lock():
-            self.store.delete_documents(uids)
+            return self._delete(uids)
+
+    def upsert(self, paths: DataFrame) -> Report:
+        """Ingests those of the files paths (rel_path) that are new or changed; nothing is pruned."""
+        with self._lock(), self._workplace():
+            report, now = Report(), self.now()
+            acts = self._snapshot(self.plan().join(paths.select("rel_path").distinct(), "rel_path", "left_semi"), "plan")
+            report.scanned, report.skipped = acts.count(), acts.where("action = 'skip'").count()
+            if report.scanned > report.skipped:
+                self._ingest(acts.where("action = 'ingest'"), report, now)
+        return report
+
+    def export_images(self, uids: DataFrame | None = None) -> DataFrame:
+        """(image_path, data): the images of the store, or of some documents, under the paths that citations name."""
+        rows = self.store.read("images")
+        return (rows if uids is None else rows.join(uids, "doc_uid", "left_semi")).select("image_path", "data")
 
     def rebuild(self) -> Report:
         """Empties the store, takes this backend's name for it, and ingests everything."""
@@ -134,7 +176,7 @@ class Ingest:
             self.store.reset()
 
     def _snapshot(self, df: DataFrame, what: str) -> DataFrame:
-        path = f"{self.store.root}/work/{what}-{uuid.uuid4().hex}"
+        path = f"{self.store.root}/{self._work}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -143,36 +185,43 @@ class Ingest:
         pending = manifest.upsert_pending(self.store.read("manifest"), todo, now)
         marks = todo.select("doc_uid", F.lit("indexing").alias("new_status"), F.lit("").alias("new_error"))
         self.store.write(manifest=manifest.set_status(pending, marks, now))
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", s.ingest_recursive).load(s.pdf_dir)
-        ends = F.concat(F.lit("/"), F.col("rel_path"))
-        files = files.select("path", "content").join(F.broadcast(todo.select("rel_path")) if todo.count() <= 10_000 else todo.select("rel_path"), F.endswith("path", ends)).select("rel_path", "content")
+        wanted = todo.select("rel_path")
+        files = listing.files(self.spark, s.pdf_dir, s.ingest_recursive).select("rel_path", "content")
+        files = files.join(F.broadcast(wanted) if todo.count() <= FEW else wanted, "rel_path")
         found = self._snapshot(spans.extract(files, self.extractor), "spans")
-        chunks, pictures = self._parsed(found, todo)
+        chunks, pictures, images = self._parsed(found, todo)
         loader = embed.embedder(s.embedding_backend, s.embedding_model, s.embedding_dim)
         chunks = self._snapshot(embed.embed(chunks, loader), "chunks")
         pictures = self._snapshot(embed.embed(pictures, loader), "figures")
-        broken = found.where("error is not null").groupBy("rel_path").agg(F.min("error").alias("failure"))
+        broken = found.where("error is not null and page_number is null").groupBy("rel_path").agg(F.min("error").alias("failure"))
         n = lambda d, c: d.groupBy("doc_uid").agg(F.count("*").alias(c))
-        pages = found.groupBy("rel_path").agg(F.countDistinct("page_number").alias("page_count"))
+        pages = found.where("error is null").groupBy("rel_path").agg(F.countDistinct("page_number").alias("page_count"))
         rows = todo.select("doc_uid", "rel_path", "document_name").join(broken, "rel_path", "left").join(pages, "rel_path", "left")
-        rows = rows.join(n(chunks, "chunk_count"), "doc_uid", "left").join(n(pictures, "figure_count"), "doc_uid", "left").fillna(0, ["page_count", "chunk_count", "figure_count"])
-        rows = rows.withColumn("status", manifest.outcome(F.col("chunk_count"), F.col("figure_count"), F.col("failure"))).withColumn("table_count", F.lit(0))
+        counts = ["page_count", "chunk_count", "figure_count", "table_count"]
+        extracted = n(chunks.where("content_type = 'table'"), "table_count")
+        for more in (n(chunks, "chunk_count"), n(pictures, "figure_count"), extracted):
+            rows = rows.join(more, "doc_uid", "left")
+        rows = rows.fillna(0, counts).withColumn("status", manifest.outcome(F.col("chunk_count"), F.col("figure_count"), F.col("failure")))
         rows = self._snapshot(rows.withColumn("failure", F.when(F.col("status") == "failed", F.coalesce("failure", F.lit("no extractable text")))), "outcome")
         good = rows.where("status = 'indexed'")
-        self.store.replace_documents(chunks.join(good.select("doc_uid"), "doc_uid", "left_semi"), pictures.join(good.select("doc_uid"), "doc_uid", "left_semi"))
+        of_good = lambda d: d.join(good.select("doc_uid"), "doc_uid", "left_semi")
+        before = self.store.read("figures").join(good.select("doc_uid"), "doc_uid", "left_semi")
         done = manifest.mark_indexed(self.store.read("manifest"), good, now)
         bad = rows.where("status = 'failed'").select("doc_uid", F.col("status").alias("new_status"), F.col("failure").alias("new_error"))
-        self.store.write(manifest=manifest.set_status(done, bad, now))
-        total = rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("c"), F.sum("figure_count").alias("f")).collect()
+        self.store.replace_documents(of_good(chunks), of_good(pictures), of_good(images), manifest=manifest.set_status(done, bad, now))
+        report.images_removed += orphans(before, self.store.read("figures"), s.images_dir).count()
+        total = rows.groupBy("status").agg(F.count("*").alias("n"), *[F.sum(f"{c}_count").alias(c) for c in ("chunk", "figure", "table")]).collect()
         by = {r["status"]: r for r in total}
         if "indexed" in by:
-            report.indexed, report.chunks, report.figures = by["indexed"]["n"], by["indexed"]["c"], by["indexed"]["f"]
+            report.indexed, report.chunks, report.figures, report.tables = (by["indexed"][c] for c in ("n", "chunk", "figure", "table"))
+        some = lambda d: [tuple(r) for r in d.orderBy(listing.path_order(F.col("rel_path"))).limit(ERRORS).select("document_name", "failure").collect()]
         if "failed" in by:
-            report.failed = by["failed"]["n"]
-            report.errors = [tuple(r) for r in rows.where("status = 'failed'").orderBy("document_name").limit(100).select("document_name", "failure").collect()]
+            report.failed, report.errors = by["failed"]["n"], some(rows.where("status = 'failed'"))
+        unread = found.where("error is not null and page_number is not null").withColumn("failure", F.format_string("page %d unreadable: %s", "page_number", "error"))
+        report.warnings = some(unread.join(todo.select("rel_path", "document_name"), "rel_path"))
 
-    def _parsed(self, found: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The chunks and figures of span rows, without embeddings."""
+    def _parsed(self, found: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The chunks, figures and images of span rows, without embeddings."""
         s = self.settings
         size = found.where("error is null").groupBy(*PAGE).agg(F.max("width").alias("width"), F.max("height").alias("height"))
         lines = spans.text_lines(found.where("error is null")).join(size, PAGE)
@@ -181,10 +230,17 @@ class Ingest:
         pages = lines.groupBy(*PAGE).agg(texts.alias("lines"))
         parts = chunking.chunk_pages(pages, s.chunk_target, s.chunk_overlap, s.chunk_least)
         names = todo.select("rel_path", "doc_uid", "document_name", "source_path")
-        chunks = parts.join(names, "rel_path").withColumn("is_table", F.lit(False))
-        chunks = chunking.indexed(chunks).select(
+        own = ["doc_uid", "page_number"]
+        boxes = found.where("kind = 'table'").select(*PAGE, F.col("block").alias("rect_id"), "x0", "y0", "x1", "y1")
+        near = layout.line_ranges(boxes, lines, PAGE).join(names, "rel_path").select(*own, F.col("rect_id").alias("ord"), "line_start", "line_end")
+        n_lines = pages.join(names, "rel_path").select(*own, F.size("lines").alias("n_lines"))
+        cells = spans.cell_tables(found).join(names, "rel_path").select(*own, "ord", "rows")
+        drawn = tables.table_chunks(cells, near, n_lines, s.table_max_rows, s.table_max_chars).join(names, "doc_uid")
+        shape = ["rel_path", "page_number", "ord", "line_start", "line_end", "doc_uid", "document_name", "source_path"]
+        chunks = parts.join(names, "rel_path").select(*shape, F.col("chunk_text").alias("text"), F.lit(False).alias("is_table"))
+        chunks = chunking.indexed(chunks.unionByName(drawn.select(*shape, "text", F.lit(True).alias("is_table")))).select(
             row_id(F.col("doc_uid"), F.col("page_number"), "c", F.col("chunk_index")).alias("row_id"), "doc_uid", "document_name", "source_path", "page_number", "line_start", "line_end",
-            "chunk_index", F.lit("text").alias("content_type"), F.col("chunk_text").alias("text"), F.lit("").alias("caption"), F.lit("").alias("image_path"),
+            "chunk_index", F.when(F.col("is_table"), "table").otherwise("text").alias("content_type"), "text", F.lit("").alias("caption"), F.lit("").alias("image_path"),
         )
         blocks = lines.groupBy(*PAGE, "block", "width", "height").agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("block_text"),
@@ -194,10 +250,22 @@ class Ingest:
         placed = figures.caption_columns(caps, layout.column_bounds(lines, PAGE), PAGE)
         areas = figures.accepted(figures.regions(placed, lines, spans.graphics(found), PAGE), PAGE, s.figure_min_area, s.figure_max_per_page)
         kept = caps.join(areas.select(*PAGE, "rect_id"), [*PAGE, "rect_id"], "left_semi")
-        ranges = layout.line_ranges(kept, lines, PAGE)
+        kept = kept.select(*PAGE, "rect_id", "kind", "label", "caption", "x0", "y0", "x1", "y1", F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("binary").alias("data"))
+        if s.extract_images:
+            rasters = found.where("kind = 'image' and data is not null").join(names, "rel_path")
+            rasters = rasters.select(*PAGE, F.struct("block", "line", "span").alias("image_id"), "document_name", "pixels", "x0", "y0", "x1", "y1", F.col("text").alias("suffix"), "data")
+            taken = areas.join(caps.select(*PAGE, "rect_id", "label"), [*PAGE, "rect_id"])
+            shown = figures.embedded_images(rasters, caps, taken, PAGE, s.image_min_pixels, s.figure_max_per_page, s.strict_captions)
+            nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("image_id"))
+            shown = shown.select(*PAGE, (nth + AFTER).alias("rect_id"), F.lit("image").alias("kind"), "label", "caption", "x0", "y0", "x1", "y1", "suffix", "data")
+            kept = kept.unionByName(shown)
+        ranges = layout.line_ranges(kept.select(*PAGE, "rect_id", "x0", "y0", "x1", "y1"), lines, PAGE)
         pictures = kept.join(ranges, [*PAGE, "rect_id"]).join(names, "rel_path").withColumn("ord", F.col("rect_id"))
+        named = image_name(F.col("document_name"), F.col("doc_uid"), F.col("page_number"), F.col("figure_index"), F.coalesce("suffix", F.lit("png")))
+        path = F.when(F.col("data").isNotNull(), F.concat(F.lit(s.images_dir.rstrip("/") + "/"), named)).otherwise("")
         pictures = figures.numbered(pictures).select(
             row_id(F.col("doc_uid"), F.col("page_number"), "f", F.col("figure_index")).alias("row_id"), "doc_uid", "document_name", "source_path", "page_number", "line_start", "line_end",
-            "figure_index", "kind", "label", "caption", F.lit("").alias("image_path"), figures.figure_text(F.col("label"), F.col("caption")).alias("text"),
+            "figure_index", "kind", "label", "caption", path.alias("image_path"), figures.figure_text(F.col("label"), F.col("caption")).alias("text"), "data",
         )
-        return chunks, pictures
+        pictures = self._snapshot(pictures, "pictures")
+        return chunks, pictures.drop("data"), pictures.where("data is not null").select("row_id", "doc_uid", "image_path", "data")

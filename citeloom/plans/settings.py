@@ -21,11 +21,9 @@ class Settings:
     embedding_backend: str = "hashing"
     embedding_model: str = "hashing"
     embedding_dim: int = 384
-    embedding_batch: int = 64
     chunk_target: int = 1100
     chunk_overlap: int = 180
     chunk_least: int = 120
-    figure_dpi: int = 160
     figure_min_area: float = 10_000.0
     figure_max_per_page: int = 8
     extract_images: bool = True
@@ -40,10 +38,6 @@ class Settings:
     context_chars: int = 4500
     model: str = "llama3.2:3b"
     model_fallbacks: tuple = ()
-    temperature: float = 0.1
-    num_ctx: int = 4096
-    num_predict: int = 700
-    keep_alive: str = "30m"
     ingest_recursive: bool = True
     debounce_seconds: float = 4.0
     stability_seconds: float = 2.0

@@ -1,7 +1,9 @@
 """The store of a knowledge base: Parquet snapshots of its collections behind a pointer that is renamed into place.
 
 Every change writes a whole snapshot of the collections that it touches and then moves the pointer, so readers see the
-old state or the new one and a crash leaves the old one. Paths go through Hadoop's file systems.
+old state or the new one and a crash leaves the old one. The snapshots of the state before are kept for readers that are
+still at it, older ones are removed. Images are rows of a collection, under the path that they are exported to, so they
+come and go with their documents. Paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 COLLECTIONS = {
     "chunks": "row_id string, doc_uid string, document_name string, source_path string, page_number int, line_start int, line_end int, chunk_index int, content_type string, text string, caption string, image_path string, embedding array<float>",
     "figures": "row_id string, doc_uid string, document_name string, source_path string, page_number int, line_start int, line_end int, figure_index int, kind string, label string, caption string, image_path string, text string, embedding array<float>",
+    "images": "row_id string, doc_uid string, image_path string, data binary",
     "manifest": "doc_uid string, document_name string, source_path string, rel_path string, sha256 string, size_bytes long, mtime double, status string, page_count int, chunk_count int, figure_count int, table_count int, parser_version string, error string, indexed_at string, updated_at string",
 }
 
@@ -30,6 +33,8 @@ class Store:
         self.spark, self.root, self.fingerprint = spark, root.rstrip("/"), fingerprint
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        state = self._state()
+        self._state_paths = {*state["tables"].values(), *state.get("before", {}).values()}
 
     def _state(self) -> dict:
         at = self._path(f"{self.root}/CURRENT")
@@ -77,15 +82,28 @@ class Store:
             fields = [f.split(" ")[0] for f in COLLECTIONS[name].split(", ")]
             df.select(fields).write.parquet(f"{self.root}/{path}")
             state["tables"][name] = path
+        known = self._state()["tables"]
+        state["before"] = known
         self._move(state)
+        for path in set(self._state_paths) - {*known.values(), *state["tables"].values()}:
+            self.remove_path(path)
+        self._state_paths = {*known.values(), *state["tables"].values()}
+
+    def remove_path(self, path: str) -> None:
+        """Removes a folder under the root."""
+        self._fs.delete(self._path(f"{self.root}/{path}"), True)
 
-    def replace_documents(self, chunks: DataFrame, figures: DataFrame) -> None:
-        """Takes the place of all rows of the documents that chunks or figures hold."""
+    def replace_documents(self, chunks: DataFrame, figures: DataFrame, images: DataFrame | None = None, **more: DataFrame) -> None:
+        """Takes the place of all rows of the documents that chunks or figures hold; their images go too. Further
+        collections are written in the same step."""
         uids = chunks.select("doc_uid").unionByName(figures.select("doc_uid")).distinct()
-        self.write(**{n: upserted(self.read(n).join(uids, "doc_uid", "left_anti"), new) for n, new in (("chunks", chunks), ("figures", figures))})
+        images = self.read("images").limit(0) if images is None else images
+        new = {"chunks": chunks, "figures": figures, "images": images}
+        self.write(**{n: upserted(without(self.read(n), uids), d) for n, d in new.items()}, **more)
 
     def delete_documents(self, uids: DataFrame) -> None:
-        self.write(**{n: self.read(n).join(uids.select("doc_uid"), "doc_uid", "left_anti") for n in COLLECTIONS})
+        """Takes documents out of all collections, the manifest and their images among them."""
+        self.write(**{n: without(self.read(n), uids) for n in COLLECTIONS})
 
     def reset(self) -> None:
         """Empty collections and no backend."""
@@ -95,6 +113,11 @@ class Store:
         self._move(state)
 
 
+def without(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """rows but those of the documents uids (doc_uid)."""
+    return rows.join(uids.select("doc_uid"), "doc_uid", "left_anti").select(rows.columns)
+
+
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with the rows of new in place of those of the same row_id."""
     return old.join(new.select("row_id"), "row_id", "left_anti").select(old.columns).unionByName(new.select(old.columns))

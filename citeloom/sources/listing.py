@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +34,45 @@ def path_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
+def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame | None:
+    """(rel_path, length, modificationTime, content) of the PDF files under root, None where there is no root. A column
+    that isn't selected is not read. rel_path is cut off by the root's length, so a root may hold any characters."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    whole = fs.makeQualified(hadoop).toString().rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", recursive).load(_literal(root))
+    other = whole.replace("file:/", "file:///", 1)  # the other spelling of a local path
+    rel = F.when(F.startswith("path", F.lit(whole)), F.substring("path", len(whole) + 1, 2**30)).otherwise(F.substring("path", len(other) + 1, 2**30))
+    return found.withColumn("rel_path", rel).where(visible(F.col("rel_path")))
+
+
+def _literal(root: str) -> str:
+    """root for Spark's readers, which take it for a glob pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", root)
+
+
+def record(rel_path: Column, content: Column | None = None) -> list[Column]:
+    """rel_path, document_name, doc_uid and sha256 of a file; without content the digest is empty."""
+    digest = F.lit("") if content is None else F.sha2(content, 256)
+    return [rel_path.alias("rel_path"), base_name(rel_path).alias("document_name"), doc_uid(rel_path).alias("doc_uid"), digest.alias("sha256")]
+
+
+def counts_by_folder(paths: DataFrame) -> DataFrame:
+    """(folder, n): how many of paths (path) a scan takes in each folder."""
+    rows = paths.where(is_scanned(F.col("path")))
+    return rows.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"))
+
+
 def discover(spark: SparkSession, root: str, recursive: bool = True, with_digest: bool = True) -> DataFrame:
     """(rel_path, document_name, doc_uid, size_bytes, mtime, sha256) of the PDF files under root.
 
     A missing root gives no rows. Without with_digest no content is read and sha256 is empty.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    schema = "rel_path string, document_name string, doc_uid string, size_bytes long, mtime double, sha256 string"
-    if not fs.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    whole = fs.makeQualified(hadoop).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", recursive).load(root)
-    rel = F.regexp_replace(F.col("path"), "^" + whole.replace(":/", ":/{1,3}").replace(".", "\\."), "")
-    digest = F.sha2("content", 256) if with_digest else F.lit("")
-    rows = files.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.unix_micros("modificationTime").alias("us"), digest.alias("sha256"))
-    rows = rows.where(visible(F.col("rel_path")))
-    return rows.select("rel_path", base_name(F.col("rel_path")).alias("document_name"), doc_uid(F.col("rel_path")).alias("doc_uid"), "size_bytes", (F.col("us") / 1e6).alias("mtime"), "sha256")
+    found = files(spark, root, recursive)
+    if found is None:
+        return spark.createDataFrame([], "rel_path string, document_name string, doc_uid string, size_bytes long, mtime double, sha256 string")
+    mtime = (F.unix_micros("modificationTime") / 1e6).alias("mtime")
+    rows = found.select(*record(F.col("rel_path"), F.col("content") if with_digest else None), F.col("length").alias("size_bytes"), mtime)
+    return rows.select("rel_path", "document_name", "doc_uid", "size_bytes", "mtime", "sha256")

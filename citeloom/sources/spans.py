@@ -1,7 +1,10 @@
 """Page spans: the contract of a text extractor and the text lines that its spans make.
 
 An extractor turns the bytes of a file into span rows (SPAN_SCHEMA); it is given as a function (path, content) ->
-iterable of dicts, or of one dict with `error` set where the file can't be read. No PDF library is needed here.
+iterable of dicts. Their kinds: text; drawing and image, a graphic's box, an image with its pixels, data and suffix (in
+text) where it can be exported; table, the box of the block-th table that was detected on a page; cell, the text at row
+`line` and column `span` of the block-th extracted table. A row with `error` and a page is a page that can't be read, one
+without a page a file. No PDF library is needed here.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from citeloom.functions.workers import with_python_path
 
 SPAN_SCHEMA = (
     "rel_path string, page_number int, block int, line int, span int, kind string, text string, dir_y double, "
-    "x0 double, y0 double, x1 double, y1 double, width double, height double, error string"
+    "x0 double, y0 double, x1 double, y1 double, width double, height double, error string, pixels long, data binary"
 )
 
 
 def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
     """Span rows of files (rel_path, content), a file at a time; a failing file gives one row with its error."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in SPAN_SCHEMA.split(", "))])
 
     def run(batches):
@@ -55,6 +58,16 @@ def graphics(spans: DataFrame) -> DataFrame:
     return spans.where("kind = 'drawing'").select(box).unionByName(spans.where("kind = 'image'").select(box)).where("x1 > x0 and y1 > y0")
 
 
+def cell_tables(spans: DataFrame) -> DataFrame:
+    """(rel_path, page_number, ord, rows): the extracted tables of the pages on which one was detected, as rows of cells."""
+    page = ["rel_path", "page_number"]
+    cells = only_pages(spans.where("kind = 'cell'"), spans.where("kind = 'table'"))
+    rows = cells.groupBy(*page, "block", "line").agg(F.sort_array(F.collect_list(F.struct("span", "text"))).alias("cells"))
+    rows = rows.select(*page, "block", "line", F.transform("cells", lambda c: c["text"]).alias("cells"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("line", "cells"))), lambda r: r["cells"])
+    return rows.groupBy(*page, F.col("block").alias("ord")).agg(whole.alias("rows"))
+
+
 def only_pages(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """rows of the pages that the cheap test flagged, ahead of an expensive extractor."""
     return rows.join(flagged.select("rel_path", "page_number").distinct(), ["rel_path", "page_number"], "left_semi")

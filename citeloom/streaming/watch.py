@@ -82,15 +82,28 @@ def stable_stream(looks: DataFrame, wait: float = STABLE) -> DataFrame:
     return looks.groupBy("path").applyInPandasWithState(SizeGate(wait), SizeGate.OUT, SizeGate.STATE, "append", "NoTimeout")
 
 
+def steps(due: DataFrame) -> DataFrame:
+    """due (path, action) with `step`: removals come first, then upserts."""
+    return due.withColumn("step", F.when(F.col("action") == "remove", 0).otherwise(1))
+
+
+def hand_over(due: DataFrame, on_remove, on_upsert) -> None:
+    """Hands the removals of due (path, action) over, then its upserts; both take a DataFrame (path) that has rows."""
+    rows = steps(due)
+    for step, function in enumerate((on_remove, on_upsert)):
+        own = rows.where(F.col("step") == step).select("path")
+        if not own.isEmpty():
+            function(own)
+
+
 def apply(stream: DataFrame, checkpoint: str, on_remove, on_upsert, every: str = "1 second"):
-    """Starts the query that hands each batch of bursts over, removals ahead of upserts; both are functions of a
-    DataFrame (path). The checkpoint makes a restart go on where it ended; late events are the next sync's to find."""
+    """Starts the query that hands each batch of a stream of bursts over. The checkpoint makes a restart go on where it
+    ended; late events are the next sync's to find."""
 
     def drain(batch: DataFrame, _epoch: int) -> None:
         rows = batch.persist()
         try:
-            on_remove(rows.where("action = 'remove'").select("path"))
-            on_upsert(rows.where("action = 'upsert'").select("path"))
+            hand_over(rows, on_remove, on_upsert)
         finally:
             rows.unpersist()
 

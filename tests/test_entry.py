@@ -19,6 +19,13 @@ def test_entry_without_the_optional_subpackage(tmp_path):
         assert names(ROOT) == names(tmp_path) + 11
 
 
+def test_entry_does_not_hide_a_broken_subpackage(tmp_path):
+    shutil.copytree(ROOT / "citeloom", tmp_path / "citeloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there")
+    assert subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, capture_output=True, check=False).returncode != 0
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (ROOT / "citeloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "citeloom").parts:

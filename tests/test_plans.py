@@ -28,7 +28,7 @@ def base(tmp_path):
 def test_sync_is_incremental(spark, base):
     ingest = Ingest(spark, base, plain_text)
     plan = ingest.sync(dry_run=True)
-    assert plan.planned == ["bad.pdf", "blank.pdf", "solar.pdf", "wind.pdf"]
+    assert plan.planned == ["bad.pdf", "blank.pdf", "solar.pdf", "wind.pdf"] and plan.summary() == "would re-ingest 4 document(s), skip 0"
     first = ingest.sync()
     assert (first.scanned, first.indexed, first.failed) == (4, 2, 2)
     assert dict(first.errors)["blank.pdf"] == "no extractable text" and "not a text file" in dict(first.errors)["bad.pdf"]
@@ -69,6 +69,67 @@ def test_sync_is_incremental(spark, base):
     assert empty.warnings == ["empty retrieval"]
 
 
+def test_equal_names_and_strange_roots(spark, tmp_path):
+    docs = tmp_path / "a+b (1) [x] {y} q.1"
+    (docs / "sub").mkdir(parents=True)
+    (docs / "b.pdf").write_text("the text of the root")
+    (docs / "sub" / "b.pdf").write_text("the text of the folder")
+    s = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8)
+    ingest = Ingest(spark, s, plain_text)
+    assert ingest.sync().indexed == 2
+    got = {r["source_path"].removeprefix(str(docs)): r["text"] for r in ingest.store.read("chunks").collect()}
+    assert got == {"/b.pdf": "the text of the root", "/sub/b.pdf": "the text of the folder"}
+    assert {r["rel_path"] for r in ingest.store.read("manifest").collect()} == {"b.pdf", "sub/b.pdf"}
+    assert not os.listdir(tmp_path / "s" / "work")
+    for i in range(3):
+        ingest.store.set_meta("x", str(i))
+        ingest.store.write(manifest=ingest.store.read("manifest"))
+    assert sum(n.startswith("manifest-") for n in os.listdir(tmp_path / "s")) == 2
+
+
+def page_extractor():
+    """An extractor of pages with lines, a table, a caption, a raster and an unreadable page."""
+
+    def extract(path, content):
+        word = content.decode()
+        line = lambda no, text, x0=50.0: {"page_number": 1, "block": no, "line": 0, "span": 0, "kind": "text", "text": text, "dir_y": 0.0, "x0": x0, "y0": 60.0 + 14 * no, "x1": 560.0, "y1": 70.0 + 14 * no, "width": 612.0, "height": 792.0}
+        yield from (line(i, f"{word} line {i} of the page") for i in range(6))
+        yield line(7, "Figure 2: a photograph of the thing")
+        yield line(9, "text goes on right below it")
+        yield {"page_number": 1, "block": 0, "kind": "table", "x0": 50.0, "y0": 88.0, "x1": 560.0, "y1": 112.0}
+        for r, row in enumerate((["name", "n"], [word, "1"])):
+            yield from ({"page_number": 1, "block": 0, "line": r, "span": c, "kind": "cell", "text": t} for c, t in enumerate(row))
+        if word != "plain":
+            yield {"page_number": 1, "block": 1, "line": 0, "span": 0, "kind": "image", "text": "JPG", "x0": 100.0, "y0": 210.0, "x1": 200.0, "y1": 240.0, "pixels": 90_000, "data": word.encode()}
+        yield {"page_number": 2, "error": "page lost"}
+
+    return extract
+
+
+def test_tables_and_images_are_stored_and_removed(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "one.pdf").write_text("alpha")
+    (docs / "two.pdf").write_text("beta")
+    s = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), images_dir="/img", embedding_dim=8)
+    ingest = Ingest(spark, s, page_extractor())
+    report = ingest.sync()
+    assert (report.indexed, report.tables, report.chunks, report.figures) == (2, 2, 4, 2)
+    assert report.warnings == [("one.pdf", "page 2 unreadable: page lost"), ("two.pdf", "page 2 unreadable: page lost")]
+    assert report.summary().startswith("indexed=2 skipped=0 failed=0 removed=0 chunks=4 figures=2 tables=2 in ")
+    table = ingest.store.read("chunks").where("content_type = 'table' and document_name = 'one.pdf'").first()
+    assert table["text"].endswith("| name | n |\n| --- | --- |\n| alpha | 1 |") and (table["line_start"], table["line_end"], table["chunk_index"]) == (3, 4, 1)
+    image = ingest.store.read("figures").where("document_name = 'one.pdf'").first()
+    name = f"/img/one_{image['doc_uid'][:8]}_p0001_img000.jpg"
+    assert image["image_path"] == name and image["caption"].startswith("Figure 2") and image["kind"] == "image"
+    assert {r["image_path"]: bytes(r["data"]) for r in ingest.export_images().collect()}[name] == b"alpha"
+    assert {r["page_count"] for r in ingest.store.read("manifest").collect()} == {1}
+    (docs / "one.pdf").write_text("plain")
+    os.remove(docs / "two.pdf")
+    report = ingest.sync()
+    assert (report.indexed, report.removed, report.images_removed) == (1, 1, 2) and ingest.store.read("images").count() == 0
+
+
 def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), "f")
     one = store.read("manifest")
@@ -137,7 +198,8 @@ def test_registry(tmp_path):
 
 def test_models_by_preference():
     pick = answer.resolve_model
-    assert pick("a", ["b", "a"]) == "a" and pick("a", ["b", "a:7b"]) == "a:7b" and pick("x", ["b", "c:1"], ["c"]) == "c:1" and pick("x", ["b"]) == "b" and pick("x", []) == "x"
+    assert pick("x", ["b", "c:1"], ["c"]) == "b" and pick("x", ["b", "c"], ["d", "c"]) == "c"
+    assert pick("a", ["b", "a"]) == "a" and pick("a", ["b", "a:7b"]) == "a:7b" and pick("x", ["b"]) == "b" and pick("x", []) == "x"
 
 
 def test_command_line(spark, base, tmp_path):
@@ -146,7 +208,7 @@ def test_command_line(spark, base, tmp_path):
     call = lambda *argv: cli.run(cli.parser().parse_args(["--home", home, *argv]), spark, out=said.append)
     assert call("kb", "add", "one", base.pdf_dir) == 0 and call("kb", "use", "one") == 0
     assert call("kb", "list") == 0 and said[0].startswith("* one")
-    assert call("ingest") == 0 and "indexed 2" in said[-1]
+    assert call("ingest") == 0 and "indexed=2" in said[-1]
     assert call("query", "turbine", "blades") == 0 and any("wind.pdf" in x for x in said)
     assert call("status") == 0 and "documents: 2" in said
     assert call("reindex", "--rebuild", "--failed") == 1 and call("reset") == 1 and call("reset", "--yes") == 0

@@ -69,7 +69,7 @@ def test_follow_syncs_after_a_change(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
     (docs / "a.pdf").write_text("one line of text")
-    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8)
+    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8, debounce_seconds=1.0, stability_seconds=1.0)
     ingest = Ingest(spark, settings, plain_text)
     query = feed.follow(ingest, "1 second")
     (docs / "b.pdf").write_text("another line")
@@ -80,3 +80,28 @@ def test_follow_syncs_after_a_change(spark, tmp_path):
         time.sleep(1)
     query.stop()
     assert ingest.store.read("manifest").where("status = 'indexed'").count() == 2
+
+
+def test_queue_waits_for_quiet_and_removes_first(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.pdf").write_text("one line of text")
+    said = []
+    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8)
+    ingest = Ingest(spark, settings, plain_text, progress=said.append)
+    ingest.sync()
+    queue, at = feed.Queue(ingest), pd.Timestamp("2024-01-01 00:00:00")
+    step = lambda s: queue.step((at + pd.Timedelta(seconds=s)).to_pydatetime())
+    known = lambda: sorted(r[0] for r in ingest.store.read("manifest").where("status = 'indexed'").select("rel_path").collect())
+    (docs / "a.pdf").unlink()
+    (docs / "b.pdf").write_text("another line")
+    step(0)
+    (docs / "b.pdf").write_text("another line that is longer")
+    step(3)
+    assert known() == ["a.pdf"]
+    step(5)  # a.pdf is due, b.pdf changed two seconds ago
+    assert known() == []
+    step(8)
+    assert known() == ["b.pdf"] and [x.split(":")[0] for x in said[1:]] == ["removed", "ingest-start", "ingest-complete"]
+    step(9)
+    assert len(list((tmp_path / "s" / "watch").iterdir())) <= 4
