@@ -83,21 +83,29 @@ def _top_of_task(blocks: list, k: int):
     return run
 
 
-def overlaps(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, row_id, shared, n_words, lexical_score) of the pairs that share a content word, by an equi-join on
-    words: corpus (row_id, words), queries (query_id, words). The score is log1p(shared) / log1p(words of the query)."""
-    q = queries.select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    pairs = corpus.select("row_id", F.explode("words").alias("word")).join(q, "word").groupBy("query_id", "row_id", "n_words").agg(F.count("*").alias("shared"))
-    return pairs.select("query_id", "row_id", "shared", "n_words", (F.log1p("shared") / F.log1p("n_words")).alias("lexical_score"))
+def overlaps(candidates: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, row_id, shared, n_words, lexical_score) of candidates (query_id, row_id), a bounded number for each
+    query: how many of the query's distinct content words the row holds. corpus (row_id, words), queries (query_id, words).
+    The score is log1p(shared) / log1p(words of the query), 0 for a query without any."""
+    rows = candidates.select("query_id", "row_id").join(corpus.select("row_id", "words"), "row_id")
+    rows = rows.join(queries.select("query_id", F.col("words").alias("q_words")), "query_id")
+    return rows.select("query_id", "row_id", _shared().alias("shared"), F.size("q_words").alias("n_words"), _lexical().alias("lexical_score"))
+
+
+def _shared():
+    return F.size(F.array_intersect("words", "q_words"))
+
+
+def _lexical():
+    n = F.size("q_words")
+    return F.when(n == 0, 0.0).otherwise(F.log1p(_shared()) / F.log1p(n))
 
 
 def blended(candidates: DataFrame, weight: float = WEIGHT, top: int = TEXT_TOP) -> DataFrame:
     """The top candidates (query_id, row_id, words, q_words, dense_score, dense_rank) by (1 - w) dense + w lexical;
     equal scores keep their dense order."""
     w = min(1.0, max(0.0, weight))
-    shared, n = F.size(F.array_intersect("words", "q_words")), F.size("q_words")
-    lexical = F.when(n == 0, 0.0).otherwise(F.log1p(shared) / F.log1p(n))
-    rows = candidates.withColumn("lexical_score", lexical).withColumn("score", (1 - w) * F.col("dense_score") + w * F.col("lexical_score"))
+    rows = candidates.withColumn("lexical_score", _lexical()).withColumn("score", (1 - w) * F.col("dense_score") + w * F.col("lexical_score"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "dense_rank")
     return rows.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= top)
 

@@ -415,13 +415,20 @@ def ret03_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(tx.content_words(F.col("text"))), " ").alias("words"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest({_words_sql("text")}) AS word FROM documents), q AS (SELECT item_id, unnest(w) AS word, len(w) AS n FROM (SELECT item_id, {_words_sql("text")} AS w FROM benchmark))
-SELECT item_id AS query_id, doc_id AS row_id, count(*) AS shared, round(ln(1 + count(*)) / ln(1 + any_value(n)), 9) AS lexical_score FROM d JOIN q USING (word) GROUP BY ALL""")
+_DOC_KNN = "SELECT q.item_id AS query_id, d.doc_id AS row_id, coalesce(1 - list_cosine_similarity(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1) AS distance FROM benchmark q JOIN embeddings qe ON q.item_id = qe.vec_id, documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
+_DOC_DENSE = f"dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS dense_rank FROM ({_DOC_KNN}))"
+
+
+@query(f"""WITH {_DOC_DENSE}, q AS (SELECT item_id, {_words_sql("text")} AS q_words FROM benchmark), d AS (SELECT doc_id, {_words_sql("text")} AS words FROM documents WHERE doc_id IN (SELECT row_id FROM dense WHERE dense_rank <= 24))
+SELECT query_id, row_id, len(list_intersect(words, q_words))::INT AS shared, round(CASE WHEN len(q_words) = 0 THEN 0 ELSE ln(1 + len(list_intersect(words, q_words))) / ln(1 + len(q_words)) END, 9)::DOUBLE AS lexical_score
+FROM dense JOIN q ON item_id = query_id JOIN d ON doc_id = row_id WHERE dense_rank <= 24""")
 def ret04_lexical(spark, sf_dir):
+    """Word overlap of each question's dense candidates."""
     words = tx.content_words(F.col("text")).alias("words")
-    docs = dealt(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("row_id"), words)
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words)
-    return retrieval.overlaps(docs, asked).select("query_id", "row_id", "shared", F.round("lexical_score", 9).alias("lexical_score"))
+    docs, asked = _documents(spark, sf_dir), _questions(spark, sf_dir)
+    found = retrieval.dense_top(docs, asked)
+    rows = retrieval.overlaps(found, docs.select("row_id", words), asked.select("query_id", words))
+    return rows.select("query_id", "row_id", "shared", F.round("lexical_score", 9).alias("lexical_score"))
 
 
 _HYBRID = """cand AS (SELECT d.*, c.text, {words} AS words, {qwords} AS q_words FROM dense d JOIN corpus c USING (row_id) JOIN benchmark b ON b.item_id = d.query_id WHERE dense_rank <= {n}),
@@ -433,7 +440,6 @@ def _hybrid_sql(n: int, w: float) -> str:
     return _HYBRID.format(words=_words_sql("c.text"), qwords=_words_sql("b.text"), n=n, w=w)
 
 
-_DOC_KNN = "SELECT q.item_id AS query_id, d.doc_id AS row_id, coalesce(1 - list_cosine_similarity(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1) AS distance FROM benchmark q JOIN embeddings qe ON q.item_id = qe.vec_id, documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
 _CHUNK_CORPUS = f"""WITH {_WALK}, corpus AS (SELECT doc_id * 100000 + ord AS row_id, text, doc_id, line_start, line_end FROM chunks),
 docdense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS nth FROM (SELECT * FROM ({_DOC_KNN}) WHERE row_id IN (SELECT doc_id FROM corpus))),
 dense AS (SELECT query_id, c.row_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.row_id) AS dense_rank FROM docdense d JOIN corpus c ON c.doc_id = d.row_id WHERE nth <= 24)"""
@@ -454,7 +460,6 @@ def ret06_hybrid_topk(spark, sf_dir):
 
 
 _DOC_CORPUS = "corpus AS (SELECT doc_id AS row_id, text FROM documents)"
-_DOC_DENSE = f"dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS dense_rank FROM ({_DOC_KNN}))"
 
 
 def _documents(spark, sf_dir):

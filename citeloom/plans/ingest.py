@@ -125,7 +125,8 @@ class Ingest:
         report.recovered = known.where("was_stale").count()
         if report.recovered:
             self.progress(f"recovered {report.recovered} interrupted documents")
-            self.store.write(manifest=known)
+            stale = known.where("was_stale")
+            self.store.write(self.store.touched(stale), manifest=known)
         acts = self._snapshot(self.plan(selector, force), "plan")
         todo = acts.where("action = 'ingest'")
         report.scanned, report.skipped = acts.count(), acts.where("action = 'skip'").count()
@@ -182,9 +183,11 @@ class Ingest:
 
     def _ingest(self, todo: DataFrame, report: Report, now: str) -> None:
         s = self.settings
-        pending = manifest.upsert_pending(self.store.read("manifest"), todo, now)
+        own = lambda: self.store.read("manifest", buckets).join(todo.select("doc_uid"), "doc_uid", "left_semi")
+        buckets = self.store.touched(todo)
+        pending = manifest.upsert_pending(self.store.read("manifest", buckets), todo, now)
         marks = todo.select("doc_uid", F.lit("indexing").alias("new_status"), F.lit("").alias("new_error"))
-        self.store.write(manifest=manifest.set_status(pending, marks, now))
+        self.store.write(buckets, manifest=manifest.set_status(pending, marks, now))
         wanted = todo.select("rel_path")
         files = listing.files(self.spark, s.pdf_dir, s.ingest_recursive).select("rel_path", "content")
         files = files.join(F.broadcast(wanted) if todo.count() <= FEW else wanted, "rel_path")
@@ -206,7 +209,7 @@ class Ingest:
         good = rows.where("status = 'indexed'")
         of_good = lambda d: d.join(good.select("doc_uid"), "doc_uid", "left_semi")
         before = self.store.read("figures").join(good.select("doc_uid"), "doc_uid", "left_semi")
-        done = manifest.mark_indexed(self.store.read("manifest"), good, now)
+        done = manifest.mark_indexed(own(), good, now)
         bad = rows.where("status = 'failed'").select("doc_uid", F.col("status").alias("new_status"), F.col("failure").alias("new_error"))
         self.store.replace_documents(of_good(chunks), of_good(pictures), of_good(images), manifest=manifest.set_status(done, bad, now))
         report.images_removed += orphans(before, self.store.read("figures"), s.images_dir).count()

@@ -1,7 +1,7 @@
 """The store of a knowledge base: Parquet snapshots of its collections behind a pointer that is renamed into place.
 
-Every change writes a whole snapshot of the collections that it touches and then moves the pointer, so readers see the
-old state or the new one and a crash leaves the old one. The snapshots of the state before are kept for readers that are
+Rows stand in buckets by their document. A change writes the buckets that it touches anew and then moves the pointer, so
+readers see the old state or the new one and a crash leaves the old one. The snapshots of the state before are kept for readers that are
 still at it, older ones are removed. Images are rows of a collection, under the path that they are exported to, so they
 come and go with their documents. Paths go through Hadoop's file systems.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLLECTIONS = {
@@ -22,6 +22,13 @@ COLLECTIONS = {
 }
 
 
+BUCKETS = 64
+
+
+def bucket_of(uid: Column) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(BUCKETS)).cast("int")
+
+
 class BackendChanged(RuntimeError):
     """The store's vectors come from another embedding backend than the one given."""
 
@@ -34,7 +41,7 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         state = self._state()
-        self._state_paths = {*state["tables"].values(), *state.get("before", {}).values()}
+        self._known = _paths(state["tables"]) | _paths(state.get("before", {}))
 
     def _state(self) -> dict:
         at = self._path(f"{self.root}/CURRENT")
@@ -54,9 +61,16 @@ class Store:
         options[0] = option
         context.rename(self._fs.makeQualified(new), self._fs.makeQualified(at), options)
 
-    def read(self, name: str) -> DataFrame:
-        path = self._state()["tables"].get(name)
-        return self.spark.read.schema(COLLECTIONS[name]).parquet(f"{self.root}/{path}") if path else self.spark.createDataFrame([], COLLECTIONS[name])
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A collection, or its rows in some buckets."""
+        known = self._state()["tables"].get(name, {})
+        paths = [path for b, path in known.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(COLLECTIONS[name]).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], COLLECTIONS[name])
+
+    @staticmethod
+    def touched(uids: DataFrame) -> list[int]:
+        """The buckets of documents (doc_uid)."""
+        return sorted(r[0] for r in uids.select(bucket_of(F.col("doc_uid"))).distinct().collect())
 
     def get_meta(self, key: str) -> str | None:
         return self._state()["meta"].get(key)
@@ -74,36 +88,49 @@ class Store:
         elif known != self.fingerprint:
             raise BackendChanged(f"vectors are from {known}, not {self.fingerprint}: rebuild the store")
 
-    def write(self, **tables: DataFrame) -> None:
-        """New snapshots of the collections given, all seen at once."""
+    def write(self, buckets: list[int] | None = None, **tables: DataFrame) -> None:
+        """New snapshots of the collections given, or of some of their buckets, all seen at once."""
         state = self._state()
+        before = state["tables"]
+        state["tables"] = dict(before)
         for name, df in tables.items():
-            path = f"{name}-{uuid.uuid4().hex}"
+            folder = f"{name}-{uuid.uuid4().hex}"
             fields = [f.split(" ")[0] for f in COLLECTIONS[name].split(", ")]
-            df.select(fields).write.parquet(f"{self.root}/{path}")
-            state["tables"][name] = path
-        known = self._state()["tables"]
-        state["before"] = known
+            rows = df.select(*fields, bucket_of(F.col("doc_uid")).alias("_b"))
+            rows = rows if buckets is None else rows.where(F.col("_b").isin(buckets))
+            rows.hint("rebalance", "_b").write.partitionBy("_b").parquet(f"{self.root}/{folder}")
+            kept = {} if buckets is None else {b: p for b, p in before.get(name, {}).items() if int(b) not in buckets}
+            made = (f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
+            state["tables"][name] = kept | {n.removeprefix("_b="): f"{folder}/{n}" for n in made if n.startswith("_b=")}
+        state["before"] = before
         self._move(state)
-        for path in set(self._state_paths) - {*known.values(), *state["tables"].values()}:
+        now = _paths(state["tables"]) | _paths(before)
+        for path in self._known - now:
             self.remove_path(path)
-        self._state_paths = {*known.values(), *state["tables"].values()}
+        for folder in {p.split("/")[0] for p in self._known - now} - {p.split("/")[0] for p in now}:
+            self.remove_path(folder)
+        self._known = now
 
     def remove_path(self, path: str) -> None:
         """Removes a folder under the root."""
         self._fs.delete(self._path(f"{self.root}/{path}"), True)
 
-    def replace_documents(self, chunks: DataFrame, figures: DataFrame, images: DataFrame | None = None, **more: DataFrame) -> None:
-        """Takes the place of all rows of the documents that chunks or figures hold; their images go too. Further
-        collections are written in the same step."""
+    def replace_documents(self, chunks: DataFrame, figures: DataFrame, images: DataFrame | None = None, manifest: DataFrame | None = None) -> None:
+        """Takes the place of all rows of the documents that chunks or figures hold; their images go too. The rows of
+        manifest, those of the same and of other documents, take the place of the ones known in the same step."""
         uids = chunks.select("doc_uid").unionByName(figures.select("doc_uid")).distinct()
+        changed = uids if manifest is None else uids.unionByName(manifest.select("doc_uid"))
+        buckets = self.touched(changed)
         images = self.read("images").limit(0) if images is None else images
-        new = {"chunks": chunks, "figures": figures, "images": images}
-        self.write(**{n: upserted(without(self.read(n), uids), d) for n, d in new.items()}, **more)
+        new = {n: upserted(without(self.read(n, buckets), uids), d) for n, d in (("chunks", chunks), ("figures", figures), ("images", images))}
+        if manifest is not None:
+            new["manifest"] = without(self.read("manifest", buckets), manifest).unionByName(manifest)
+        self.write(buckets, **new)
 
     def delete_documents(self, uids: DataFrame) -> None:
         """Takes documents out of all collections, the manifest and their images among them."""
-        self.write(**{n: without(self.read(n), uids) for n in COLLECTIONS})
+        buckets = self.touched(uids)
+        self.write(buckets, **{n: without(self.read(n, buckets), uids) for n in COLLECTIONS})
 
     def reset(self) -> None:
         """Empty collections and no backend."""
@@ -113,6 +140,10 @@ class Store:
         self._move(state)
 
 
+def _paths(tables: dict[str, dict[str, str]]) -> set[str]:
+    return {path for of in tables.values() for path in of.values()}
+
+
 def without(rows: DataFrame, uids: DataFrame) -> DataFrame:
     """rows but those of the documents uids (doc_uid)."""
     return rows.join(uids.select("doc_uid"), "doc_uid", "left_anti").select(rows.columns)
