@@ -2,8 +2,8 @@
 
 A host's canonical key is its labels in reverse, each closed by U+0001, so a rule's host and all its subdomains are
 one interval of keys, and intervals are nested or apart. Urls are sorted by key; one sweep over them keeps a stack of
-the rules whose interval is open, each level of the stack being a host with its path rules, and a url's rule is the
-longest one of the stack whose path the url's path starts with.
+the rules whose interval is open, each level of the stack being a host with its path rules by length and path, and a
+url's rule is the longest one of the stack whose path the url's path starts with.
 
 Rules that fit `broadcast_rules` go to every task, and urls are sorted where they are, without a shuffle. Beyond that,
 both sides are dealt by segments of the key space, which are cut at every broadcast_rules-th rule; a rule is copied to
@@ -45,11 +45,15 @@ class Sweep:
 
     def __init__(self, rules: list[tuple]):
         self.hosts: list[str] = []
-        self.at: dict[str, list[tuple]] = {}
+        self.at: dict[str, tuple[list[int], dict[str, tuple]]] = {}  # of a host the lengths of its paths, longest first, and its rules by path
         for key, path, rule, verdict in sorted(rules, key=lambda r: (r[0], -len(r[1]), r[2], r[3])):
             if key not in self.at:
                 self.hosts.append(key)
-            self.at.setdefault(key, []).append((path, rule, verdict))
+                self.at[key] = ([], {})
+            lengths, by_path = self.at[key]
+            if not lengths or lengths[-1] != len(path):
+                lengths.append(len(path))
+            by_path.setdefault(path, (rule, verdict))
         self.next, self.open, self.last = 0, [], ""
 
     def find(self, key: str, path: str) -> tuple[str | None, str | None]:
@@ -68,12 +72,13 @@ class Sweep:
                 self.next += 1
             else:  # on to the next rule that can hold this key or a later one
                 self.next = max(self.next + 1, bisect.bisect_left(self.hosts, key[: key.index(SEP) + 1], self.next))
-        best = None
+        found = []
         for host in self.open:
-            for p, rule, verdict in self.at[host]:
-                if path.startswith(p) and (best is None or len(rule) > len(best[0])):
-                    best = (rule, verdict)
-        return best or (None, None)
+            lengths, by_path = self.at[host]
+            n = next((n for n in lengths if n <= len(path) and path[:n] in by_path), None)
+            if n is not None:
+                found.append(by_path[path[:n]])
+        return min(found, key=lambda r: (-len(r[0]), r[0], r[1] or "")) if found else (None, None)
 
 
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", broadcast_rules: int = BROADCAST_RULES, salts: int = SALTS, default: str = DEFAULT) -> DataFrame:
