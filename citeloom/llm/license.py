@@ -26,6 +26,37 @@ PHRASES = [
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 ]
+# Whole paragraphs of common license notices, as their words.
+PARAGRAPHS = [
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+        "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied",
+        "apache",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+        "foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any "
+        "warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "gpl",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of "
+        "source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "bsd",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and "
+        "this permission notice appear in all copies",
+        "isc",
+    ),
+]
 # Opening sentences of common license notices, found with small changes too.
 NOTICES = [
     ("this work is licensed under the gnu general public license version 3", "gpl"),
@@ -40,6 +71,7 @@ NOTICES = [
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
     ("all rights reserved", "all-rights-reserved"),
+    *PARAGRAPHS,
 ]
 
 

@@ -337,6 +337,13 @@ def test_license_finds_notices_with_missing_words(spark):
                 changed = [x for i, x in enumerate(w) for x in ([] if i == gone else ["zzz", x] if i == new else [x])]
                 rows.append((len(rows), "some words of the text first " + " ".join(changed) + " and of the rest"))
                 want[rows[-1][0]] = (label, (len(w) - 4) / (len(w) - 1))
+    for text, label in license.PARAGRAPHS:  # a whole notice with words put in, missing and changed, amid other text
+        w = text.split()
+        w[5:5] = ["zzz"]
+        del w[20]
+        w[len(w) // 2] = "qqq"
+        rows.append((len(rows), "x y z " + " ".join(w) + " and more of it"))
+        want[rows[-1][0]] = (label, (len(text.split()) - 1 - 5) / (len(text.split()) - 1))
     got = {r["doc_id"]: r for r in license.scan(frame(spark, rows)).collect()}
     for i, (label, share) in want.items():
         assert label in got[i]["labels"].split(",") and got[i]["score"] >= share - 1e-9, rows[i]
