@@ -6,7 +6,7 @@ they share lie among the first n - 0.8 n + l of the one and n - 8/9 n + l of the
 shingle, pairs that share fewer than l are left, and the others are verified over all shingles. Nothing is missed, and the
 sample only decides how many pairs are looked at.
 
-Texts with equal shingles are one node from the start. A shingle that many nodes share is first searched for links
+Texts with equal shingles are one node from the start, and links that another method proposes are verified first. A shingle that many nodes share is first searched for links
 between neighbours in size only; once these have joined a group's members, only pairs of different classes are looked
 at, so a large group of near copies doesn't meet itself pair by pair.
 """
@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import connected_components
-from citeloom.llm.shared import in_python, release, written
+from citeloom.llm.shared import in_python, parts, release, written
 
 SHINGLE = 5
 #: Two texts are near copies from a Jaccard of TIMES / OF on.
 TIMES, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000  # one text in SAMPLE is sampled; COMMON texts of them make a shingle common
-CROWD, CHAIN = 16, 4  # nodes of a shingle that is searched for neighbours first; its place in a text is below CHAIN
+CROWD, CHAIN = 16, 4  # nodes of a shingle that is searched at random first; its place in a text is below CHAIN
+REACH = 8  # nodes on either side that a node is compared with in that order
 BROADCAST = 200_000
 BLOCK = 1 << 17  # rows or pairs that are in memory at once
 
@@ -67,14 +68,21 @@ def shortest_prefix(n):
     return n - (2 * TIMES * n + TIMES + OF - 1) // (TIMES + OF) + least_shared(n)
 
 
-def _digests(batches):
-    release()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(shingles(t)) for t in b.column(1).to_pylist()], pa.int64())], ["_no", "node"])
+def nodes(texts: DataFrame, code_of) -> DataFrame:
+    """(_no, node, fp) per row of texts (_no, text): the digest of its set of shingles, and code_of these."""
+
+    def run(batches):
+        release()
+        for b in parts(batches):
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array([code_of(x.view(np.uint64)) for x in sets], pa.int64())], ["_no", "node", "fp"])
+
+    return in_python(texts.select("_no", "text"), run, "_no long, node long, fp long")
 
 
 def _all_shingles(batches):
-    for b in batches:
+    release()
+    for b in parts(batches):
         nodes, codes = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
         at = np.cumsum([0, *map(len, codes)])
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *codes]), pa.int64()))
@@ -85,8 +93,9 @@ def _prefixes(common):
     """(token, node, n, pos) of the prefixes; a task takes each set of shingles once."""
 
     def run(batches):
+        release()
         last, known = np.array(common.value, np.int64), set()
-        for b in batches:
+        for b in parts(batches):
             out, rows = [], 0
             for text in b.column(0).to_pylist():
                 codes = shingles(text)
@@ -158,13 +167,21 @@ def _fits(small_n, small_pos, large_n, large_pos):
 
 
 def _neighbours(token, n, node, pos):
-    """Pairs of nodes that are next to each other by size at a crowded token near the start of the text."""
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    """Pairs of nodes that are near each other in a random order of those with a crowded token near the start of the text."""
+    on = pos < CHAIN
+    token, n, node = token[on], n[on], node[on]
+    mixed = (node ^ token).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), token))
+    token, n, node = token[order], n[order], node[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(token)])
-    crowded = np.repeat(sizes, sizes) >= CROWD
-    i = np.flatnonzero((token[1:] == token[:-1]) & crowded[1:] & (pos[:-1] < CHAIN))
-    i = i[OF * n[i] >= TIMES * n[i + 1]]
-    yield node[i], node[i + 1]
+    i = np.flatnonzero(np.repeat(sizes, sizes) >= CROWD)
+    for d in range(1, REACH + 1):
+        i = i[i + d < len(token)]
+        i = i[token[i] == token[i + d]]
+        small, large = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
+        k = i[OF * small >= TIMES * large]
+        yield node[k], node[k + d]
 
 
 def _apart(token, n, node, pos, kind):
@@ -222,12 +239,12 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.lit(OF) * F.col("same") >= F.lit(TIMES) * (F.col("whole") - F.col("same"))).select("a", "b")
 
 
-def classes(texts: DataFrame) -> DataFrame:
-    """(_no, node, kind) per row of texts (_no, text): rows with one kind are joined by links of near copies. _no is
-    unique and stays the same when texts are read again. Texts without words are one kind."""
+def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(_no, node, kind) per row of texts (_no, text): rows with one kind are joined by links of near copies. _no is unique
+    and stays the same when texts are read again. nodes are those of nodes(), written; proposed (a, b) pairs of them that
+    another method takes for near copies. Texts without words are one kind."""
     spark = texts.sparkSession
-    texts = texts.select("_no", "text")
-    nodes = written(in_python(texts, _digests, "_no long, node long"), "nodes")
+    texts, nodes = texts.select("_no", "text"), nodes.select("_no", "node")
     sample = in_python(texts.where(F.pmod(F.xxhash64("_no"), F.lit(SAMPLE)) == 0), _all_shingles, "key long, codes array<long>")
     counted = sample.select(F.explode("codes").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
     last = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()], np.int64))
@@ -236,12 +253,17 @@ def classes(texts: DataFrame) -> DataFrame:
     in_order = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "node")
     schema = "token long, n long, node long, pos long"
     shared = written(in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos"]), schema), "shared")
-    near = in_python(in_order(shared), _by_token(_neighbours, ["a", "b"]), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = in_python(in_order(shared), _by_token(_neighbours, ["a", "b"]), "a long, b long")
+    near = near.unionByName(proposed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = written(verified(near, texts, nodes), "links")
     kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
     rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", F.coalesce("kind", "node").alias("kind")))
     apart = in_python(rows, _by_token(_apart, ["a", "b", "least"]), "a long, b long, least long")
     apart = apart.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
-    more = written(verified(apart, texts, nodes), "links")
-    kinds = connected_components(spark, links.unionByName(more)).withColumnRenamed("component", "kind")
-    return nodes.join(kinds, "node", "left").select("_no", "node", F.coalesce("kind", "node").alias("kind"))
+    more = verified(apart, texts, nodes)
+    for end in ("a", "b"):
+        more = more.join(kinds.select(F.col("node").alias(end), F.col("kind").alias(f"{end}_kind")), end, "left")
+    more = written(more.select(F.coalesce("a_kind", "a").alias("a"), F.coalesce("b_kind", "b").alias("b")).distinct(), "links")
+    joined = connected_components(spark, more).select(F.col("node").alias("kind"), F.col("component").alias("whole"))
+    known = nodes.join(kinds, "node", "left").select("_no", "node", F.coalesce("kind", "node").alias("kind"))
+    return known.join(joined, "kind", "left").select("_no", "node", F.coalesce("whole", "kind").alias("kind"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,21 @@ def held(kind: str, key, make):
 
 
 def release() -> None:
-    """Drops what held() keeps, in tasks of operators that keep nothing."""
+    """Drops what held() keeps, in tasks of operators that keep nothing, and hands free memory back to the machine."""
     global _held
     _held = None
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """batches in slices of so many rows at most, so that what is made of whole texts stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

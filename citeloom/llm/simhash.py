@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import nearcopies
 from citeloom.llm.components import connected_components
-from citeloom.llm.shared import in_python, release, spread, written
+from citeloom.llm.shared import in_python, parts, release, spread, written
 
 BITS, BLOCKS, DISTANCE, SHINGLE = 64, 6, 4, 4
 LEAF, FAN = 16, 16
@@ -38,7 +38,11 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     spans = zip(starts, ends[k - 1 :], strict=False) if len(words) >= k else [(0, len(buffer))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(buffer[a:b], 42) for a, b in spans], np.uint64)
+    return code_of(np.array([digest(buffer[a:b], 42) for a, b in spans], np.uint64))
+
+
+def code_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of unsigned 64-bit hashes: a bit is set where over half of them have it; 0 for none."""
     set_bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * set_bits > len(hashes), bitorder="little")
     return int(packed.view("<i8")[0])
@@ -49,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         release()
-        for b in batches:
+        for b in parts(batches):
             fps = [fingerprint(t, k) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -210,7 +214,11 @@ def linked_classes(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -
 
     distance is at most 4. component is the smallest node that links reach; rows without links are absent.
     """
-    spark = codes.sparkSession
+    return connected_components(codes.sparkSession, gray_links(codes, distance, hot))
+
+
+def gray_links(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(a, b) by the Gray indexes of all buckets of codes (fp, node): b is the first member of a's class in the bucket."""
     masks = [0]  # the bits that are fixed so far, by path
     rows = codes.select("fp", "node", F.lit(0).alias("path"))
     links = []
@@ -241,7 +249,7 @@ def linked_classes(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
-    return connected_components(spark, found)
+    return found
 
 
 def near_duplicates(
@@ -264,16 +272,20 @@ def near_duplicates(
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row for each class of near copies, texts whose five-word shingles have a Jaccard of 0.8 or more.
 
-    The pipeline's stage; op1's fingerprints find too few of these (at 0.8 they differ by about 10 bits), so the links
-    come from the exact join of nearcopies. A class keeps the row of its smallest doc_id, of several that of the smallest
-    digest of the text. Rows without doc_id stay, and texts without words are one class.
+    The pipeline's stage. SimHash fingerprints of the distinct five-word shingles go through the Gray index, and its links
+    are verified by exact Jaccard. At 0.8 fingerprints differ by about 10 bits, so the index alone finds too few: the
+    links between classes that it leaves open come from the exact join of nearcopies. A class keeps the row of its
+    smallest doc_id (null after all others), of several that of the smallest digest of the text, of equal rows one. Texts
+    without words, null ones too, are one class. An empty table gives no rows; further columns are kept as they are.
     """
     numbered = written(docs.withColumn("_no", F.monotonically_increasing_id()), "numbered")
-    known = numbered.where(F.col("doc_id").isNotNull())
-    place = known.select("_no", F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_no").alias("place"))
-    found = written(nearcopies.classes(known).join(place, "_no").select("_no", "kind", "place"), "classes")
-    best = found.groupBy("kind").agg(F.min("place").alias("best"))
-    kept = best.select(F.col("best._no").alias("_no"))
+    nodes = written(nearcopies.nodes(numbered, code_of), "nodes")
+    codes = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "codes")
+    same = nodes.select("fp", F.col("node").alias("a")).distinct().join(codes.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    kinds = nearcopies.classes(numbered, nodes, gray_links(codes).unionByName(same))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_no").alias("place")
+    found = written(kinds.join(numbered.select("_no", place), "_no").select("_no", "kind", "place"), "classes")
+    kept = found.groupBy("kind").agg(F.min("place").alias("best")).select(F.col("best._no").alias("_no"))
     gone = written(found.select("_no").join(kept, "_no", "left_anti"), "gone")
     gone = F.broadcast(gone) if gone.count() <= nearcopies.BROADCAST else gone
     return numbered.join(gone, "_no", "left_anti").select(docs.columns)
