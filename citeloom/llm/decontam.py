@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import in_python, release, spread, written
+from citeloom.llm.shared import in_python, parts, release, spread, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -308,7 +308,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches):
         release()
-        for b in batches:
+        for b in parts(batches, 2000):
             ids = b.column(0).to_pylist()
             out = [(ids[i], item, *hit) for i, found in enumerate(_hits(shared, b.column(1).to_pylist())) for item, hit in sorted(found.items())]
             columns = list(zip(*out, strict=True)) or [[]] * 6
@@ -326,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
 
     def run(batches):
         release()
-        for b in batches:
+        for b in parts(batches, 2000):
             yield b.filter(pa.array([not h for h in _hits(shared, b.column(place).to_pylist())], pa.bool_()))
 
     return in_python(spread(docs), run, docs.schema)

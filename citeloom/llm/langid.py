@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import held, in_python, spread
+from citeloom.llm.shared import held, in_python, parts, spread
 
 HIDDEN = 10
 WINDOW = 96  # bytes that are read with one state
@@ -323,7 +323,7 @@ def identify(docs: DataFrame, network: dict, languages: list[str]) -> DataFrame:
 
     def run(batches):
         identifier = _identifier(shared)
-        for b in batches:
+        for b in parts(batches, 2000):
             names, values = identifier.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
 

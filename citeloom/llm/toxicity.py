@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import held, in_python, spread
+from citeloom.llm.shared import held, in_python, parts, spread
 
 ORDER, DECAY = 3, 0.6
 WINDOW = 16  # longer words are scored by windows of so many characters, half of them new
@@ -32,7 +32,7 @@ CHANCE = 1e-5
 POOL = 150_000  # clean words at most that training looks at
 SAMPLE = 3000  # training texts of either class at most
 CLEAN_WORDS = 40_000  # clean training words in a round at most, beside those that earlier rounds found hard
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 EDGE, DIGIT, OTHER, ACCENTED = 27, 28, 29, 30
 _single = re.compile(r"(?:(?<!\S)\S\s+){3,}\S(?!\S)").finditer
 _space = re.compile(r"\s+").sub
@@ -358,7 +358,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         scorer = scorer_of(shared)
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return in_python(rows, run, "doc_id long, score double")
@@ -370,7 +370,7 @@ def keep_civil(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
 
     def run(batches):
         scorer = scorer_of(shared)
-        for b in batches:
+        for b in parts(batches):
             yield b.filter(pa.array([s < limit for s in scorer.score(b.column(place).to_pylist())], pa.bool_()))
 
     return in_python(spread(docs), run, docs.schema)
