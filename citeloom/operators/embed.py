@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,24 @@ def precomputed(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return rows.join(vectors.select(key, "embedding"), key, "left")
 
 
+_words = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
 def hashing_vectors(texts: list[str | None], dim: int = DIM) -> np.ndarray:
-    """Unit vectors of signed word hashes; zero for texts without words."""
-    out = np.zeros((len(texts), dim), np.float32)
+    """Unit vectors of signed word hashes; zero for texts without words. The first eight hex digits of a word's MD5 give its
+    place, the ninth its sign."""
+    out = np.zeros((len(texts), dim))
     for i, text in enumerate(texts):
-        for word in (text or "").lower().split():
-            h = zlib.crc32(word.encode())
-            out[i, h % dim] += 1 if h >> 31 else -1
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm == 0, 1, norm)
+        for word in _words((text or "").lower()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            out[i, int(digest[:8], 16) % dim] += 1 if digest[8] >= "8" else -1
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
+
+
+def encode_texts(encode: Callable, texts: Iterable[str]) -> list[list[float]]:
+    """The vectors of texts as lists of floats, whatever number type the embedding function gives."""
+    return [[float(x) for x in vector] for vector in encode(list(texts))]
 
 
 def embedder(backend: str, model: str = "", dim: int = DIM) -> Callable[[], Callable[[list[str]], np.ndarray]]:

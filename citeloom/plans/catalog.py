@@ -482,10 +482,13 @@ def ret08_bundle(spark, sf_dir):
     return retrieval.bundle(retrieval.hybrid(docs, asked), retrieval.figures(docs, asked)).select("query_id", "collection", "row_id", "hit_rank", "hit_ord", F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'))) AS m FROM documents),
+v AS (SELECT doc_id, ('0x' || substring(m, 1, 8))::BIGINT % 64 AS place, sum(CASE WHEN substring(m, 9, 1) >= '8' THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL)
+SELECT doc_id, place::INT AS place, (s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS value FROM v WHERE s <> 0""")
 def emb01_hashing(spark, sf_dir):
+    """The components that aren't zero of all documents' vectors."""
     rows = embed.embed(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")), embed.embedder("hashing", dim=64))
-    return rows.select("doc_id", "embedding")
+    return rows.select("doc_id", F.posexplode("embedding").alias("place", "value")).where("value <> 0").select("doc_id", "place", F.col("value").cast("double").alias("value"))
 
 
 # Context ------------------------------------------------------------------------------------------------------------
