@@ -6,6 +6,10 @@ they share lie among the first n - 0.8 n + l of the one and n - 8/9 n + l of the
 shingle, pairs that share fewer than l are left, and the others are verified over all shingles. Nothing is missed, and the
 sample only decides how many pairs are looked at.
 
+A text's sketch holds for each of 256 classes of digests whether an odd number of its shingles are in it. Two sketches
+differ in no more places than there are shingles that one text has and the other hasn't, so pairs whose sketches differ in
+more than a Jaccard of 0.8 allows are left out before anything is made of them.
+
 Texts with equal shingles are one node from the start, and links that another method proposes are verified first. A shingle that many nodes share is first searched for links
 between neighbours in size only; once these have joined a group's members, only pairs of different classes are looked
 at, so a large group of near copies doesn't meet itself pair by pair.
@@ -29,8 +33,9 @@ SHINGLE = 5
 TIMES, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000  # one text in SAMPLE is sampled; COMMON texts of them make a shingle common
 CROWD, CHAIN = 16, 4  # nodes of a shingle that is searched at random first; its place in a text is below CHAIN
-REACH = 8  # nodes on either side that a node is compared with in that order
+REACH = 12  # nodes on either side that a node is compared with in that order
 BROADCAST = 200_000
+SKETCH = ["s0", "s1", "s2", "s3"]
 BLOCK = 1 << 17  # rows or pairs that are in memory at once
 
 
@@ -53,6 +58,12 @@ def node_of(codes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes())).astype(np.int64))
 
 
+def sketch_of(codes: np.ndarray) -> np.ndarray:
+    """The parities of a set of shingles in 256 classes, as four signed 64-bit integers."""
+    odd = (np.bincount(codes & 255, minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def least_shared(n):
     """l: how many shingles of the prefixes a smaller text of n shingles must share."""
     return 1 + n // 40
@@ -69,15 +80,17 @@ def shortest_prefix(n):
 
 
 def nodes(texts: DataFrame, code_of) -> DataFrame:
-    """(_no, node, fp) per row of texts (_no, text): the digest of its set of shingles, and code_of these."""
+    """(_no, node, fp, s0 to s3) per row of texts (_no, text): the digest of its set of shingles, code_of these, its sketch."""
 
     def run(batches):
         release()
         for b in parts(batches):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array([code_of(x.view(np.uint64)) for x in sets], pa.int64())], ["_no", "node", "fp"])
+            columns = [pa.array(map(node_of, sets), pa.int64()), pa.array([code_of(x.view(np.uint64)) for x in sets], pa.int64())]
+            sketches = np.stack([sketch_of(x) for x in sets], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *map(pa.array, sketches)], ["_no", "node", "fp", *SKETCH])
 
-    return in_python(texts.select("_no", "text"), run, "_no long, node long, fp long")
+    return in_python(texts.select("_no", "text"), run, "_no long, node long, fp long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _all_shingles(batches):
@@ -166,13 +179,19 @@ def _fits(small_n, small_pos, large_n, large_pos):
     return (OF * small_n >= TIMES * large_n) & (small_pos < shortest_prefix(small_n)) & (large_pos < limit)
 
 
-def _neighbours(token, n, node, pos):
+def _alike(i, j, n, sketch):
+    """Whether the sketches of rows i and j leave a Jaccard of TIMES / OF possible."""
+    apart = sum(np.bitwise_count(s[i].view(np.uint64) ^ s[j].view(np.uint64)).astype(np.int64) for s in sketch)
+    return (TIMES + OF) * apart <= (OF - TIMES) * (n[i] + n[j])
+
+
+def _neighbours(token, n, node, pos, *sketch):
     """Pairs of nodes that are near each other in a random order of those with a crowded token near the start of the text."""
     on = pos < CHAIN
-    token, n, node = token[on], n[on], node[on]
+    token, n, node, sketch = token[on], n[on], node[on], [s[on] for s in sketch]
     mixed = (node ^ token).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), token))
-    token, n, node = token[order], n[order], node[order]
+    token, n, node, sketch = token[order], n[order], node[order], [s[order] for s in sketch]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(token)])
     i = np.flatnonzero(np.repeat(sizes, sizes) >= CROWD)
@@ -181,10 +200,11 @@ def _neighbours(token, n, node, pos):
         i = i[token[i] == token[i + d]]
         small, large = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
         k = i[OF * small >= TIMES * large]
+        k = k[_alike(k, k + d, n, sketch)]
         yield node[k], node[k + d]
 
 
-def _apart(token, n, node, pos, kind):
+def _apart(token, n, node, pos, kind, *sketch):
     """(a, b, least): all pairs of nodes of different classes that share a token of their prefixes; n ascends in a token."""
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
@@ -194,6 +214,8 @@ def _apart(token, n, node, pos, kind):
     def pairs(i, j):
         ok = (kind[i] != kind[j]) & _fits(n[i], pos[i], n[j], pos[j])
         i, j = i[ok], j[ok]
+        ok = _alike(i, j, n, sketch)
+        i, j = i[ok], j[ok]
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i])
 
     few = np.repeat(mixed & (sizes <= CROWD), sizes)
@@ -244,6 +266,7 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     and stays the same when texts are read again. nodes are those of nodes(), written; proposed (a, b) pairs of them that
     another method takes for near copies. Texts without words are one kind."""
     spark = texts.sparkSession
+    sketches = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in SKETCH])
     texts, nodes = texts.select("_no", "text"), nodes.select("_no", "node")
     sample = in_python(texts.where(F.pmod(F.xxhash64("_no"), F.lit(SAMPLE)) == 0), _all_shingles, "key long, codes array<long>")
     counted = sample.select(F.explode("codes").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
@@ -252,12 +275,13 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     prefixes = in_python(texts.select("text"), _prefixes(common), "token long, node long, n int, pos int").select("token", "n", "node", "pos")
     in_order = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "node")
     schema = "token long, n long, node long, pos long"
-    shared = written(in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos"]), schema), "shared")
+    shared = in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos"]), schema)
+    shared = written(shared.join(sketches, "node").select("token", "n", "node", "pos", *SKETCH), "shared")
     near = in_python(in_order(shared), _by_token(_neighbours, ["a", "b"]), "a long, b long")
     near = near.unionByName(proposed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = written(verified(near, texts, nodes), "links")
     kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
-    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", F.coalesce("kind", "node").alias("kind")))
+    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", F.coalesce("kind", "node").alias("kind"), *SKETCH))
     apart = in_python(rows, _by_token(_apart, ["a", "b", "least"]), "a long, b long, least long")
     apart = apart.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
     more = verified(apart, texts, nodes)
