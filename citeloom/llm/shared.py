@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -75,14 +76,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession, keep: int = 0) -> None:
     """Removes the folders that this session wrote, but for the `keep` latest; what was read from them can't be read again."""
+    _remove(spark, _made[: len(_made) - keep])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Removes the folders that are written within, at its end, but for those named in keep."""
+    first = len(_made)
+    yield
+    _remove(spark, [p for p in _made[first:] if p.rsplit("/citeloom-", 1)[1].rsplit("-", 1)[0] not in keep])
+
+
+def _remove(spark: SparkSession, gone: list[str]) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    gone, _made[:] = _made[: len(_made) - keep], _made[len(_made) - keep :]
+    _made[:] = [p for p in _made if p not in gone]
     for path in map(hadoop, gone):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import nearcopies
 from citeloom.llm.components import connected_components
-from citeloom.llm.shared import in_python, parts, release, spread, written
+from citeloom.llm.shared import in_python, parts, release, scratch, spread, written
 
 BITS, BLOCKS, DISTANCE, SHINGLE = 64, 6, 4, 4
 LEAF, FAN = 16, 16
@@ -279,13 +279,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without words, null ones too, are one class. An empty table gives no rows; further columns are kept as they are.
     """
     numbered = written(docs.withColumn("_no", F.monotonically_increasing_id()), "numbered")
-    nodes = written(nearcopies.nodes(numbered, code_of), "nodes")
-    codes = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "codes")
-    same = nodes.select("fp", F.col("node").alias("a")).distinct().join(codes.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
-    kinds = nearcopies.classes(numbered, nodes, gray_links(codes).unionByName(same))
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_no").alias("place")
-    found = written(kinds.join(numbered.select("_no", place), "_no").select("_no", "kind", "place"), "classes")
-    kept = found.groupBy("kind").agg(F.min("place").alias("best")).select(F.col("best._no").alias("_no"))
-    gone = written(found.select("_no").join(kept, "_no", "left_anti"), "gone")
+    with scratch(docs.sparkSession, "gone"):
+        nodes = written(nearcopies.nodes(numbered, code_of), "nodes")
+        codes = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "codes")
+        same = nodes.select("fp", F.col("node").alias("a")).distinct().join(codes.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+        kinds = nearcopies.classes(numbered, nodes, gray_links(codes).unionByName(same))
+        place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_no").alias("place")
+        found = written(kinds.join(numbered.select("_no", place), "_no").select("_no", "kind", "place"), "classes")
+        kept = found.groupBy("kind").agg(F.min("place").alias("best")).select(F.col("best._no").alias("_no"))
+        gone = written(found.select("_no").join(kept, "_no", "left_anti"), "gone")
     gone = F.broadcast(gone) if gone.count() <= nearcopies.BROADCAST else gone
     return numbered.join(gone, "_no", "left_anti").select(docs.columns)
