@@ -28,6 +28,7 @@ from citeloom.llm.shared import held, in_python, parts, spread
 ORDER, DECAY = 3, 0.6
 WINDOW = 16  # longer words are scored by windows of so many characters, half of them new
 LANDMARKS = 256
+FEATURED = 64  # words whose kernel values are made at once
 CHANCE = 1e-5
 POOL = 150_000  # clean words at most that training looks at
 SAMPLE = 3000  # training texts of either class at most
@@ -132,8 +133,8 @@ def features(words: list[str], landmarks: np.ndarray) -> np.ndarray:
         owner += [i] * len(own)
     out = np.zeros((len(pieces), landmarks.shape[1]), np.float32)
     for some, code, weight in subsequences(pieces):
-        for s in range(0, len(some), 256):
-            out[some[s : s + 256]] = np.einsum("wjm,wj->wm", landmarks[code[s : s + 256]], weight[s : s + 256])
+        for s in range(0, len(some), FEATURED):
+            out[some[s : s + FEATURED]] = np.einsum("wjm,wj->wm", landmarks[code[s : s + FEATURED]], weight[s : s + FEATURED])
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     return np.add.reduceat(out, first, axis=0) / np.diff(np.r_[first, len(owner)])[:, None] if len(words) else np.zeros((0, landmarks.shape[1]))
 
