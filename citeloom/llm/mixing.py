@@ -19,7 +19,7 @@ from citeloom.llm.shared import spread, written
 POINT_BITS = 62
 CELLS = 4096  # equal parts of the points, by which slots and the sources' intervals are joined
 SOURCES = 100_000  # the most that are mixed; more is an error
-BUCKET_ROWS = 20_000
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 256
 BLOCK = 256
 SLOTS_PER_BUCKET = 4096
 SEED = "mix-1"
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, times: float = T
     known = targets([(r[0], r[1]) for r in by_source], weights, share, times)
     listed = spark.createDataFrame([(s, i, n, float(t)) for i, (s, n, t) in enumerate(known)], "source string, nth int, source_size long, target double")
     sized = sized.join(F.broadcast(listed), sized["source"].eqNullSafe(listed["source"])).drop(listed["source"])
-    placed = shuffled_stream(sized.where("size > 0").select("no", "doc_id", "nth", "size"), seed, max(16, sum(r[2] for r in by_source) // BUCKET_ROWS))
+    placed = shuffled_stream(sized.where("size > 0").select("no", "doc_id", "nth", "size"), seed, max(LEAST_BUCKETS, sum(r[2] for r in by_source) // BUCKET_ROWS))
     plan = schedule(spark, [(i, n, int(t)) for i, (_, n, t) in enumerate(known)], block)
     # The stream is cut anew in each pass, so a slot's words are one interval of a pass or of two that meet.
     plan = plan.join(F.broadcast(listed.select("nth", "source_size")), "nth")
