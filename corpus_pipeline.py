@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import decontam, mixing, simhash, tokenfile, toxicity
 from citeloom.llm.queries import tokenizer_path
-from citeloom.llm.shared import new_path, sweep, table, written
+from citeloom.llm.shared import new_path, scratch, table, written
 
 #: SQL can't express the string kernel, the fingerprints or the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -68,6 +68,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-        sweep(spark, keep=1)  # what the stage and its input were read from
+        with scratch(spark, name):
+            docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
