@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontam, hnsw, langid, license, mixing, simhash, tokencount, tokenfile, toxicity, urlfilter
+from citeloom.llm import collocations, decontam, hnsw, importance, langid, license, mixing, quality, simhash, tokencount, tokenfile, toxicity, urlfilter
 from citeloom.llm.shared import new_path, table
 
 #: The rules of op4 (host, path, verdict).
@@ -80,6 +80,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_simhash, op2_hnsw, op3_token_files, op4_url_filter, op5_license_scan, op6_decontam, op7_mix, op8_language, op9_token_counts, op10_toxicity)
+    ops = (op1_simhash, op2_hnsw, op3_token_files, op4_url_filter, op5_license_scan, op6_decontam, op7_mix, op8_language, op9_token_counts, op10_toxicity, op11_collocations, op12_quality, op13_importance)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -144,8 +158,66 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, f
 """
 
 
+#: All runs of one to three words are counted; the cuts of the frequent ones meet the counts of both parts.
+OP11_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+runs AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM lists
+  UNION ALL SELECT lang, 2 AS k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM lists
+  UNION ALL SELECT lang, 3 AS k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM lists),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY lang, k, phrase HAVING count(*) >= {collocations.LEAST}),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM cand
+  UNION ALL SELECT lang, phrase, a, 2 AS cut, w[1] || ' ' || w[2] AS head, w[3] AS tail FROM cand WHERE k = 3),
+scored AS (
+  SELECT c.lang, c.phrase, a, cut, h.f AS l, t.f AS r, ({collocations.PER_MILLE}::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f t ON c.lang = t.lang AND c.tail = t.phrase),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM cand WHERE k = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase
+  WHERE nth = 1 AND (longer IS NULL OR 100 * longer < {collocations.COVERED} * a)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM placed JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+#: CRC-32 by a table of 256 steps over a distinct run's bytes; gains, weights and scores as the operator's contract states.
+OP13_SQL = rf"""
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+words AS (
+  SELECT 's' AS side, row_number() OVER () AS no, doc_id, text FROM documents UNION ALL SELECT 't' AS side, -row_number() OVER () AS no, NULL AS doc_id, text FROM benchmark),
+lists AS (SELECT side, no, doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM words),
+runs AS (
+  SELECT side, no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS run FROM lists),
+counted AS (SELECT side, no, run, count(*) AS n FROM runs GROUP BY side, no, run),
+distinct_runs AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM counted)),
+crc AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {importance.BUCKETS} AS bucket
+  FROM distinct_runs, steps),
+features AS (SELECT side, no, bucket, sum(n)::BIGINT AS n FROM counted JOIN crc USING (run) GROUP BY side, no, bucket),
+sides AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 't'), 0)::BIGINT AS t FROM features GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM sides) + {importance.BUCKETS})::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sides) + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM sides),
+weighed AS (SELECT no, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM features JOIN gains USING (bucket) WHERE side = 's' GROUP BY no),
+scored AS (
+  SELECT no, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('{importance.SEED}:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM lists LEFT JOIN weighed USING (no) WHERE side = 's'),
+placed AS (
+  SELECT *, weight + noise AS score, n_words >= {importance.LEAST_WORDS} AS able,
+    row_number() OVER (PARTITION BY n_words >= {importance.LEAST_WORDS} ORDER BY weight + noise DESC, doc_id, n_features) AS place,
+    count(*) OVER (PARTITION BY n_words >= {importance.LEAST_WORDS}) AS all_able FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN able AND place <= all_able * {importance.PERCENT} // 100 THEN place END::BIGINT AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op5_license_scan": license_sql(), "op7_mix": OP7_SQL}
+    return {"op4_url_filter": OP4_SQL, "op5_license_scan": license_sql(), "op7_mix": OP7_SQL, "op11_collocations": OP11_SQL, "op13_importance": OP13_SQL}
 
 
 def license_sql() -> str:

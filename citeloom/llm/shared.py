@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import os
 import tempfile
@@ -11,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -65,11 +66,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []  # folders that this session wrote
+_within: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("within", default=())  # of this thread's scratch() blocks
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    _made.append(f"{shared_dir(spark)}/citeloom-{what}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/citeloom-{what}-{uuid.uuid4().hex}"
+    for made in (_made, *_within.get()):
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -87,10 +91,17 @@ def sweep(spark: SparkSession, keep: int = 0) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Removes the folders that are written within, at its end, but for those named in keep."""
-    first = len(_made)
-    yield
-    _remove(spark, [p for p in _made[first:] if p.rsplit("/citeloom-", 1)[1].rsplit("-", 1)[0] not in keep])
+    """Removes the folders that this thread writes within, at its end or on an error, but for those named in keep (on an
+    error these too)."""
+    made: list[str] = []
+    before = _within.set((*_within.get(), made))
+    kept: tuple[str, ...] = ()
+    try:
+        yield
+        kept = keep
+    finally:
+        _within.reset(before)
+        _remove(spark, [p for p in made if p.rsplit("/citeloom-", 1)[1].rsplit("-", 1)[0] not in kept])
 
 
 def _remove(spark: SparkSession, gone: list[str]) -> None:
@@ -120,6 +131,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def drawn(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """Of each group of rows the `most` first ones by order and then by a digest of the whole row; equal rows count once,
+    so that no more are kept however often an id or a text repeats. Digests alone are ranked, each task cutting its own
+    to `most` a group first; groups times most bounds what is broadcast."""
+    digest = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns))
+    keyed = rows.withColumn("_digest", digest)
+    keys = keyed.select(group, *order, "_digest").distinct()
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order, "_digest"))
+    first = keys.withColumn("_nth", nth).where(F.col("_nth") <= most).select(F.col(group).alias("_group"), F.col("_digest").alias("_wanted"))
+    chosen = keyed.join(F.broadcast(first), (F.col("_digest") == F.col("_wanted")) & F.col(group).eqNullSafe(F.col("_group")), "left_semi")
+    return chosen.dropDuplicates(["_digest", group]).drop("_digest")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_token_counts": ["doc_id", "start", "n_tokens"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op13_importance": ["doc_id", "n_features", "weight", "score", "rank"],
     "pipeline": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
@@ -74,7 +77,7 @@ def test_tokens_of_both_queries_agree(spark, texts):
 
 
 def test_held_out_rows_and_predictions(spark, texts):
-    for name, base, rest in (("op8_language", 4, 2), ("op10_toxicity", 5, 0)):
+    for name, base, rest in (("op8_language", 4, 2), ("op10_toxicity", 5, 0), ("op12_quality", 4, 2)):
         rows = queries.queries()[name](spark, SF).collect()
         assert sorted(r["doc_id"] for r in rows) == sorted(texts)
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % base == rest) and 0 <= r["score"] <= 1 for r in rows)
