@@ -16,7 +16,7 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     assert names(tmp_path) >= 60
     if (ROOT / "citeloom" / "llm").exists():
-        assert names(ROOT) == names(tmp_path) + 11
+        assert names(ROOT) == names(tmp_path) + 14
 
 
 def test_entry_does_not_hide_a_broken_subpackage(tmp_path):
