@@ -9,7 +9,6 @@ backpropagation through time on windows of labelled texts, each position with it
 
 from __future__ import annotations
 
-import re
 from uuid import uuid4
 from zlib import crc32
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import held, in_python, parts, spread
+from citeloom.llm.shared import drawn, held, in_python, parts, sampled, scratch, spread
 
 HIDDEN = 10
 WINDOW = 96  # bytes that are read with one state
@@ -29,12 +28,12 @@ SAMPLES_PER_DOC = 24  # windows of at most SAMPLE_BYTES of a text that are learn
 SAMPLE_BYTES = 48
 STEPS, BATCH, RATE = 900, 128, 0.012
 LANGUAGES = 1_000  # the most that a model learns; more is an error
-_letter = re.compile(r"[^\W\d_]").search
 
 
 def data_of(text: str | None) -> bytes:
-    """What the network reads of a text: its bytes in lower case; nothing if it has no letter."""
-    return text.lower().encode("utf-8", "replace") if text and _letter(text) else b""
+    """What the network reads of a text: its bytes in lower case; nothing if it has no letter (of Unicode's letter classes,
+    so neither fractions nor numerals are letters)."""
+    return text.lower().encode("utf-8", "replace") if text and any(map(str.isalpha, text)) else b""
 
 
 def start(languages: int, hidden: int = HIDDEN, seed: int = 3) -> dict[str, np.ndarray]:
@@ -279,36 +278,32 @@ def samples_of(text: str, doc_id: int, most: int = SAMPLES_PER_DOC) -> list[byte
 
 def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, per_doc: int = SAMPLES_PER_DOC) -> tuple[dict, list[str]]:
     """(network, languages) from docs (doc_id, text, lang): of each language `per_lang` rows at most, those whose ids have
-    the smallest hashes (equal ones by id and text), and of each text `per_doc` windows at most.
-
-    Which hashes can be among the smallest follows from the languages' counts, so no language's rows meet in one task;
-    executors cut the windows, and the driver gets these alone. Null ids, texts and languages are left out.
+    the smallest hashes, and of each text `per_doc` windows at most, which executors cut; the driver gets these alone. Rows
+    that repeat an id, a text and a language count once. Null ids, texts and languages are left out. More than LANGUAGES
+    languages are an error, as the network would have an output for each.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    known = counts.limit(LANGUAGES + 1).collect()
+    rows = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = [r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect()]
     if len(known) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     if not known:
         return fit([], np.empty(0, np.int64), 1), []
-    share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, (2.0 * per_lang + 200) / r["n"]))])
-    digest = F.xxhash64("doc_id")
-    some = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", digest.alias("digest"))
-    some = some.where((F.col("digest").cast("double") + 2.0**63) / 2.0**64 <= share[F.col("lang")])
+    languages = sorted(known)
 
     def run(batches):
         for b in batches:
-            cut = [samples_of(t, i, per_doc) for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(cut, pa.list_(pa.binary()))], ["digest", "doc_id", "lang", "windows"])
-
-    got = sorted(tuple(r) for r in in_python(some, run, "digest long, doc_id long, lang string, windows array<binary>").collect())
-    languages = sorted(r["lang"] for r in known)
-    windows, labels, taken = [], [], dict.fromkeys(languages, 0)
+            cut = [samples_of(t, i, per_doc) for i, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cut, pa.list_(pa.binary()))], ["digest", "doc_id", "lang", "windows"])
+
+    ids = drawn(rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")), "lang", ["h"], per_lang).select("doc_id", "lang")
+    with scratch(docs.sparkSession):
+        some = sampled(rows, ids, ["doc_id", "lang"], "lang", per_lang)
+        cuts = in_python(some.select("h", F.col("doc_id").cast("long"), "lang", "text"), run, "digest long, doc_id long, lang string, windows array<binary>")
+        got = sorted(tuple(r) for r in cuts.collect())
+    windows, labels = [], []
     for _, _, lang, own in got:
-        taken[lang] += 1
-        if taken[lang] <= per_lang:
-            windows += map(bytes, own)
-            labels += [languages.index(lang)] * len(own)
+        windows += map(bytes, own)
+        labels += [languages.index(lang)] * len(own)
     return fit(windows, np.array(labels, np.int64), len(languages)), languages
 
 

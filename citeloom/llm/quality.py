@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import drawn, held, in_python, parts, spread
+from citeloom.llm.shared import drawn, held, in_python, parts, sampled, scratch, spread
 
 PIECE = 1024  # bytes that are compressed at once
 LEVEL = 3
@@ -152,15 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, per_text: in
     known = known.where(~held_out(F.col("doc_id")))
     totals = dict(known.groupBy("good").count().collect())
     ids = drawn(known.withColumn("h", F.xxhash64("doc_id")), "good", ["h"], sample).select("doc_id", "good")
-    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    rows = drawn(rows, "good", ["h"], sample).select("h", F.xxhash64("text").alias("digest"), "good", "text")
-
     def run(batches):
         for b in batches:
             own = [samples_of(t, per_text) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.list_(pa.binary()))], ["h", "digest", "good", "pieces"])
 
-    found = sorted((r["h"], r["digest"], r["good"], [bytes(p) for p in r["pieces"]]) for r in in_python(rows, run, "h long, digest long, good int, pieces array<binary>").toLocalIterator())
+    with scratch(docs.sparkSession):
+        rows = sampled(docs.select("doc_id", "text").where(F.length("text") > 0), ids, ["doc_id"], "good", sample)
+        cuts = in_python(rows.select("h", F.xxhash64("text"), "good", "text"), run, "h long, digest long, good int, pieces array<binary>")
+        found = sorted((r["h"], r["digest"], r["good"], [bytes(p) for p in r["pieces"]]) for r in cuts.collect())
     return fit([r[3] for r in found], [r[2] for r in found], (totals.get(0, 1), totals.get(1, 1)))
 
 

@@ -144,6 +144,13 @@ def drawn(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame
     return chosen.dropDuplicates(["_digest", group]).drop("_digest")
 
 
+def sampled(docs: DataFrame, ids: DataFrame, on: list[str], group: str, most: int) -> DataFrame:
+    """Of each group the `most` rows of docs at most whose doc_ids have the smallest hashes (h), of the rows that ids name by
+    the columns `on`. ids are as many as groups times most. docs are read once: the rows found are written, and cut then."""
+    found = docs.join(F.broadcast(ids), on).withColumn("h", F.xxhash64("doc_id"))
+    return drawn(written(found, "sampled"), group, ["h"], most)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

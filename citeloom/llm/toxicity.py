@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import held, in_python, parts, spread
+from citeloom.llm.shared import drawn, held, in_python, parts, sampled, scratch, spread
 
 ORDER, DECAY = 3, 0.6
 WINDOW = 16  # longer words are scored by windows of so many characters, half of them new
@@ -140,11 +140,17 @@ def features(words: list[str], landmarks: np.ndarray) -> np.ndarray:
 
 
 def table_of(words: list[str]) -> np.ndarray:
-    """(32**ORDER, words): each word's weighted subsequences."""
+    """(32**ORDER, words): each word's weighted subsequences, of a long word's windows the mean."""
+    pieces, owner = [], []
+    for i, w in enumerate(words):
+        own = _pieces(w)
+        pieces += own
+        owner += [i] * len(own)
+    share = (1 / np.bincount(owner, minlength=len(words))).astype(np.float32) if words else np.empty(0, np.float32)
     table = np.zeros((32**ORDER, len(words)), np.float32)
-    for some, code, weight in subsequences([f"\0{w}\0"[:WINDOW] for w in words]):
-        for i, row, w in zip(some, code, weight, strict=True):
-            np.add.at(table[:, i], row, w)
+    for some, code, weight in subsequences(pieces):
+        for k, row, w in zip(some, code, weight, strict=True):
+            np.add.at(table[:, owner[k]], row, w * share[owner[k]])
     return table
 
 
@@ -222,7 +228,8 @@ def fit(sets: list[set[str]], marks: list[list[int]], labels: list[int], rounds:
     pool = known + plain
     if len(pool) > POOL:
         pool = [pool[i] for i in np.sort(rng.choice(len(pool), POOL, replace=False))]
-    marks = sorted({*sure[: LANDMARKS // 2], *(pool[i] for i in rng.choice(len(pool), min(len(pool), LANDMARKS // 2), replace=False))}) if pool else sure
+    marked = sure if len(sure) <= LANDMARKS // 2 else np.random.default_rng(seed).choice(sure, LANDMARKS // 2, replace=False).tolist()
+    marks = sorted({*marked, *(pool[i] for i in rng.choice(len(pool), min(len(pool), LANDMARKS // 2), replace=False))}) if pool else sure
     base = table_of(marks)
     values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
     keep = values > 1e-4 * values[-1]
@@ -325,14 +332,13 @@ def trainable(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = 200_000) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, toxic): of either class `sample` texts at most, those whose
-    ids have the smallest hashes, and none over `longest` characters. Rows that repeat a label count once, a toxic one
-    first; null labels, ids and texts are left out. Executors cut the texts into units, and the driver gets these alone."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids have the smallest hashes, and none over `longest` characters. Rows that repeat an id and a text count once, and so do
+    repeated labels, a toxic one first; null labels, ids and texts are left out. Executors cut the texts into units, and the
+    driver gets these alone."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = known.where(trainable(F.col("doc_id")))
-    some = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.lit(y).alias("toxic")) for c, y in (("toxic = 1", 1), ("toxic <> 1", 0))]
-    ids = F.broadcast(some[0].unionByName(some[1]))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(ids, "doc_id")
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "toxic", "text")
+    ids = drawn(known.withColumn("h", F.xxhash64("doc_id")), "toxic", ["h"], sample).select("doc_id", "toxic")
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -342,8 +348,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
 
     one: dict[str, str] = {}  # of equal words a single one is kept
     found = []
-    for r in in_python(rows, run, "doc_id long, digest long, toxic int, units array<string>, marks array<long>").toLocalIterator():
-        found.append((r["doc_id"], r["digest"], r["toxic"], {one.setdefault(w, w) for w in r["units"]}, r["marks"]))
+    with scratch(docs.sparkSession):
+        rows = sampled(own, ids, ["doc_id"], "toxic", sample)
+        rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "toxic", "text")
+        for r in in_python(rows, run, "doc_id long, digest long, toxic int, units array<string>, marks array<long>").toLocalIterator():
+            found.append((r["doc_id"], r["digest"], r["toxic"], {one.setdefault(w, w) for w in r["units"]}, r["marks"]))
     found.sort(key=lambda r: r[:3])
     return fit([r[3] for r in found], [r[4] for r in found], [r[2] for r in found])
 

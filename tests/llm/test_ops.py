@@ -500,12 +500,27 @@ def test_language_learns_and_marks_und(spark, sf_dir):
     rows = [(r[0], r[1], r[2]) for r in df.select("doc_id", "text", "lang").collect() if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     got = {r[0]: r for r in langid.identify(frame(spark, [(d, t) for d, t, _ in rows]), network, languages).collect()}
     assert sum(got[d]["lang_pred"] == lang for d, _, lang in rows) >= 0.9 * len(rows)
-    odd = langid.identify(frame(spark, [*ODD, (990, "12 34 --")]), network, languages).collect()
-    assert len(odd) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in odd)
-    assert {r["doc_id"] for r in odd if r["lang_pred"] == "und"} == {900, 901, 902, 990}
+    odd = langid.identify(frame(spark, [*ODD, (990, "12 34 --"), (991, "½ ² ① ⅷ")]), network, languages).collect()
+    assert len(odd) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in odd)
+    assert {r["doc_id"] for r in odd if r["lang_pred"] == "und"} == {900, 901, 902, 990, 991}
     assert langid.identify(frame(spark, [(1, "abc")]), *langid.train(df.limit(0))).collect()[0]["lang_pred"] == "und"
 
 
+def test_models_learn_from_bounded_samples(spark, monkeypatch):
+    sent = {}
+    monkeypatch.setattr(langid, "fit", lambda windows, labels, languages, **_: sent.update(lang=(len(windows), np.bincount(labels).tolist())))
+    monkeypatch.setattr(toxicity, "fit", lambda sets, marks, labels: sent.update(toxic=Counter(labels)))
+    many = spark.range(50_000).selectExpr("0L AS doc_id", "concat('text ', id, repeat(' more', 30)) AS text", "'en' AS lang")
+    same = spark.range(5_000).selectExpr("1L AS doc_id", "'one text that comes again and again' AS text", "'en' AS lang")
+    few = spark.range(100, 400).selectExpr("id AS doc_id", "concat('words of ', id) AS text", "'de' AS lang")
+    docs = many.unionByName(same).unionByName(few)
+    langid.train(docs, per_lang=50, per_doc=2)
+    assert sent["lang"][0] <= 200 and min(sent["lang"][1]) >= 50
+    labels = spark.range(400).selectExpr("id AS doc_id", "cast(id < 2 AS int) AS toxic")
+    toxicity.train(docs, labels.unionByName(labels), sample=60)
+    assert sent["toxic"][1] <= 60 and sent["toxic"][0] <= 60 and sent["toxic"][1] > 1
+
+
 def plain_predict(p, text):
     """Mean log probabilities of a text, a byte at a time."""
     data, hidden = langid.data_of(text), p["uf"].shape[0]
@@ -561,21 +576,64 @@ def test_string_kernel_equals_brute_force():
     from itertools import combinations
 
     def phi(word):
-        w, out = [toxicity._codes[ord(c)] for c in f"\0{word}\0"], {}
+        w, out = [toxicity._codes[ord(c)] for c in word], {}
         for at in combinations(range(len(w)), 3):
             k = tuple(w[i] for i in at)
             out[k] = out.get(k, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         n = sum(v * v for v in out.values()) ** 0.5
         return {k: v / n for k, v in out.items()}
 
-    words = ["banana", "clown", "cl.own", "aaaa", "chón"]
+    def cut(word):  # a long word by windows of 16 signs, half of them new
+        marked = f"\0{word}\0"
+        return [marked] if len(marked) <= 16 else [marked[i : i + 16] for i in range(0, len(marked) - 8, 8)]
+
+    def mean(word):
+        out = Counter()
+        for piece in (own := cut(word)):
+            out.update({k: v / len(own) for k, v in phi(piece).items()})
+        return out
+
+    words = ["banana", "clown", "cl.own", "aaaa", "chón", "a-very-long-word-of-many-signs", "a-very-long-wordxof other ends"]
     values = toxicity.features(words, toxicity.table_of(words))
     for i, a in enumerate(words):
         for j, b in enumerate(words):
-            x, y = phi(a), phi(b)
+            x, y = mean(a), mean(b)
             assert abs(values[i, j] - sum(v * y.get(k, 0) for k, v in x.items())) < 1e-4
 
 
+def test_toxicity_scores_equal_a_plain_loop():
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    model = {"table": rng.normal(0, 1, 32**3).astype(np.float32), "bias": -0.7, "curve": (1.3, -0.4)}
+
+    def value(word):  # the best window's weighted sum of table values
+        best = -np.inf
+        marked = f"\0{word}\0"
+        for piece in [marked] if len(marked) <= 16 else [marked[i : i + 16] for i in range(0, len(marked) - 8, 8)]:
+            own = Counter()
+            for at in combinations(range(len(piece)), 3):
+                a, b, c = (toxicity._codes[ord(piece[i])] for i in at)
+                own[(a * 32 + b) * 32 + c] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+            norm = sum(v * v for v in own.values()) ** 0.5
+            best = max(best, sum(v * model["table"][k] for k, v in own.items()) / norm if norm else 0.0)
+        return best + model["bias"]
+
+    def score(text):
+        low = (text or "").lower()
+        found = low.split()
+        joined = [re.sub(r"\s+", "", m[0]) for m in re.finditer(r"(?:(?<!\S)\S\s+){3,}\S(?!\S)", low)]
+        x = [model["bias"]] if not found else []
+        for token in [*found, *joined]:
+            word = re.sub(r"(.)\1{2,}", r"\1\1", token.strip(" \t\n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+            forms = {word, re.sub(r"[\W_]+", "", word)} - {""}
+            x.append(max([model["bias"], *map(value, forms)]))
+        return 1 / (1 + np.exp(-np.clip(1.3 * max(x) - 0.4, -30, 30)))
+
+    texts = ["One two, three.", "i.d-i*o_t!", "a b c d e f", "x" * 90, "aaaaaaa bbbb", "!!!", "", None, "Ünïcode wörds ①", "of a-very-long-word-with-many-many-signs here", "w " * 2]
+    assert np.allclose(toxicity.Scorer(model).score(texts), [score(t) for t in texts], atol=1e-4)
+
+
 def test_toxicity_learns_gapped_insults(spark, sf_dir):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("*", "1 AS text")
