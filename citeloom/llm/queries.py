@@ -221,7 +221,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def license_sql() -> str:
-    """op5 as joins of word pairs to template pairs, with the same merging of diagonals."""
+    """op5 as joins of word pairs to template pairs, with the same merging of diagonals: whole ones upward, and single matches
+    by place in the text, which may move both ways."""
     rows = []
     listed = [(t, x, True) for t, x in license.PHRASES] + [(t, x, False) for t, x in license.NOTICES]
     for no, (text, label, exact) in enumerate(listed):
@@ -233,14 +234,31 @@ WITH words AS (
 pairs AS (SELECT doc_id, unnest(range(len(w) - 1)) AS place, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM words WHERE len(w) > 1),
 grams(w1, w2, template, exact, label, n_grams, at_) AS (VALUES {", ".join(rows)}),
 diag AS (
-  SELECT doc_id, template, exact, label, n_grams, place - at_ AS diagonal, count(*) AS n, min(place) AS first, max(place) AS last
-  FROM pairs JOIN grams USING (w1, w2) GROUP BY ALL),
+  SELECT doc_id, template, exact, label, n_grams, place - at_ AS diagonal, count(*) AS n, min(place) AS first, max(place) AS last, list(place) AS places
+  FROM pairs JOIN grams USING (w1, w2) GROUP BY doc_id, template, exact, label, n_grams, place - at_),
 steps AS (
-  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER near > {license.DRIFT}, true) OR coalesce(first <= lag(last) OVER near, false) THEN 1 ELSE 0 END AS step
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER near > {license.DRIFT}, true) AS far, coalesce(first <= lag(last) OVER near, false) AS met
   FROM diag WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal, first)),
-islands AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, template ORDER BY diagonal, first) AS island FROM steps),
+bands AS (
+  SELECT *, sum((exact OR far OR met)::INT) OVER near AS upward, sum(far::INT) OVER near AS band
+  FROM steps WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal, first)),
+parts AS (
+  SELECT doc_id, template, exact, label, n_grams, n AS votes, upward, band, diagonal, false AS single, n, first, last FROM bands
+  UNION ALL
+  SELECT doc_id, template, exact, label, n_grams, n AS votes, upward, band, diagonal, true AS single, 1 AS n, p AS first, p AS last
+  FROM (SELECT *, unnest(places) AS p FROM bands WHERE NOT exact)),
+met_again AS (
+  SELECT *, coalesce(first = lag(first) OVER along, false) AS again
+  FROM parts WINDOW along AS (PARTITION BY doc_id, template, single, band ORDER BY first, votes DESC, diagonal)),
+moves AS (
+  SELECT *, coalesce(abs(diagonal - lag(diagonal) OVER along) > {license.DRIFT} OR first - diagonal <= lag(first - diagonal) OVER along, true) AS moved
+  FROM met_again WINDOW along AS (PARTITION BY doc_id, template, single, band, again ORDER BY first, votes DESC, diagonal)),
+islands AS (
+  SELECT *, sum(moved::INT) OVER along AS onward
+  FROM moves WINDOW along AS (PARTITION BY doc_id, template, single, band, again ORDER BY first, votes DESC, diagonal)),
 merged AS (
-  SELECT doc_id, template, exact, label, n_grams, sum(n) AS n, min(first) AS start FROM islands GROUP BY doc_id, template, exact, label, n_grams, island),
+  SELECT doc_id, template, exact, label, n_grams, sum(n) AS n, min(first) AS start FROM islands
+  GROUP BY doc_id, template, exact, label, n_grams, single, CASE WHEN single THEN onward ELSE upward END, CASE WHEN single THEN band END, CASE WHEN single THEN again END),
 good AS (
   SELECT *, least(n / n_grams, 1.0)::DOUBLE AS score FROM merged WHERE CASE WHEN exact THEN n >= n_grams ELSE least(n / n_grams, 1.0) >= {license.COVERAGE} END),
 found AS (

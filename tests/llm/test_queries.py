@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from citeloom.llm import queries, simhash
+from citeloom.llm import license, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -51,6 +51,29 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(tuple(plain(v) for v in row) for row in df.select(columns).collect()) == want
 
 
+def test_license_sql_has_the_rule_of_the_query(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = []
+    for text, _ in license.NOTICES:
+        words = text.split(" ")
+        for _ in range(6):
+            own = list(words)
+            for _ in range(rng.integers(0, 4)):  # words that are missing, put in, exchanged or repeated
+                at = int(rng.integers(0, len(own)))
+                own[at : at + 1] = [[], ["and", own[at]], ["other"], [own[at]] * 2][rng.integers(0, 4)]
+            rows.append(" ".join(["some text", *own, "ends.", *(own[::-1] if rng.random() < 0.2 else []), *(own if rng.random() < 0.2 else [])]))
+    rows += ["permission is hereby granted free of charge to person obtaining a copy of this software", None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{next((tmp_path / 'docs').glob('*.parquet'))}'")
+    cursor = con.execute(queries.license_sql())
+    columns = [d[0] for d in cursor.description]
+    want = sorted(tuple(plain(v) for v in row) for row in cursor.fetchall())
+    assert sorted(tuple(plain(v) for v in row) for row in license.scan(docs).select(columns).collect()) == want
+    assert sum(row[columns.index("labels")] != "" for row in want) > len(rows) / 2
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     return {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
