@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import image_name, row_id
@@ -19,11 +19,12 @@ from citeloom.plans import manifest
 from citeloom.plans.settings import Settings
 from citeloom.plans.store import Store, orphans
 from citeloom.sources import listing, spans
+from citeloom.sources.opened import open_path
 
 PAGE = ["rel_path", "page_number"]
 ERRORS = 100
 AFTER = 1_000_000  # images are numbered after a page's regions
-FEW = 10_000  # documents whose names go to every task
+BATCH_BYTES = 64 << 30  # of files that one commit takes, about
 
 
 class Busy(RuntimeError):
@@ -79,32 +80,47 @@ def utc_now() -> str:
 
 
 class Ingest:
-    """The writer of one knowledge base. extractor turns a file's bytes into span rows (see sources.spans)."""
-
-    def __init__(self, spark: SparkSession, settings: Settings, extractor: Callable, now: Callable[[], str] = utc_now, progress: Callable[[str], None] = lambda line: None):
+    """The writer of one knowledge base. extractor turns a file's bytes into span rows, table_extractor those of flagged pages
+    into cells (see sources.spans); open_file opens a file by its path in a task. A run takes files in batches of about
+    batch_bytes, each of which is committed by itself, so a run that ends early has lost one batch and the next one goes on."""
+
+    def __init__(
+        self, spark: SparkSession, settings: Settings, extractor: Callable, now: Callable[[], str] = utc_now, progress: Callable[[str], None] = lambda line: None,
+        table_extractor: Callable | None = None, open_file: Callable = open_path, batch_bytes: int = BATCH_BYTES,
+    ):
         self.spark, self.settings, self.extractor, self.now, self.progress = spark, settings, extractor, now, progress
+        self.table_extractor, self.open_file, self.batch_bytes = table_extractor, open_file, batch_bytes
         name = embed.fingerprint(settings.embedding_backend, settings.embedding_model, settings.embedding_dim)
         self.store = Store(spark, settings.store_dir, name)
 
     def _lock(self):
         return ingest_lock(f"{self.settings.state_dir}/ingest.lock")
 
-    def plan(self, selector: manifest.Selector = manifest.Selector(), force: bool = False) -> DataFrame:  # noqa: B008
-        files = listing.discover(self.spark, self.settings.pdf_dir, self.settings.ingest_recursive)
+    def plan(self, selector: manifest.Selector = manifest.Selector(), force: bool = False, only: DataFrame | None = None, verify: bool = False) -> DataFrame:  # noqa: B008
+        """The files of the corpus, or those of only (rel_path), with their action. A file is opened only if its size is that
+        of the manifest and its time isn't, or for verify, whatever its time."""
+        files = listing.discover(self.spark, self.settings.pdf_dir, self.settings.ingest_recursive, with_digest=False)
+        files = files if only is None else files.join(only.select("rel_path").distinct(), "rel_path", "left_semi").select(files.columns)
         files = files.withColumn("source_path", F.concat(F.lit(self.settings.pdf_dir.rstrip("/") + "/"), "rel_path"))
-        return manifest.plan(files, self.store.read("manifest"), selector, force)
-
-    def sync(self, selector: manifest.Selector = manifest.Selector(), force: bool = False, prune: bool = True, dry_run: bool = False) -> Report:  # noqa: B008
-        """Brings the store up to date with the corpus; a narrowed run never prunes, a dry run writes nothing."""
+        known = self.store.read("manifest")
+        if not force:
+            rows = manifest.looked_up(files, known, selector, verify=verify)
+            opened = listing.digested(rows.where("doubtful"), self.open_file)
+            files = opened.unionByName(rows.where("not doubtful").withColumn("sha256", F.col("known"))).select(files.columns)
+        return manifest.plan(files, known, selector, force)
+
+    def sync(self, selector: manifest.Selector = manifest.Selector(), force: bool = False, prune: bool = True, dry_run: bool = False, verify: bool = False) -> Report:  # noqa: B008
+        """Brings the store up to date with the corpus; a narrowed run never prunes, a dry run writes nothing. verify
+        compares the contents of all files, not only of those whose time has changed."""
         if dry_run:
             report = Report()
-            rows = self.plan(selector, force).orderBy(listing.path_order(F.col("rel_path"))).select("document_name", "action").collect()
+            rows = self.plan(selector, force, verify=verify).orderBy(listing.path_order(F.col("rel_path"))).select("document_name", "action").collect()
             report.scanned, report.planned = len(rows), [r[0] for r in rows if r[1] == "ingest"]
             report.skipped = report.scanned - len(report.planned)
             return report
         with self._lock(), self._workplace():
             began = time.monotonic()
-            report = self._sync(selector, force, prune and not selector.is_narrowed)
+            report = self._sync(selector, force, prune and not selector.is_narrowed, verify)
             report.seconds = time.monotonic() - began
         self.progress(report.summary())
         return report
@@ -118,7 +134,7 @@ class Ingest:
         finally:
             self.store.remove_path(self._work)
 
-    def _sync(self, selector, force, prune) -> Report:
+    def _sync(self, selector, force, prune, verify) -> Report:
         report, now = Report(), self.now()
         self.store.check_backend()
         known = manifest.recovered(self.store.read("manifest"), now)
@@ -127,11 +143,7 @@ class Ingest:
             self.progress(f"recovered {report.recovered} interrupted documents")
             stale = known.where("was_stale")
             self.store.write(self.store.touched(stale), manifest=known)
-        acts = self._snapshot(self.plan(selector, force), "plan")
-        todo = acts.where("action = 'ingest'")
-        report.scanned, report.skipped = acts.count(), acts.where("action = 'skip'").count()
-        if not todo.isEmpty():
-            self._ingest(todo, report, now)
+        self._take(self.plan(selector, force, verify=verify), report, now)
         if prune:
             files = listing.discover(self.spark, self.settings.pdf_dir, self.settings.ingest_recursive, with_digest=False)
             gone = self._snapshot(manifest.missing(self.store.read("manifest"), files).select("doc_uid"), "gone")
@@ -155,12 +167,25 @@ class Ingest:
         """Ingests those of the files paths (rel_path) that are new or changed; nothing is pruned."""
         with self._lock(), self._workplace():
             report, now = Report(), self.now()
-            acts = self._snapshot(self.plan().join(paths.select("rel_path").distinct(), "rel_path", "left_semi"), "plan")
-            report.scanned, report.skipped = acts.count(), acts.where("action = 'skip'").count()
-            if report.scanned > report.skipped:
-                self._ingest(acts.where("action = 'ingest'"), report, now)
+            self._take(self.plan(only=paths), report, now)
         return report
 
+    def _take(self, plan: DataFrame, report: Report, now: str) -> None:
+        """Ingests the files of a plan batch by batch. A file's batch follows from its path, so that batches weigh alike."""
+        seen = Observation()
+        todo, size = F.col("action") == "ingest", F.coalesce("size_bytes", F.lit(0))
+        acts = self._snapshot(plan.observe(seen, F.count("*").alias("n"), F.count_if(todo).alias("todo"), F.sum(F.when(todo, size)).alias("bytes")), "plan")
+        n = seen.get
+        report.scanned, report.skipped = n["n"], n["n"] - n["todo"]
+        if not n["todo"]:
+            return
+        batches = min(n["todo"], max(1, -(-(n["bytes"] or 0) // self.batch_bytes)))
+        batch = F.pmod(F.xxhash64("rel_path"), F.lit(batches))
+        for i in range(batches):
+            own = acts.where(todo & (batch == i))
+            if batches == 1 or not own.isEmpty():
+                self._ingest(own, report, now)
+
     def export_images(self, uids: DataFrame | None = None) -> DataFrame:
         """(image_path, data): the images of the store, or of some documents, under the paths that citations name."""
         rows = self.store.read("images")
@@ -188,17 +213,18 @@ class Ingest:
         pending = manifest.upsert_pending(self.store.read("manifest", buckets), todo, now)
         marks = todo.select("doc_uid", F.lit("indexing").alias("new_status"), F.lit("").alias("new_error"))
         self.store.write(buckets, manifest=manifest.set_status(pending, marks, now))
-        wanted = todo.select("rel_path")
-        files = listing.files(self.spark, s.pdf_dir, s.ingest_recursive).select("rel_path", "content")
-        files = files.join(F.broadcast(wanted) if todo.count() <= FEW else wanted, "rel_path")
-        found = self._snapshot(spans.extract(files, self.extractor), "spans")
+        files = todo.select("rel_path", "path", F.col("size_bytes").alias("length"))
+        found = self._snapshot(spans.extract(files, self.extractor, self.open_file), "spans")
+        if self.table_extractor:
+            cells = self._snapshot(spans.extract_tables(found, files, self.table_extractor, self.open_file), "cells")
+            found = found.where("kind is null or kind <> 'cell'").unionByName(cells)
         chunks, pictures, images = self._parsed(found, todo)
         loader = embed.embedder(s.embedding_backend, s.embedding_model, s.embedding_dim)
         chunks = self._snapshot(embed.embed(chunks, loader), "chunks")
         pictures = self._snapshot(embed.embed(pictures, loader), "figures")
         broken = found.where("error is not null and page_number is null").groupBy("rel_path").agg(F.min("error").alias("failure"))
         n = lambda d, c: d.groupBy("doc_uid").agg(F.count("*").alias(c))
-        pages = found.where("error is null").groupBy("rel_path").agg(F.countDistinct("page_number").alias("page_count"))
+        pages = found.where("error is null and page_number is not null").groupBy("rel_path").agg(F.countDistinct("page_number").alias("page_count"))
         rows = todo.select("doc_uid", "rel_path", "document_name").join(broken, "rel_path", "left").join(pages, "rel_path", "left")
         counts = ["page_count", "chunk_count", "figure_count", "table_count"]
         extracted = n(chunks.where("content_type = 'table'"), "table_count")
@@ -209,24 +235,27 @@ class Ingest:
         good = rows.where("status = 'indexed'")
         of_good = lambda d: d.join(good.select("doc_uid"), "doc_uid", "left_semi")
         before = self.store.read("figures").join(good.select("doc_uid"), "doc_uid", "left_semi")
-        done = manifest.mark_indexed(own(), good, now)
+        digests = found.where("kind = 'file'").select("rel_path", F.col("text").alias("sha256")).join(todo.select("rel_path", "doc_uid"), "rel_path")
+        done = manifest.with_digests(manifest.mark_indexed(own(), good, now), digests)
         bad = rows.where("status = 'failed'").select("doc_uid", F.col("status").alias("new_status"), F.col("failure").alias("new_error"))
         self.store.replace_documents(of_good(chunks), of_good(pictures), of_good(images), manifest=manifest.set_status(done, bad, now))
         report.images_removed += orphans(before, self.store.read("figures"), s.images_dir).count()
         total = rows.groupBy("status").agg(F.count("*").alias("n"), *[F.sum(f"{c}_count").alias(c) for c in ("chunk", "figure", "table")]).collect()
         by = {r["status"]: r for r in total}
         if "indexed" in by:
-            report.indexed, report.chunks, report.figures, report.tables = (by["indexed"][c] for c in ("n", "chunk", "figure", "table"))
-        some = lambda d: [tuple(r) for r in d.orderBy(listing.path_order(F.col("rel_path"))).limit(ERRORS).select("document_name", "failure").collect()]
+            for name, c in (("indexed", "n"), ("chunks", "chunk"), ("figures", "figure"), ("tables", "table")):
+                setattr(report, name, getattr(report, name) + by["indexed"][c])
+        some = lambda d, n: [tuple(r) for r in d.orderBy(listing.path_order(F.col("rel_path"))).limit(n).select("document_name", "failure").collect()] if n > 0 else []
         if "failed" in by:
-            report.failed, report.errors = by["failed"]["n"], some(rows.where("status = 'failed'"))
+            report.failed += by["failed"]["n"]
+            report.errors += some(rows.where("status = 'failed'"), ERRORS - len(report.errors))
         unread = found.where("error is not null and page_number is not null").withColumn("failure", F.format_string("page %d unreadable: %s", "page_number", "error"))
-        report.warnings = some(unread.join(todo.select("rel_path", "document_name"), "rel_path"))
+        report.warnings += some(unread.join(todo.select("rel_path", "document_name"), "rel_path"), ERRORS - len(report.warnings))
 
     def _parsed(self, found: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The chunks, figures and images of span rows, without embeddings."""
         s = self.settings
-        size = found.where("error is null").groupBy(*PAGE).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+        size = found.where("error is null and page_number is not null").groupBy(*PAGE).agg(F.max("width").alias("width"), F.max("height").alias("height"))
         lines = spans.text_lines(found.where("error is null")).join(size, PAGE)
         lines = layout.reading_order(lines.withColumn("tie", F.col("block") * 100_000 + F.col("line")), PAGE, "tie")
         texts = F.transform(F.sort_array(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])

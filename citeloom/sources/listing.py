@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import doc_uid
+from citeloom.sources.opened import digests, open_path
 
 
 def base_name(path: Column) -> Column:
@@ -35,8 +38,8 @@ def path_order(path: Column) -> Column:
 
 
 def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame | None:
-    """(rel_path, length, modificationTime, content) of the PDF files under root, None where there is no root. A column
-    that isn't selected is not read. rel_path is cut off by the root's length, so a root may hold any characters."""
+    """(rel_path, path, length, modificationTime) of the PDF files under root, None where there is no root. Files are listed,
+    not opened. rel_path is cut off by the root's length, so a root may hold any characters."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
@@ -45,7 +48,7 @@ def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame |
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", recursive).load(_literal(root))
     other = whole.replace("file:/", "file:///", 1)  # the other spelling of a local path
     rel = F.when(F.startswith("path", F.lit(whole)), F.substring("path", len(whole) + 1, 2**30)).otherwise(F.substring("path", len(other) + 1, 2**30))
-    return found.withColumn("rel_path", rel).where(visible(F.col("rel_path")))
+    return found.select(rel.alias("rel_path"), "path", "length", "modificationTime").where(visible(F.col("rel_path")))
 
 
 def _literal(root: str) -> str:
@@ -65,14 +68,23 @@ def counts_by_folder(paths: DataFrame) -> DataFrame:
     return rows.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"))
 
 
-def discover(spark: SparkSession, root: str, recursive: bool = True, with_digest: bool = True) -> DataFrame:
-    """(rel_path, document_name, doc_uid, size_bytes, mtime, sha256) of the PDF files under root.
+LISTED = "rel_path string, document_name string, doc_uid string, size_bytes long, mtime double, sha256 string, path string"
 
-    A missing root gives no rows. Without with_digest no content is read and sha256 is empty.
+
+def discover(spark: SparkSession, root: str, recursive: bool = True, with_digest: bool = True, open_file: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """(rel_path, document_name, doc_uid, size_bytes, mtime, sha256, path) of the PDF files under root.
+
+    A missing root gives no rows. Without with_digest no file is opened and sha256 is empty.
     """
     found = files(spark, root, recursive)
     if found is None:
-        return spark.createDataFrame([], "rel_path string, document_name string, doc_uid string, size_bytes long, mtime double, sha256 string")
+        return spark.createDataFrame([], LISTED)
     mtime = (F.unix_micros("modificationTime") / 1e6).alias("mtime")
-    rows = found.select(*record(F.col("rel_path"), F.col("content") if with_digest else None), F.col("length").alias("size_bytes"), mtime)
-    return rows.select("rel_path", "document_name", "doc_uid", "size_bytes", "mtime", "sha256")
+    rows = found.select(*record(F.col("rel_path"))[:3], F.col("length").alias("size_bytes"), mtime, F.lit("").alias("sha256"), "path")
+    return digested(rows, open_file) if with_digest else rows
+
+
+def digested(rows: DataFrame, open_file: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """Listed rows with the digests of their files, which are opened for it."""
+    found = digests(rows.drop("sha256").withColumnRenamed("size_bytes", "length"), open_file)
+    return found.withColumnRenamed("length", "size_bytes").select(rows.columns)

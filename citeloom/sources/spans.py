@@ -3,13 +3,16 @@
 An extractor turns the bytes of a file into span rows (SPAN_SCHEMA); it is given as a function (path, content) ->
 iterable of dicts. Their kinds: text; drawing and image, a graphic's box, an image with its pixels, data and suffix (in
 text) where it can be exported; table, the box of the block-th table that was detected on a page; cell, the text at row
-`line` and column `span` of the block-th extracted table. A row with `error` and a page is a page that can't be read, one
-without a page a file. No PDF library is needed here.
+`line` and column `span` of the block-th extracted table; file, a file's digest. Cells can be left to a second extractor,
+(path, content, pages) -> iterable of dicts, which is asked for the pages on which a table was detected. A row with
+`error` and a page is a page that can't be read, one without a page a file. No PDF library is needed here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,29 +20,62 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import strip_u
 from citeloom.functions.workers import with_python_path
+from citeloom.sources.opened import dealt, open_path
 
 SPAN_SCHEMA = (
     "rel_path string, page_number int, block int, line int, span int, kind string, text string, dir_y double, "
     "x0 double, y0 double, x1 double, y1 double, width double, height double, error string, pixels long, data binary"
 )
+BATCH = 2000  # span rows that are sent at once
 
 
-def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
-    """Span rows of files (rel_path, content), a file at a time; a failing file gives one row with its error."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in SPAN_SCHEMA.split(", "))])
+def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]], open_file: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """Span rows of files (rel_path, path, length): tasks open the files that they are dealt, the largest first, one at a time.
+    Each file has a row of kind file, its digest in text; one that fails has a row with its error too."""
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = []
                 try:
-                    rows = [{"rel_path": path} | row for row in extractor(path, content)]
+                    with open_file(path) as file:
+                        content = file.read()
+                    rows = [{"rel_path": name, "kind": "file", "text": hashlib.sha256(content).hexdigest()}]
+                    yield from _batches([*rows, *({"rel_path": name} | row for row in extractor(name, content))])
                 except Exception as problem:  # one bad file must not end the batch
-                    rows = [{"rel_path": path, "error": f"{type(problem).__name__}: {problem}"[:2000]}]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield from _batches([*rows, {"rel_path": name, "error": f"{type(problem).__name__}: {problem}"[:2000]}])
 
     with_python_path(files.sparkSession)
-    return files.select("rel_path", "content").mapInArrow(run, SPAN_SCHEMA)
+    return dealt(files.select("rel_path", "path", "length")).mapInArrow(run, SPAN_SCHEMA)
+
+
+def extract_tables(found: DataFrame, files: DataFrame, extractor: Callable[[str, bytes, list[int]], Iterable[dict]], open_file: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """Cell rows of the pages of found (span rows) on which a table was detected: the dear second extractor gets a file's
+    content with the numbers of its flagged pages, and no other file is opened. What it gives of other pages is left out;
+    where it fails, the file's tables are left out, with a row of their error for the first flagged page."""
+    flagged = found.where("kind = 'table'").groupBy("rel_path").agg(F.sort_array(F.collect_set("page_number")).alias("pages"))
+    wanted = files.select("rel_path", "path", "length").join(flagged, "rel_path")
+
+    def run(batches):
+        for b in batches:
+            for name, path, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                try:
+                    with open_file(path) as file:
+                        content = file.read()
+                    rows = [{"rel_path": name, "kind": "cell"} | row for row in extractor(name, content, pages) if row["page_number"] in pages]
+                except Exception as problem:
+                    rows = [{"rel_path": name, "page_number": pages[0], "error": f"{type(problem).__name__}: {problem}"[:2000]}]
+                yield from _batches(rows)
+
+    with_python_path(found.sparkSession)
+    return dealt(wanted.select("rel_path", "path", "length", "pages")).mapInArrow(run, SPAN_SCHEMA)
+
+
+def _batches(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in SPAN_SCHEMA.split(", "))])
+    for i in range(0, len(rows), BATCH):
+        yield pa.RecordBatch.from_pylist(rows[i : i + BATCH], schema)
 
 
 def text_lines(spans: DataFrame) -> DataFrame:
