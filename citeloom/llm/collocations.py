@@ -31,13 +31,15 @@ MOST_WORDS = 3
 TOP = 2000
 PER_MILLE = 1_000_000  # the score of a phrase whose parts never stand apart
 COVERED = 50  # a candidate goes if a longer one has that share of its occurrences, of a hundred
-BLOCK_WORDS = 1 << 20
-HELD_WORDS = 1 << 21  # words of all languages that a task holds before it writes blocks
+BLOCK_WORDS = 1 << 19
+HELD_WORDS = 1 << 20  # words of all languages that a task holds before it writes blocks
+HELD_HASHES = 1 << 20  # that a task counts before it sends them on
 SPLIT_BYTES = 1 << 20  # of a text that are split at once
-FILTER_BITS = 27  # places of a filter at most, as a power of two: 16 MB
-SLICE = 1 << 18  # phrases of a trie, on average
-SLICES = 8  # tries that are broadcast at once; more are taken in turn
+FILTER_BITS = 26  # places of a filter at most, as a power of two: 8 MB
+SLICE = 1 << 17  # phrases of a trie, on average
+SLICES = 4  # tries that are broadcast at once; more are taken in turn
 BLOCKS_PER_FILE = 8
+ROUNDS = 30  # of 64 places each that are tried for a state's edges, before they go behind all others
 _cut = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
 _BLOCK = "lang string, words array<binary>, places binary"
 
@@ -175,15 +177,33 @@ def _hashed(lang: str, words: list[bytes], places: np.ndarray, filters: list[Fil
     return out
 
 
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their counts."""
+    if not len(h):
+        return h, n
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n[order], first)
+
+
 def frequent_hashes(blocks: DataFrame, filters: list[Filter], least: int) -> DataFrame:
     """(h) of the runs of one word more than there are filters whose parts pass these and which may stand `least` times."""
     shared = blocks.sparkSession.sparkContext.broadcast(filters)
 
+    def sent(h, n):
+        for i in range(0, len(h), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000], pa.int64())], ["h", "n"])
+
     def run(batches):
+        held = np.empty(0, np.uint64), np.empty(0, np.int64)
         for lang, words, places in _blocks_of(batches):
             h, n = np.unique(_hashed(lang, words, places, shared.value)[-1][1], return_counts=True)
-            for i in range(0, len(h), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000], pa.int64())], ["h", "n"])
+            held = _summed(np.concatenate([held[0], h]), np.concatenate([held[1], n]))
+            if len(held[0]) > HELD_HASHES:
+                yield from sent(*held)
+                held = held[0][:0], held[1][:0]
+        yield from sent(*held)
 
     return in_python(blocks, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
@@ -274,11 +294,17 @@ def trie_of(phrases: list[bytes]) -> Trie:
         symbols = np.array([s for s, _ in own])
         symbols.sort()
         low, span = int(symbols[0]), int(symbols[-1] - symbols[0])
-        tries = np.r_[rng.integers(size, max(size + 1, top - span), 48), top]
-        if tries[-1] + span + 1 >= len(used):
-            used = np.r_[used, np.zeros(max(len(used), span + 2), bool)]
-        free = ~used[(tries - low)[:, None] + symbols].any(axis=1)
-        b = int(tries[np.argmax(free)]) - low
+        b = None
+        for _ in range(ROUNDS if top - span > size else 0):
+            tries = rng.integers(size, top - span, 64) - low
+            free = ~used[tries[:, None] + symbols].any(axis=1)
+            if free.any():
+                b = int(tries[np.argmax(free)])
+                break
+        if b is None:
+            b = top - low
+            if top + span >= len(used):
+                used = np.r_[used, np.zeros(max(len(used), span + 2), bool)]
         used[b + symbols] = True
         top = max(top, b + low + span + 1)
         shift[node] = b
@@ -317,9 +343,8 @@ def tries_of(known: DataFrame) -> DataFrame:
     return known.groupBy("lang", "slice").applyInArrow(build, "lang string, slice int, trie binary")
 
 
-def trie_counts(blocks: DataFrame, tries: list) -> DataFrame:
-    """(lang, slice, no, n) of the phrases of some tries, summed over all blocks."""
-    shared = blocks.sparkSession.sparkContext.broadcast([(r["lang"], r["slice"], bytes(r["trie"])) for r in tries])
+def trie_counts(blocks: DataFrame, shared) -> DataFrame:
+    """(lang, slice, no, n) of the phrases of some tries, broadcast as (lang, slice, trie), summed over all blocks."""
 
     def run(batches):
         total: dict[tuple[str, int], np.ndarray] = {}
@@ -356,7 +381,9 @@ def counted(blocks: DataFrame, known: DataFrame, slice_size: int = SLICE, at_onc
     found = spark.createDataFrame([], "lang string, slice int, no int, n long")
     for i in range(0, len(parts_of), at_once):
         some = spark.createDataFrame(parts_of[i : i + at_once], "lang string, slice int")
-        found = found.unionByName(written(trie_counts(blocks, tries.join(F.broadcast(some), ["lang", "slice"]).collect()), "counts"))
+        shared = spark.sparkContext.broadcast([tuple(r) for r in tries.join(F.broadcast(some), ["lang", "slice"]).select("lang", "slice", "trie").collect()])
+        found = found.unionByName(written(trie_counts(blocks, shared), "counts"))
+        shared.destroy()
     return dealt.join(found, ["lang", "slice", "no"]).select("lang", "phrase", F.col("n").alias("a"))
 
 
