@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import content_words
 from citeloom.functions.workers import with_python_path
-from citeloom.operators.retrieval import CANDIDATES, WEIGHT, blended, cosine_distance, fine
+from citeloom.operators.retrieval import CANDIDATES, WEIGHT, blended, cosine_distance, fine, tied
 from citeloom.sources.opened import open_path
 
 CENTRES = 1024  # clusters at most
@@ -195,11 +195,11 @@ class BallIndex:
                         x = np.frombuffer(units_of[r].as_buffer(), np.float64).reshape(len(names_of), -1)
                         asked = asked_of[number[i]]
                         for q, d in zip(asked.tolist(), cosine_distance(units[asked], x), strict=True):
-                            near = np.lexsort((names_of, d))[:k]
+                            near = np.lexsort((names_of, tied(d)))[:k]
                             held.setdefault(q, []).append((d[near], names_of[near], payload.offsets[r].as_py() + near))
                     for q, found in held.items():
                         d, rows, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                        best = np.lexsort((rows, d))[:k]
+                        best = np.lexsort((rows, tied(d)))[:k]
                         taken = payload.values.take(pa.array(at[best]))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), names[q])), pa.array(rows[best]), pa.array(d[best]), taken], ["query_id", "row_id", "distance", "payload"])
 
@@ -241,7 +241,7 @@ class BallIndex:
     def _best(found: pa.Table, k: int) -> pa.Table:
         """The k nearest rows of each question, nearest first."""
         q, r, d = (found.column(c).to_numpy() for c in ("query_id", "row_id", "distance"))
-        order = np.lexsort((r, d, q))
+        order = np.lexsort((r, tied(d), q))
         return found.take(pa.array(order[_within(q[order]) < k]))
 
     def _kth(self, found: pa.Table, names: np.ndarray, k: int) -> np.ndarray:

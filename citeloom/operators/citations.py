@@ -46,7 +46,7 @@ def verify(cited: DataFrame, hits: DataFrame, slack: int = SLACK) -> DataFrame:
     same = F.coalesce(F.exists("_docs", lambda d: d["doc_key"] == F.col("_doc")), F.lit(False))
     asked = asked.withColumn("doc_key", F.when(same, F.col("_doc")).otherwise(F.coalesce(alike, "_doc"))).drop("_docs")
     names = {"line_start": "h_start", "line_end": "h_end", "page_number": "page"}
-    extra = [c for c in ("content_type", "image_path", "caption", "source_path") if c in hits.columns]
+    extra = [c for c in ("content_type", "image_path", "caption", "source_path", "doc_uid") if c in hits.columns]
     found = named.select("query_id", "doc_key", *[F.col(c).alias(n) for c, n in names.items()], "hit_ord", F.substring("text", 1, SNIPPET).alias("snippet"), *extra)
     pairs = asked.join(found, ["query_id", "doc_key", "page"], "left")
     pairs = pairs.withColumn("verified", F.coalesce(overlap(F.col("line_start"), F.col("line_end"), F.col("h_start"), F.col("h_end"), slack), F.lit(False)))
@@ -59,7 +59,7 @@ def verify(cited: DataFrame, hits: DataFrame, slack: int = SLACK) -> DataFrame:
 def from_hits(hits: DataFrame) -> DataFrame:
     """Citations of hits themselves, all verified."""
     label = citation_label(F.col("document_name"), F.col("page_number"), F.col("line_start"), F.col("line_end"))
-    return hits.select("query_id", "hit_ord", "document_name", F.col("page_number").alias("page"), "line_start", "line_end", label.alias("raw"), F.lit(True).alias("verified"), F.substring("text", 1, SNIPPET).alias("snippet"))
+    return hits.select("query_id", "hit_ord", "document_name", F.col("page_number").alias("page"), "line_start", "line_end", label.alias("raw"), F.lit(True).alias("verified"), F.substring("text", 1, SNIPPET).alias("snippet"), *[c for c in ("doc_uid",) if c in hits.columns])
 
 
 def annotate(answers: DataFrame, checked: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ def _label() -> Column:
     return citation_label(F.col("document_name"), F.col("page_number"), F.col("line_start"), F.col("line_end"))
 
 
+# The form of both kinds of entries.
 def passage_entry(number: Column) -> Column:
     kind = F.when(F.col("content_type") == "table", "TABLE").otherwise("PASSAGE")
     return F.concat(F.lit("["), number, F.lit("] "), kind, F.lit("\nCITATION: "), _label(), F.lit("\nCONTENT:\n"), strip_u(F.col("text")), F.lit("\n"))
@@ -59,15 +60,23 @@ def prompts(questions: DataFrame, passages: DataFrame, pictures: DataFrame) -> D
     return rows.select("query_id", "context", text.alias("prompt"))
 
 
-def retrieval_only(passages: DataFrame, reason: str) -> DataFrame:
-    """(query_id, answer) from the best passages alone, for when no model answers."""
+def in_prompt(hits: DataFrame, packed: DataFrame, key: list[str]) -> DataFrame:
+    """hits with whether they are among the packed ones, by the columns that name a hit."""
+    shown = packed.select(*key).distinct().withColumn("_shown", F.lit(True))
+    return hits.join(shown, key, "left").withColumn("in_prompt", F.coalesce("_shown", F.lit(False))).drop("_shown")
+
+
+def retrieval_only(passages: DataFrame, reason: str | None = None) -> DataFrame:
+    """(query_id, answer) from the best passages alone, for when no model answers; without a reason, that of each row's
+    column reason."""
     rows = passages.where(F.col("hit_rank") <= FALLBACK)
+    why = F.max("reason") if reason is None else F.lit(reason)
     snippet = F.substring(collapse(F.col("text")), 1, SNIPPET)
     entry = F.concat(F.col("hit_rank").cast("string"), F.lit(". "), _label(), F.lit("\n   "), snippet, F.lit("...\n"))
     # Fixed value: the notice above the passages.
-    head = (
-        f"The local LLM is unavailable, so no synthesised answer was generated.\nReason: {reason}\n\n"
-        "Start it with `ollama serve`, then ask again. The most relevant passages retrieved for this question are:\n\n"
-    )
+    head = F.concat(
+        F.lit("The local LLM is unavailable, so no synthesised answer was generated.\nReason: "), why,
+        F.lit("\n\nStart it with `ollama serve`, then ask again. The most relevant passages retrieved for this question are:\n\n"),
+    )
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hit_rank", entry.alias("entry")))), lambda e: e["entry"]), "\n")
-    return rows.groupBy("query_id").agg(strip_u(F.concat(F.lit(head), listed)).alias("answer"))
+    return rows.groupBy("query_id").agg(strip_u(F.concat(head, listed)).alias("answer"))

@@ -13,6 +13,7 @@ from citeloom.functions.workers import with_python_path
 
 TEXT_TOP, FIGURE_TOP, CANDIDATES, WEIGHT, FIGURE_WEIGHT = 5, 3, 24, 0.35, 0.25
 QUERY_BLOCK = 2_000  # questions that every task gets; more are dealt out in blocks
+TIES = 12  # places to which distances are ranked
 CORPUS_BLOCK = 8_192  # rows of the corpus that a task multiplies with a block of questions
 
 
@@ -46,7 +47,7 @@ def dense_top(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> Dat
         found = rows.mapInArrow(_top_of_task(shared, k), TOP_SCHEMA)
     else:
         found = _dealt_top(rows, asked, k)
-    best = Window.partitionBy("query_id").orderBy("distance", "row_id")
+    best = Window.partitionBy("query_id").orderBy(F.round("distance", TIES), "row_id")
     ranked = found.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k)
     return ranked.select("query_id", "row_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("dense_score"), "dense_rank")
 
@@ -55,8 +56,13 @@ TOP_SCHEMA = "query_id long, row_id long, distance double"
 
 
 def cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of all pairs of unit vectors, to twelve places, so that equal vectors tie whichever matrix they are in."""
-    return np.round(1 - a @ b.T, 12)
+    """Of all pairs of unit vectors."""
+    return 1 - a @ b.T
+
+
+def tied(distance: np.ndarray) -> np.ndarray:
+    """Distances for ranking: to TIES places, so that equal vectors tie whichever matrix they are in."""
+    return np.round(distance, TIES)
 
 
 def _nearest(distance: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
@@ -80,9 +86,9 @@ class _Kept:
     def meet(self, rows: np.ndarray, units: np.ndarray, bare: np.ndarray) -> None:
         distance = np.c_[cosine_distance(self.units, units), np.ones((len(self.ids), len(bare)))]
         names = np.r_[rows, bare]
-        best = _nearest(distance, names, self.k)
+        best = _nearest(tied(distance), names, self.k)
         every = np.c_[self.rows, names[best]], np.c_[self.distance, np.take_along_axis(distance, best, axis=1)]
-        order = np.lexsort(every, axis=1)[:, : self.k]
+        order = np.lexsort((every[0], tied(every[1])), axis=1)[:, : self.k]
         self.rows, self.distance = (np.take_along_axis(e, order, axis=1) for e in every)
 
     def batch(self) -> pa.RecordBatch:

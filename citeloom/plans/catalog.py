@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
-from citeloom.operators import chunking, citations, context, embed, figures, layout, retrieval, tables
+from citeloom.functions.workers import shared_path
+from citeloom.operators import answer, chunking, citations, context, embed, figures, layout, retrieval, tables
 from citeloom.plans import manifest, store
 from citeloom.sources import fixtures as fx
 from citeloom.sources import listing, spans
@@ -538,6 +540,45 @@ def ans02_retrieval_only(spark, sf_dir):
     return context.retrieval_only(fx.fixture(spark, sf_dir, "hits"), "down").select("query_id", F.md5("answer").alias("digest"))
 
 
+_REPLY = "It says so "
+_FALSE = "[nope.pdf, Page 1, Line 1]"
+
+
+def _replies():
+    """A client whose replies follow from the prompt: it cites the first passage and a document that isn't there, and fails
+    where the prompt's length is a multiple of three."""
+
+    def generate(_system, prompt):
+        if len(prompt) % 3 == 0:
+            raise answer.ModelUnavailable("down")
+        yield "<think>a thou"
+        yield f"ght [x]</think>{_REPLY}"
+        yield f"{re.search(r'CITATION: (.*)', prompt)[1]} and {_FALSE}."
+
+    return generate
+
+
+@query(f"""WITH {_PACK}, {_PICS}, every AS (SELECT query_id, no, entry FROM packed UNION ALL SELECT query_id, kept + nth, entry FROM figs WHERE used <= 4500 OR (nth = 1 AND kept = 0)),
+ctx AS (SELECT query_id, string_agg(entry, chr(10) ORDER BY no) AS context, min_by(entry, no) AS top_entry FROM every GROUP BY query_id),
+asked AS (SELECT item_id AS query_id, top_entry, length(concat('CONTEXT PASSAGES', chr(10), '================', chr(10), context, chr(10), '================', chr(10), chr(10), 'QUESTION: ', text, chr(10), chr(10), 'Answer using only the context above, citing every claim in the format [DocName.pdf, Page X, Line Y-Z].')) AS n FROM benchmark LEFT JOIN ctx ON item_id = query_id),
+e AS (SELECT query_id, hit_rank, concat(hit_rank, '. [', document_name, ', Page ', page_number, ', Line ', line_start, '-', line_end, ']', chr(10), '   ', substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 280), '...', chr(10)) AS entry FROM h WHERE hit_rank <= 5),
+alone AS (SELECT query_id, count(*) AS n_alone, rtrim(concat('The local LLM is unavailable, so no synthesised answer was generated.', chr(10), 'Reason: down', chr(10), chr(10), 'Start it with `ollama serve`, then ask again. The most relevant passages retrieved for this question are:', chr(10), chr(10), string_agg(entry, chr(10) ORDER BY hit_rank)), E'\\n') AS said FROM e GROUP BY query_id)
+SELECT a.query_id,
+  md5(CASE WHEN n IS NULL THEN '{answer.NO_CONTENT}' WHEN n % 3 = 0 THEN said ELSE concat('{_REPLY}', regexp_extract(top_entry, 'CITATION: ([^\n]*)', 1), ' and {_FALSE} [unverified].') END) AS digest,
+  CASE WHEN n IS NULL THEN 'empty retrieval' WHEN n % 3 = 0 THEN '{answer.MODEL_DOWN}' ELSE concat('1 of ', n_whole, ' citations could not be matched to retrieved context and are marked [unverified].') END AS warning,
+  CASE WHEN n IS NULL THEN 0 WHEN n % 3 = 0 THEN n_alone ELSE n_whole END::INT AS n_cited, CASE WHEN n IS NULL THEN 0 WHEN n % 3 = 0 THEN n_alone ELSE n_whole - 1 END::INT AS n_verified
+FROM (SELECT *, CASE WHEN contains(regexp_extract(top_entry, 'CITATION: ([^\n]*)', 1), '.pdf,') THEN 2 ELSE 1 END AS n_whole FROM asked) a LEFT JOIN alone USING (query_id)""")
+def ans03_batch(spark, sf_dir):
+    """All questions of the benchmark in one plan, by a client whose replies can be foretold."""
+    hits = fx.fixture(spark, sf_dir, "hits")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = answer.batch_answers(asked, hits, _pictures(hits), _replies, shared_path(spark, "answers"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    verified = F.size(F.filter("citations", lambda c: c["verified"]))
+    has = F.col("citations").isNotNull()
+    return found.select("query_id", F.md5("text").alias("digest"), "warning", n(F.when(has, F.size("citations"))).alias("n_cited"), n(F.when(has, verified)).alias("n_verified"))
+
+
 @query(f"""SELECT conv_id, turn, regexp_replace(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '') AS answer FROM {fx.duck("thoughts")}""")
 def llm02_think(spark, sf_dir):
     return fx.fixture(spark, sf_dir, "thoughts").select("conv_id", "turn", tx.without_thinking(F.col("answer")).alias("answer"))

@@ -10,9 +10,8 @@ from pyspark.sql import SparkSession
 
 from citeloom.operators import embed
 from citeloom.operators.answer import Engine, ModelUnavailable
-from citeloom.plans import manifest
+from citeloom.plans import manifest, registry
 from citeloom.plans.ingest import Busy, Ingest
-from citeloom.plans.registry import Registry, new_base
 from citeloom.plans.settings import Settings, load
 from citeloom.sources.spans import plain_text
 
@@ -66,12 +65,12 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None, extractor=p
     """Runs a parsed command; the exit code is 0, or 1 for a failure."""
     home = args.home or "."
     base_settings = load(args.config or f"{home}/config.json", pdf_dir=args.pdf_dir, model=args.model, log_level=args.log_level)
-    registry = Registry(f"{home}/registry.json", base_settings)
+    bases = registry.read(f"{home}/registry.json", base_settings)
     try:
         if args.command == "kb":
-            return _kb(args, registry, home, out)
-        base = registry.get(args.kb) if args.kb else registry.get(registry.active_name)
-        settings = load(args.config or f"{home}/config.json", **base.overrides() | {k: v for k, v in (("pdf_dir", args.pdf_dir), ("model", args.model)) if v})
+            return _kb(args, bases, home, out)
+        own = registry.overrides(bases, args.kb or bases.active)
+        settings = load(args.config or f"{home}/config.json", **own | {k: v for k, v in (("pdf_dir", args.pdf_dir), ("model", args.model)) if v})
         if args.command == "doctor":
             return _doctor(settings, out)
         spark = spark or SparkSession.builder.appName("citeloom").getOrCreate()
@@ -81,18 +80,17 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None, extractor=p
         return 1
 
 
-def _kb(args, registry: Registry, home: str, out) -> int:
+def _kb(args, bases: registry.Bases, home: str, out) -> int:
     if args.action == "list":
-        for b in registry.all():
-            out(f"{'*' if b.name == registry.active_name else ' '} {b.name}  {b.pdf_dir}  {b.description}".rstrip())
+        for name in registry.in_order(bases):
+            own = bases.folders[name]
+            out(f"{'*' if name == bases.active else ' '} {name}  {own['pdf_dir']}  {own['description']}".rstrip())
         return 0
     if args.action == "add":
-        registry.add(new_base(args.name, args.pdf_dir, home, args.description), args.replace)
-    elif args.action == "remove":
-        registry.remove(args.name)
+        bases = registry.put(bases, args.name, registry.at_home(args.name, args.pdf_dir, home, args.description), args.replace)
     else:
-        registry.set_active(args.name)
-    registry.save()
+        bases = (registry.drop if args.action == "remove" else registry.activate)(bases, args.name)
+    registry.write(f"{home}/registry.json", bases)
     return 0
 
 

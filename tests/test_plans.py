@@ -5,9 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import answer
-from citeloom.plans import cli, manifest
+from citeloom.plans import cli, manifest, registry
 from citeloom.plans.ingest import Busy, Ingest, ingest_lock
-from citeloom.plans.registry import Registry, new_base
 from citeloom.plans.settings import Settings, load
 from citeloom.plans.store import BackendChanged, Store, orphans
 from citeloom.sources.spans import plain_text
@@ -179,21 +178,25 @@ def test_settings_by_precedence(tmp_path):
 
 
 def test_registry(tmp_path):
-    r = Registry(str(tmp_path / "r.json"), Settings())
-    r.add(new_base("z", "p", "h"))
-    r.add(new_base("b", "p", "h"))
+    path = str(tmp_path / "r.json")
+    first = registry.read(path, Settings())
+    assert first == registry.alone(Settings()) and registry.overrides(first, "default")["pdf_dir"] == Settings().pdf_dir
+    two = registry.put(registry.put(first, "z", registry.at_home("z", "p", "h")), "b", registry.at_home("b", "p", "h", "papers"))
+    assert registry.in_order(first) == ["default"] and two.folders["b"]["store_dir"] == "h/bases/b/store"
     with pytest.raises(ValueError):
-        r.add(new_base("b", "p", "h"))
-    r.set_active("z")
-    r.save()
-    again = Registry(str(tmp_path / "r.json"), Settings())
-    assert [b.name for b in again.all()] == ["z", "b", "default"]
-    again.remove("z")
-    again.remove("b")
+        registry.put(two, "b", {})
+    with pytest.raises(KeyError):
+        registry.activate(two, "nothing")
+    registry.write(path, registry.activate(two, "z"))
+    again = registry.read(path, Settings())
+    assert registry.in_order(again) == ["z", "b", "default"] and again.folders == two.folders
+    last = registry.drop(registry.drop(again, "z"), "b")
+    assert last.active == "default"
     with pytest.raises(ValueError):
-        again.remove("default")
-    (tmp_path / "r.json").write_text(json.dumps({"active": "gone", "bases": [{"name": "half"}]}))
-    assert [b.name for b in Registry(str(tmp_path / "r.json"), Settings()).all()] == ["default"]
+        registry.drop(last, "default")
+    for broken in ('{"active": "gone", "bases": [{"name": "half"}, 7]}', "[]", "{", '{"bases": null}'):
+        (tmp_path / "r.json").write_text(broken)
+        assert registry.read(path, Settings()) == first
 
 
 def test_models_by_preference():

@@ -20,8 +20,8 @@ def brute(rows, asked, k):
             if r is None or (w and (len(w) != len(v) or any(x is None or not math.isfinite(x) for x in w))):
                 continue
             d = 1 - float(unit @ (np.array(w) / np.linalg.norm(w))) if w and any(w) else 1.0
-            near.append((round(d, 12), r))
-        out += [(q, r, round(d, 9), n) for n, (d, r) in enumerate(sorted(near)[:k], 1)]
+            near.append((round(d, 12), r, d))
+        out += [(q, r, round(d, 9), n) for n, (_, r, d) in enumerate(sorted(near)[:k], 1)]
     return sorted(out)
 
 
