@@ -7,7 +7,7 @@ Candidates are Apriori-safe: a phrase is looked at only if its parts can be freq
 exactly. For longer phrases the places whose parts pass are hashed, the hashes' counts are summed, and those that reach
 the least count set bits of a filter of fixed size, which lets every frequent phrase through and some others.
 
-The candidates, dealt into slices, become double-array tries over words: a state's edge by a word leads to the state
+The candidates, dealt into slices by their hashes, become double-array tries over words: a state's edge by a word leads to the state
 base[state] + word if check there names the state. Every place of a block starts at the root and all of them advance
 together, a word a level; the accepting states they reach are counted by bincount, and the counts of all tasks are summed.
 """
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ HELD_WORDS = 1 << 20  # words of all languages that a task holds before it write
 HELD_HASHES = 1 << 20  # that a task counts before it sends them on
 SPLIT_BYTES = 1 << 20  # of a text that are split at once
 FILTER_BITS = 26  # places of a filter at most, as a power of two: 8 MB
-SLICE = 1 << 17  # phrases of a trie, on average
-SLICES = 4  # tries that are broadcast at once; more are taken in turn
+SLICE = 1 << 17  # phrases of a trie, about
+AT_ONCE = 1 << 19  # phrases of the tries that are broadcast at once; more are taken in turn
+HELD_PHRASES = 1 << 19  # candidates that a task holds before it sends them on
+RANGE_WORDS = 1 << 20  # words of the corpus to a range of hashes
 BLOCKS_PER_FILE = 8
 ROUNDS = 30  # of 64 places each that are tried for a state's edges, before they go behind all others
 _cut = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
@@ -157,6 +160,20 @@ def filter_of(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
     return Filter(rows.collect(), bits)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by their bytes, all first bytes, all second ones and so on, compressed."""
+    return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _values(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _hashed(lang: str, words: list[bytes], places: np.ndarray, filters: list[Filter]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For runs of 1, 2, .. words, one more than there are filters: the places at which a run stands whose parts pass, and
     the run's hash. The last of these has not been asked in a filter of its own."""
@@ -187,44 +204,90 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n[order], first)
 
 
-def frequent_hashes(blocks: DataFrame, filters: list[Filter], least: int) -> DataFrame:
-    """(h) of the runs of one word more than there are filters whose parts pass these and which may stand `least` times."""
+def frequent_hashes(blocks: DataFrame, filters: list[Filter], least: int, n_words: int) -> DataFrame:
+    """(h) of the runs of one word more than there are filters whose parts pass these and which may stand `least` times.
+
+    Hashes are cut to 32 bits and as many as there are ranges, by n_words, so a range's hashes fit in one task. A task sums
+    its own and sends each range's as sorted differences; the sums of a range's lists are taken where they meet.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(filters)
+    bits = max(6, (n_words // RANGE_WORDS).bit_length())
+    low = np.uint64((1 << (32 + bits)) - 1)
 
     def sent(h, n):
-        for i in range(0, len(h), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000], pa.int64())], ["h", "n"])
+        cuts = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[r], cuts[r + 1])
+            steps = np.diff(h[own] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_planes(steps)]), pa.array([_planes(n[own].astype(np.uint32))])], ["r", "steps", "n"])
 
     def run(batches):
-        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size = [], 0
         for lang, words, places in _blocks_of(batches):
-            h, n = np.unique(_hashed(lang, words, places, shared.value)[-1][1], return_counts=True)
-            held = _summed(np.concatenate([held[0], h]), np.concatenate([held[1], n]))
-            if len(held[0]) > HELD_HASHES:
-                yield from sent(*held)
-                held = held[0][:0], held[1][:0]
-        yield from sent(*held)
-
-    return in_python(blocks, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+            held.append(np.unique(_hashed(lang, words, places, shared.value)[-1][1] & low, return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_HASHES:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD_HASHES // 2:
+                    yield from sent(*held.pop())
+                size = sum(len(h) for h, _ in held)
+        if held:
+            yield from sent(*_summed(held))
+
+    def meet(key, rows):
+        lists = [(np.cumsum(_values(s, np.uint32), dtype=np.uint64), _values(n, np.uint32).astype(np.int64)) for s, n in zip(rows.column("steps").to_pylist(), rows.column("n").to_pylist(), strict=True)]
+        h, n = _summed(lists)
+        return pa.table({"h": (h[n >= least] + (np.uint64(key[0].as_py()) << np.uint64(32))).view(np.int64)})
+
+    return in_python(blocks, run, "r int, steps binary, n binary").groupBy("r").applyInArrow(meet, "h long")
+
+
+def _summed(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of some lists of (hashes, counts), and their sums, in order."""
+    h, n = (np.concatenate(x) for x in zip(*lists, strict=True))
+    if not len(h):
+        return h, n
+    order = np.argsort(h, kind="stable")  # runs in order merge fast
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n[order], first)
 
 
-def candidates(blocks: DataFrame, filters: list[Filter]) -> DataFrame:
-    """(lang, phrase) of all runs of two words or more that pass the filters, each once."""
+def candidates(blocks: DataFrame, filters: list[Filter], slices: int) -> DataFrame:
+    """(lang, slice, n, phrases, trie): all runs of two words or more that pass the filters, each once, in slices by their
+    hashes. A task sends the distinct ones of its blocks as sorted lists, which meet by slice, where the trie is made."""
     shared = blocks.sparkSession.sparkContext.broadcast(filters)
 
+    def sent(held):
+        for (lang, part), own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([_squeezed(b"\n".join(sorted(own)))])], ["lang", "slice", "phrases"])
+
     def run(batches):
+        held: dict[tuple[str, int], set[bytes]] = {}
+        size = 0
         for lang, words, places in _blocks_of(batches):
             for n, (at, h) in enumerate(_hashed(lang, words, places, shared.value)[1 : len(filters)], 2):
                 own = places[at[:, None] + np.arange(n)] - 1
                 # One place of each run: equal hashes of unlike runs are told apart by their words.
                 order = np.lexsort((*own.T[::-1], h))
-                new = np.r_[True, (own[order][1:] != own[order][:-1]).any(axis=1)] if len(order) else np.empty(0, bool)
-                found = [b" ".join([words[j] for j in w]) for w in own[order[new]].tolist()]
-                for i in range(0, len(found), 50_000):
-                    some = found[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()).cast(pa.string())], ["lang", "phrase"])
-
-    return in_python(blocks, run, "lang string, phrase string").distinct()
+                new = order[np.r_[True, (own[order][1:] != own[order][:-1]).any(axis=1)]] if len(order) else order
+                part = (h[new] >> np.uint64(40)) % np.uint64(slices)
+                for p, w in zip(part.tolist(), own[new].tolist(), strict=True):
+                    held.setdefault((lang, p), set()).add(b" ".join([words[j] for j in w]))
+            size = sum(map(len, held.values()))
+            if size > HELD_PHRASES:
+                yield from sent(held)
+                held.clear()
+        yield from sent(held)
+
+    def meet(key, rows):
+        lists = (zstandard.ZstdDecompressor().decompress(p).split(b"\n") for p in rows.column("phrases").to_pylist())
+        phrases = sorted(set().union(*lists))
+        packed = _squeezed(b"\n".join(phrases))
+        return pa.table({"lang": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(phrases)], pa.int32()), "phrases": [packed], "trie": pa.array([pickle.dumps(trie_of(phrases))], pa.binary())})
+
+    sent_lists = in_python(blocks, run, "lang string, slice int, phrases binary")
+    return sent_lists.groupBy("lang", "slice").applyInArrow(meet, "lang string, slice int, n int, phrases binary, trie binary")
 
 
 @dataclass
@@ -328,23 +391,8 @@ def trie_of(phrases: list[bytes]) -> Trie:
     return Trie(words, base, check, accept, len(phrases))
 
 
-def _packed(lang: str, part: int, phrases: list[str]) -> pa.Table:
-    trie = trie_of([p.encode() for p in phrases])
-    return pa.table({"lang": [lang], "slice": pa.array([part], pa.int32()), "trie": pa.array([pickle.dumps(trie)], pa.binary())})
-
-
-def tries_of(known: DataFrame) -> DataFrame:
-    """(lang, slice, trie) of phrases (lang, slice, no, phrase), no from 0 in each slice; a task makes one slice at a time."""
-
-    def build(key, rows):
-        rows = rows.sort_by("no")
-        return _packed(key[0].as_py(), key[1].as_py(), rows.column("phrase").to_pylist())
-
-    return known.groupBy("lang", "slice").applyInArrow(build, "lang string, slice int, trie binary")
-
-
 def trie_counts(blocks: DataFrame, shared) -> DataFrame:
-    """(lang, slice, no, n) of the phrases of some tries, broadcast as (lang, slice, trie), summed over all blocks."""
+    """(lang, slice, counts) of some tries, broadcast as (lang, slice, trie): a task's counts of all phrases of a slice."""
 
     def run(batches):
         total: dict[tuple[str, int], np.ndarray] = {}
@@ -361,30 +409,41 @@ def trie_counts(blocks: DataFrame, shared) -> DataFrame:
                 n = trie.counts(np.r_[np.int32(0), of_word][places])
                 total[(lang, part)] = total.get((lang, part), 0) + n
         for (lang, part), n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), part), pa.int32()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["lang", "slice", "no", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([_planes(n)])], ["lang", "slice", "counts"])
 
-    return in_python(blocks, run, "lang string, slice int, no int, n long").groupBy("lang", "slice", "no").agg(F.sum("n").alias("n"))
+    return in_python(blocks, run, "lang string, slice int, counts binary")
 
 
-def counted(blocks: DataFrame, known: DataFrame, slice_size: int = SLICE, at_once: int = SLICES) -> DataFrame:
-    """(lang, phrase, a): the exact occurrences of the phrases (lang, phrase), those without any left out."""
+def counted(blocks: DataFrame, known: DataFrame, least: int = LEAST, at_once: int = AT_ONCE) -> DataFrame:
+    """(lang, phrase, a): the exact occurrences of the candidates of known (a written table) that stand `least` times. Tries
+    are broadcast together up to at_once phrases; where there are more, in turn. The counts of all tasks meet by slice."""
     spark = blocks.sparkSession
-    sizes = known.groupBy("lang").count()
-    slices = F.greatest(F.lit(1), F.ceil(F.col("count") / slice_size)).cast("int")
-    dealt = known.join(sizes.select("lang", slices.alias("slices")), "lang")
-    dealt = dealt.select("lang", F.pmod(F.xxhash64("phrase"), F.col("slices")).cast("int").alias("slice"), "phrase")
-    nth = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("phrase")) - 1
-    dealt = written(dealt.withColumn("no", nth), "phrases")
-    tries = written(tries_of(dealt), "tries")
-    parts_of = sorted((r["lang"], r["slice"]) for r in tries.select("lang", "slice").toLocalIterator())
-    found = spark.createDataFrame([], "lang string, slice int, no int, n long")
-    for i in range(0, len(parts_of), at_once):
-        some = spark.createDataFrame(parts_of[i : i + at_once], "lang string, slice int")
-        shared = spark.sparkContext.broadcast([tuple(r) for r in tries.join(F.broadcast(some), ["lang", "slice"]).select("lang", "slice", "trie").collect()])
-        found = found.unionByName(written(trie_counts(blocks, shared), "counts"))
+    groups: list[list] = []
+    size = 0
+    for lang, part, n in sorted(tuple(r) for r in known.select("lang", "slice", "n").toLocalIterator()):
+        if not groups or size + n > at_once:
+            groups.append([])
+            size = 0
+        groups[-1].append((lang, part))
+        size += n
+
+    def meet(key, own, counts):
+        n = sum(_values(c, np.int64) for c in counts.column("counts").to_pylist())
+        if not counts.num_rows or not own.num_rows:
+            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "a": pa.array([], pa.int64())})
+        phrases = zstandard.ZstdDecompressor().decompress(own.column("phrases")[0].as_py()).split(b"\n")
+        some = np.flatnonzero(n >= least)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": pa.array([phrases[i] for i in some.tolist()], pa.binary()).cast(pa.string()), "a": n[some]})
+
+    found = spark.createDataFrame([], "lang string, phrase string, a long")
+    for group in groups:
+        some = known.join(F.broadcast(spark.createDataFrame(group, "lang string, slice int")), ["lang", "slice"])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in some.select("lang", "slice", "trie").collect()])
+        counts = trie_counts(blocks, shared).groupBy("lang", "slice")
+        met = some.select("lang", "slice", "phrases").groupBy("lang", "slice").cogroup(counts).applyInArrow(meet, "lang string, phrase string, a long")
+        found = found.unionByName(written(met, "counted"))
         shared.destroy()
-    return dealt.join(found, ["lang", "slice", "no"]).select("lang", "phrase", F.col("n").alias("a"))
+    return found
 
 
 def _words(phrase: Column) -> Column:
@@ -395,7 +454,7 @@ def _part(words: Column, first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
-def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, top: int = TOP, covered: int = COVERED, slice_size: int = SLICE, at_once: int = SLICES, bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, top: int = TOP, covered: int = COVERED, slice_size: int = SLICE, at_once: int = AT_ONCE, bits: int = FILTER_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's first `top` phrases of 2 to most_words words.
 
     docs (text, lang) are lower-cased (A-Z), cut into pieces at signs and line ends, and pieces into words at blanks and
@@ -406,18 +465,20 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
     rows count as often as they come; further columns are not read; an empty table gives no rows.
 
     Counts are exact: a hash lets too many candidates through, never too few. Whatever is broadcast has a bound: filters
-    of a fixed size and `at_once` tries of slice_size phrases on average.
+    of a fixed size and tries of at_once phrases, or of one slice of some slice_size.
     """
     with scratch(docs.sparkSession, "words", "counted"):
         blocks = written_blocks(word_blocks(docs))
         words = written(word_counts(blocks), "words")
         n = words.agg(F.sum("f")).first()[0] or 1
         bits = min(bits, max(15, n.bit_length() + 3))  # eight places a word, so that few phrases pass by chance
-        filters = [_word_filter(words.where(F.col("f") >= least), bits)]
+        filters, passed = [_word_filter(words.where(F.col("f") >= least), bits)], 0
         for _ in range(2, most_words + 1):
-            filters.append(filter_of(frequent_hashes(blocks, filters, least), bits))
-        known = written(candidates(blocks, filters), "candidates")
-        found = written(counted(blocks, known, slice_size, at_once).where(F.col("a") >= least), "counted")
+            often = written(frequent_hashes(blocks, filters, least, n), "hashes")
+            filters.append(filter_of(often, bits))
+            passed += often.count()
+        known = written(candidates(blocks, filters, 1 + passed // slice_size), "candidates")
+        found = counted(blocks, known, least, at_once)
     return ranked(found, words, least, top, covered)
 
 

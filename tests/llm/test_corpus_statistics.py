@@ -62,7 +62,7 @@ def spoken():
     return rows
 
 
-@pytest.mark.parametrize(("most_words", "slices", "bits"), [(3, (1 << 18, 8), 27), (3, (40, 2), 27), (4, (1 << 18, 8), 3)])
+@pytest.mark.parametrize(("most_words", "slices", "bits"), [(3, (1 << 18, 1 << 20), 27), (3, (40, 100), 27), (4, (1 << 18, 1 << 20), 3)])
 def test_collocations_equal_brute_force(spark, spoken, most_words, slices, bits, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_WORDS", 3000)
     docs = spark.createDataFrame(spoken, "text string, lang string").selectExpr("*", "1 AS n", "'q' AS phrase", "2 AS a").repartition(3)
