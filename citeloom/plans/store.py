@@ -9,6 +9,7 @@ come and go with their documents. Paths go through Hadoop's file systems.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ COLLECTIONS = {
 
 
 BUCKETS = 64
+TRIES = 10  # to read the pointer while it is moved
 
 
 def bucket_of(uid: Column) -> Column:
@@ -47,7 +49,13 @@ class Store:
         at = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(at):
             return {"tables": {}, "meta": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+        for left in range(TRIES, -1, -1):
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(at), "UTF-8"))
+            except Exception:  # it and its checksum are renamed into place one after the other
+                if not left:
+                    raise
+                time.sleep(0.1)
 
     def _move(self, state: dict) -> None:
         new, at = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")

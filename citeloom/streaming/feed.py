@@ -1,4 +1,4 @@
-"""A change feed from listings: Spark's file source tells of new files only, so changes are the difference of two looks."""
+"""The watch over a corpus: its changes as a stream, held back until a path is quiet, then applied to the store."""
 
 from __future__ import annotations
 
@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import doc_uid
 from citeloom.plans.ingest import Busy, Ingest
 from citeloom.sources import listing
-from citeloom.streaming import watch
-
-EVENTS = "event_id long, path string, op string, dest string, ts timestamp, is_dir boolean"
+from citeloom.streaming import changes, watch
 
 
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -29,77 +27,28 @@ def look(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     return files.select(F.col("rel_path").alias("path"), "size_bytes", "mtime")
 
 
-class Queue:
-    """The changes between looks that wait to be applied. Two tables are kept, the latest look and the open events; each
-    step writes new ones in place of the last."""
-
-    def __init__(self, ingest: Ingest):
-        self.ingest, s = ingest, ingest.settings
-        self.gap = max(s.debounce_seconds, s.stability_seconds)  # a file that is being written changes with each look
-        self.known: dict[str, DataFrame] = {}
-        self.paths: dict[str, str] = {}
-        self.gone: list[str] = []  # tables that this step leaves
-        self.n = 0
-        self._keep(look=self._look(), events=ingest.spark.createDataFrame([], EVENTS))
-
-    def _look(self) -> DataFrame:
-        s = self.ingest.settings
-        return look(self.ingest.spark, s.pdf_dir, s.ingest_recursive)
-
-    def _keep(self, **new: DataFrame) -> None:
-        for name, df in new.items():
-            self.n += 1
-            path = f"watch/{name}-{self.n}"
-            whole = f"{self.ingest.store.root}/{path}"
-            df.write.mode("overwrite").parquet(whole)
-            self.known[name] = self.ingest.spark.read.schema(df.schema).parquet(whole)
-            if name in self.paths:
-                self.gone.append(self.paths[name])
-            self.paths[name] = path
-
-    def step(self, now) -> None:
-        """Takes a look at the time now (a timestamp) and applies the bursts that are due: removals first, then upserts. A
-        file that changes again before its burst is due waits on."""
-        at = F.lit(now).cast("timestamp")
-        before, events = self.known["look"], self.known["events"]
-        self._keep(look=self._look())
-        new = differences(before, self.known["look"]).select(F.lit(self.n).cast("long").alias("event_id"), "path", "op", F.lit(None).cast("string").alias("dest"), at.alias("ts"), F.lit(False).alias("is_dir"))
-        self._keep(events=events.unionByName(new))
-        ended = watch.bursts(watch.actions(self.known["events"]), self.gap).groupBy("path").agg(F.max_by("action", "due").alias("action"), F.max("due").alias("due"))
-        ready = ended.where(F.col("due") <= at).select("path", "action")
-        if not ready.isEmpty():
-            self._keep(due=ready)
-            try:
-                watch.hand_over(self.known["due"], self._remove, self._upsert)
-                self._keep(events=self.known["events"].join(self.known["due"].select("path"), "path", "left_anti").select(self.known["events"].columns))
-            except Busy:
-                self.ingest.progress("another process is ingesting; trying again at the next look")
-        for path in self.gone:
-            self.ingest.store.remove_path(path)
-        self.gone.clear()
-
-    def _remove(self, paths: DataFrame) -> None:
-        for (path,) in paths.orderBy("path").limit(100).collect():
-            self.ingest.progress(f"removed: {path}")
-        self.ingest.remove(paths.select(doc_uid(F.col("path")).alias("doc_uid")))
-
-    def _upsert(self, paths: DataFrame) -> None:
-        self.ingest.progress(f"ingest-start: {paths.count()} files")
-        report = self.ingest.upsert(paths.withColumnRenamed("path", "rel_path"))
-        self.ingest.progress(f"ingest-{'complete' if report.indexed else 'skipped'}: {report.summary()}")
-        for name, problem in report.errors:
-            self.ingest.progress(f"error: {name}: {problem}")
-
-
 def follow(ingest: Ingest, every: str = "1 second", initial_sync: bool = True):
-    """Starts a query that steps through a Queue at each tick. Stop it with stop()."""
+    """Brings the store up to date and keeps it so: starts a query over the folder's changes, in which a path is due once it
+    has been quiet; removals are applied first. It goes on from its checkpoint in the store's folder when it is started again,
+    so nothing that happened meanwhile is lost. Stop it with stop()."""
+    s, spark, store = ingest.settings, ingest.spark, ingest.store
+    log = f"{s.state_dir}/watch"
+    changes.Log(log, s.pdf_dir, s.ingest_recursive).latest()  # before the sync, so that no change falls between
     if initial_sync:
         ingest.sync()
-    queue = Queue(ingest)
 
-    def tick(batch: DataFrame, _epoch: int) -> None:
-        now = batch.sparkSession.range(1).select(F.current_timestamp()).first()[0]
-        queue.step(now)
+    def remove(paths: DataFrame) -> None:
+        for (path,) in paths.orderBy("path").limit(100).collect():
+            ingest.progress(f"removed: {path}")
+        ingest.remove(paths.select(doc_uid(F.col("path")).alias("doc_uid")))
+
+    def upsert(paths: DataFrame) -> None:
+        ingest.progress(f"ingest-start: {paths.count()} files")
+        report = ingest.upsert(paths.withColumnRenamed("path", "rel_path"))
+        ingest.progress(f"ingest-{'complete' if report.indexed else 'skipped'}: {report.summary()}")
+        for name, problem in report.errors:
+            ingest.progress(f"error: {name}: {problem}")
 
-    ticks = ingest.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(tick).trigger(processingTime=every).start()
+    acts = watch.actions(changes.stream(spark, s.pdf_dir, log, s.ingest_recursive), "size")
+    due = watch.quiet(acts, max(s.debounce_seconds, s.stability_seconds))
+    return watch.apply(due, f"{store.root}/watch/checkpoint", remove, upsert, every, Busy)

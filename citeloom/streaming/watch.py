@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from citeloom.functions.workers import with_python_path
 from citeloom.sources.listing import is_watched
 
 DEBOUNCE, STABLE = 4.0, 2.0
+KEEP = 86_400.0  # seconds after which a path's state goes, whatever became of its timer
 
 
-def actions(events: DataFrame) -> DataFrame:
+def actions(events: DataFrame, *more: str) -> DataFrame:
     """events (event_id, path, op, dest, ts, is_dir) as (event_id, path, action, ts): created and modified upsert,
-    deleted removes, moved removes one path and upserts the other; folders and other files are left out."""
+    deleted removes, moved removes one path and upserts the other; folders and other files are left out. Further columns that
+    are named come along."""
     upsert, remove = F.lit("upsert"), F.lit("remove")
     one = lambda p, a: F.struct(F.col(p).alias("path"), a.alias("action"))
     made = (
         F.when(F.col("op").isin("created", "modified"), F.array(one("path", upsert))).when(F.col("op") == "deleted", F.array(one("path", remove)))
         .when(F.col("op") == "moved", F.array(one("path", remove), one("dest", upsert)))
     )
-    rows = events.where(~F.col("is_dir")).select("event_id", "ts", F.explode(made).alias("a")).select("event_id", "a.path", "a.action", "ts")
+    rows = events.where(~F.col("is_dir")).select("event_id", "ts", *more, F.explode(made).alias("a")).select("event_id", "a.path", "a.action", "ts", *more)
     return rows.where(F.col("path").isNotNull() & is_watched(F.col("path")))
 
 
@@ -52,34 +58,45 @@ def stable(looks: DataFrame, wait: float = STABLE) -> DataFrame:
     return ready.groupBy("path").agg(F.min("us").alias("stable_at"))
 
 
-class SizeGate:
-    """Keeps a path's last size and when it was first seen; a look emits once the size has lasted. For applyInPandasWithState."""
+class Quiet(StatefulProcessor):
+    """Keeps a path's last action and size and when it is due; each event sets the time anew, and the action comes out when
+    the timer fires, be there events or not. For transformWithState in processing time."""
+
+    OUT, STATE = "path string, action string", "action string, size long, due long"
+
+    def __init__(self, wait: float, keep: float = KEEP):
+        self.wait, self.keep = int(wait * 1000), int(keep * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.STATE, self.keep)
 
-    OUT, STATE = "path string, stable_at long", "size long, since long, told boolean"
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        action, size = events["action"].iloc[-1], events["size"].iloc[-1]
+        if self.last.exists():
+            self.handle.deleteTimer(self.last.get()[2])
+        due = timerValues.getCurrentProcessingTimeInMs() + self.wait
+        self.handle.registerTimer(due)
+        self.last.update((action, -1 if pd.isna(size) else int(size), due))
+        yield pd.DataFrame({"path": [], "action": []}, dtype=object)
 
-    def __init__(self, wait: float = STABLE):
-        self.wait = int(wait * 1e6)
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[2] == expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame({"path": [key[0]], "action": [self.last.get()[0]]})
+            self.last.clear()
 
-    def __call__(self, key, frames, state):
-        size, since, told = state.get if state.exists else (-1, 0, False)
-        out = []
-        for frame in frames:
-            for us, now in frame.sort_values("us")[["us", "size"]].itertuples(index=False):
-                if pd.isna(now):
-                    size, told = -1, False
-                elif int(now) != size:
-                    size, since, told = int(now), int(us), False
-                elif us - since >= self.wait and not told:
-                    told = True
-                    out.append((key[0], int(us)))
-        state.update((size, since, told))
-        yield pd.DataFrame(out, columns=["path", "stable_at"]).astype({"path": object})
+    def close(self) -> None:
+        pass
 
 
-def stable_stream(looks: DataFrame, wait: float = STABLE) -> DataFrame:
-    """stable() on a stream of looks (path, us, size): (path, stable_at) for each size that lasts."""
-    with_python_path(looks.sparkSession)
-    return looks.groupBy("path").applyInPandasWithState(SizeGate(wait), SizeGate.OUT, SizeGate.STATE, "append", "NoTimeout")
+def quiet(acts: DataFrame, wait: float = max(DEBOUNCE, STABLE)) -> DataFrame:
+    """(path, action) of a stream of actions (event_id, path, action, ts, size): a path's last action, once nothing has
+    been heard of it for `wait` seconds. A file that is being written is heard of at each look, so it waits for its end."""
+    spark = acts.sparkSession
+    with_python_path(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return acts.groupBy("path").transformWithStateInPandas(Quiet(wait), Quiet.OUT, "Append", "processingtime")
 
 
 def steps(due: DataFrame) -> DataFrame:
@@ -96,14 +113,19 @@ def hand_over(due: DataFrame, on_remove, on_upsert) -> None:
             function(own)
 
 
-def apply(stream: DataFrame, checkpoint: str, on_remove, on_upsert, every: str = "1 second"):
-    """Starts the query that hands each batch of a stream of bursts over. The checkpoint makes a restart go on where it
-    ended; late events are the next sync's to find."""
+def apply(stream: DataFrame, checkpoint: str, on_remove, on_upsert, every: str = "1 second", busy: type[Exception] | tuple = ()):
+    """Starts the query that hands each batch of a stream of due actions over. The checkpoint makes a restart go on where it
+    ended, with the batch that wasn't finished. A hand-over that raises `busy` is tried again."""
 
     def drain(batch: DataFrame, _epoch: int) -> None:
         rows = batch.persist()
         try:
-            hand_over(rows, on_remove, on_upsert)
+            while True:
+                try:
+                    hand_over(rows, on_remove, on_upsert)
+                    break
+                except busy:
+                    time.sleep(1)
         finally:
             rows.unpersist()
 

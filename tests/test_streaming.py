@@ -1,3 +1,6 @@
+import json
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from citeloom.plans.ingest import Ingest
 from citeloom.plans.settings import Settings
 from citeloom.sources import fixtures as fx
 from citeloom.sources.spans import plain_text
-from citeloom.streaming import feed, watch
+from citeloom.streaming import changes, feed, watch
 
 
 def rows(df, *cols):
@@ -39,21 +42,6 @@ def test_moves_and_last_event(spark):
     assert rows(watch.last_actions(watch.actions(events), []), "path", "action") == [("a.pdf", "remove"), ("b.PDF", "upsert"), ("y.pdf", "upsert")]
 
 
-def test_stable_stream_equals_the_batch(spark, tmp_path):
-    looks = [("a", 0, 5), ("a", 1_000_000, 5), ("a", 2_000_000, 5), ("b", 0, 5), ("b", 1_500_000, 6), ("b", 3_000_000, 6), ("b", 3_500_000, 6), ("c", 0, 5), ("c", 1_000_000, None), ("c", 2_500_000, 5)]
-    df = spark.createDataFrame(looks, "path string, us long, size long")
-    want = [("a", 2_000_000), ("b", 3_500_000)]
-    assert rows(watch.stable(df), "path", "stable_at") == want
-    df.where("us < 1200000").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = watch.stable_stream(stream).writeStream.format("memory").queryName("gate").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    df.where("us >= 1200000").write.mode("append").parquet(str(tmp_path / "in"))
-    query.processAllAvailable()
-    query.stop()
-    assert rows(spark.table("gate"), "path", "stable_at") == want
-
-
 def test_apply_hands_over_removals_first(spark, tmp_path):
     df = spark.createDataFrame([("a.pdf", "remove"), ("b.pdf", "upsert")], "path string, action string")
     df.write.parquet(str(tmp_path / "in"))
@@ -65,43 +53,76 @@ def test_apply_hands_over_removals_first(spark, tmp_path):
     assert seen == [("remove", "a.pdf"), ("upsert", "b.pdf")]
 
 
-def test_follow_syncs_after_a_change(spark, tmp_path):
-    docs = tmp_path / "docs"
-    docs.mkdir()
-    (docs / "a.pdf").write_text("one line of text")
-    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8, debounce_seconds=1.0, stability_seconds=1.0)
-    ingest = Ingest(spark, settings, plain_text)
-    query = feed.follow(ingest, "1 second")
-    (docs / "b.pdf").write_text("another line")
-    import time
-
-    end = time.time() + 60
-    while time.time() < end and ingest.store.read("manifest").where("status = 'indexed'").count() < 2:
-        time.sleep(1)
-    query.stop()
-    assert ingest.store.read("manifest").where("status = 'indexed'").count() == 2
+def test_changes_between_listings():
+    before = {"a": [1, 10], "b": [2, 20], "c": [3, 30], "d": [4, 40], "e": [4, 40]}
+    after = {"a": [1, 10], "b": [2, 21], "x": [3, 30], "y": [9, 90], "z": [4, 40]}
+    assert changes.changes(before, after) == [("b", "modified", None, 2), ("c", "moved", "x", 3), ("d", "deleted", None, None), ("e", "deleted", None, None), ("y", "created", None, 9), ("z", "created", None, 4)]
 
 
-def test_queue_waits_for_quiet_and_removes_first(spark, tmp_path):
+def test_versions_can_be_read_again(tmp_path):
+    docs = tmp_path / "docs"
+    (docs / "sub").mkdir(parents=True)
+    (docs / "a.pdf").write_text("one")
+    log = changes.Log(str(tmp_path / "log"), str(docs))
+    assert log.latest() == log.look() == 0
+    (docs / "sub" / "b.pdf").write_text("two")
+    assert log.look() == 1 and log.look() == 1
+    (docs / "a.pdf").rename(docs / "sub" / "c.pdf")
+    again = changes.Log(str(tmp_path / "log"), str(docs))
+    assert again.look() == 2
+    rows = [(r[1], r[2], r[3], r[6]) for r in again.rows(0, 2)]
+    assert rows == [("sub/b.pdf", "created", None, 3), ("a.pdf", "moved", "sub/c.pdf", 3)] and [r[1] for r in log.rows(1, 2)] == ["a.pdf"]
+    again.forget(1)
+    assert [p.name for p in (tmp_path / "log").glob("changes-*")] == ["changes-000000002.json"]
+
+
+def wait_for(true, seconds=240):
+    end = time.time() + seconds
+    while time.time() < end and not true():
+        time.sleep(0.5)
+    return true()
+
+
+def test_follow_goes_on_after_a_restart(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
     (docs / "a.pdf").write_text("one line of text")
+    (docs / "gone.pdf").write_text("a line that goes")
     said = []
-    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8)
+    settings = Settings(pdf_dir=str(docs), store_dir=str(tmp_path / "s"), state_dir=str(tmp_path / "t"), embedding_dim=8, debounce_seconds=1.0, stability_seconds=1.0)
     ingest = Ingest(spark, settings, plain_text, progress=said.append)
-    ingest.sync()
-    queue, at = feed.Queue(ingest), pd.Timestamp("2024-01-01 00:00:00")
-    step = lambda s: queue.step((at + pd.Timedelta(seconds=s)).to_pydatetime())
     known = lambda: sorted(r[0] for r in ingest.store.read("manifest").where("status = 'indexed'").select("rel_path").collect())
-    (docs / "a.pdf").unlink()
+    query = feed.follow(ingest, "1 second")
+    assert known() == ["a.pdf", "gone.pdf"]
+    time.sleep(2)
+    (docs / "gone.pdf").unlink()
     (docs / "b.pdf").write_text("another line")
-    step(0)
-    (docs / "b.pdf").write_text("another line that is longer")
-    step(3)
-    assert known() == ["a.pdf"]
-    step(5)  # a.pdf is due, b.pdf changed two seconds ago
-    assert known() == []
-    step(8)
-    assert known() == ["b.pdf"] and [x.split(":")[0] for x in said[1:]] == ["removed", "ingest-start", "ingest-complete"]
-    step(9)
-    assert len(list((tmp_path / "s" / "watch").iterdir())) <= 4
+    assert wait_for(lambda: known() == ["a.pdf", "b.pdf"]), query.exception()
+    assert wait_for(lambda: len([x for x in said if x.startswith("ingest-")]) == 2 and not query.status["isTriggerActive"])
+    query.stop()
+    words = [x.split(":")[0] for x in said if not x.startswith(("indexed", "recovered"))]
+    assert words.index("removed") < words.index("ingest-start")
+    (docs / "c.pdf").write_text("a line that nobody saw")
+    (docs / "a.pdf").rename(docs / "moved.pdf")
+    said.clear()
+    query = feed.follow(ingest, "1 second", initial_sync=False)
+    assert wait_for(lambda: known() == ["b.pdf", "c.pdf", "moved.pdf"]), query.exception()
+    time.sleep(4)
+    query.stop()
+    assert sum(x.startswith("ingest-start") for x in said) <= 2 and not any("b.pdf" in x for x in said)
+
+
+def test_a_path_is_due_when_it_is_quiet(spark, tmp_path):
+    """A stream of files of events: a path that is heard of again waits on, and the last action counts."""
+    schema = "event_id long, path string, action string, ts timestamp, size long"
+    (tmp_path / "in").mkdir()
+    put = lambda n, *rows: (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("event_id", "path", "action", "ts", "size"), r, strict=True))) for r in rows))
+    at = "2024-01-01T00:00:00"
+    put(0, (1, "a", "upsert", at, 5), (2, "b", "upsert", at, 5), (3, "b", "remove", at, None))
+    got = []
+    stream = watch.quiet(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), 3.0)
+    query = watch.apply(stream, str(tmp_path / "c"), lambda d: got.extend(("remove", r[0]) for r in d.collect()), lambda d: got.extend(("upsert", r[0]) for r in d.collect()))
+    assert wait_for(lambda: got == [("remove", "b"), ("upsert", "a")]), query.exception()
+    put(1, (4, "b", "upsert", at, 6))
+    assert wait_for(lambda: len(got) == 3) and got[-1] == ("upsert", "b")
+    query.stop()
