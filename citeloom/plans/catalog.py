@@ -560,7 +560,7 @@ def _replies():
 
 @query(f"""WITH {_PACK}, {_PICS}, every AS (SELECT query_id, no, entry FROM packed UNION ALL SELECT query_id, kept + nth, entry FROM figs WHERE used <= 4500 OR (nth = 1 AND kept = 0)),
 ctx AS (SELECT query_id, string_agg(entry, chr(10) ORDER BY no) AS context, min_by(entry, no) AS top_entry FROM every GROUP BY query_id),
-asked AS (SELECT item_id AS query_id, top_entry, length(concat('CONTEXT PASSAGES', chr(10), '================', chr(10), context, chr(10), '================', chr(10), chr(10), 'QUESTION: ', text, chr(10), chr(10), 'Answer using only the context above, citing every claim in the format [DocName.pdf, Page X, Line Y-Z].')) AS n FROM benchmark LEFT JOIN ctx ON item_id = query_id),
+asked AS (SELECT item_id AS query_id, top_entry, CASE WHEN context IS NOT NULL THEN length(concat('CONTEXT PASSAGES', chr(10), '================', chr(10), context, chr(10), '================', chr(10), chr(10), 'QUESTION: ', text, chr(10), chr(10), 'Answer using only the context above, citing every claim in the format [DocName.pdf, Page X, Line Y-Z].')) END AS n FROM benchmark LEFT JOIN ctx ON item_id = query_id),
 e AS (SELECT query_id, hit_rank, concat(hit_rank, '. [', document_name, ', Page ', page_number, ', Line ', line_start, '-', line_end, ']', chr(10), '   ', substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 280), '...', chr(10)) AS entry FROM h WHERE hit_rank <= 5),
 alone AS (SELECT query_id, count(*) AS n_alone, rtrim(concat('The local LLM is unavailable, so no synthesised answer was generated.', chr(10), 'Reason: down', chr(10), chr(10), 'Start it with `ollama serve`, then ask again. The most relevant passages retrieved for this question are:', chr(10), chr(10), string_agg(entry, chr(10) ORDER BY hit_rank)), E'\\n') AS said FROM e GROUP BY query_id)
 SELECT a.query_id,
