@@ -41,12 +41,20 @@ def caption_columns(caps: DataFrame, bounds: DataFrame, page: list[str]) -> Data
 
 def clamped(bands: DataFrame, lines: DataFrame, page: list[str], key: list[str]) -> DataFrame:
     """bands (page.., key.., bx0, bx1, y0, y1, height, below) with top and bottom: from the caption up or down to the
-    nearest line that shares the band's x-range, less a pad; both null where under 35 points are left."""
-    b = lines.select(*page, F.col("x0").alias("lx0"), F.col("y0").alias("ly0"), F.col("x1").alias("lx1"), F.col("y1").alias("ly1"))
-    shares = ~((F.col("lx1") < F.col("bx0") - X_SLACK) | (F.col("lx0") > F.col("bx1") + X_SLACK))
-    under = F.min(F.when(shares & (F.col("ly0") >= F.col("y1") + 1), F.col("ly0")))
-    over = F.max(F.when(shares & (F.col("ly1") <= F.col("y0") - 1), F.col("ly1")))
-    found = bands.join(b, page, "left").groupBy(*bands.columns).agg(under.alias("_u"), over.alias("_o"))
+    nearest line that shares the band's x-range, less a pad; both null where under 35 points are left.
+
+    A page's bands of one x-range (its columns', mostly) are swept with the lines that share it, once downwards and once
+    upwards, so a page's work grows with lines x its x-ranges, not with lines x bands.
+    """
+    edges = lines.select(*page, F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y0").alias("_ly0"), F.col("y1").alias("_ly1"))
+    rows = bands.select(*page, *[c for c in bands.columns if c not in page]).unionByName(edges.withColumn("_line", F.lit(True)), allowMissingColumns=True)
+    is_line = F.col("_line").isNotNull()
+    ranges = F.collect_set(F.when(~is_line, F.struct("bx0", "bx1"))).over(Window.partitionBy(*page))
+    shares = lambda r: ~((F.col("_x1") < r["bx0"] - X_SLACK) | (F.col("_x0") > r["bx1"] + X_SLACK))
+    rows = rows.withColumn("_ranges", ranges).withColumn("_range", F.explode(F.when(is_line, F.filter("_ranges", shares)).otherwise(F.array(F.struct("bx0", "bx1")))))
+    down, up = F.when(is_line, F.col("_ly1")).otherwise(F.col("y0") - 1), F.when(is_line, F.col("_ly0")).otherwise(F.col("y1") + 1)
+    swept = lambda order: Window.partitionBy(*page, "_range").orderBy(order, is_line.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.drop("_ranges").withColumn("_u", F.min("_ly0").over(swept(up.desc()))).withColumn("_o", F.max("_ly1").over(swept(down.asc()))).where(~is_line)
     bottom = F.coalesce(F.col("_u"), F.col("height")) - PAD
     top = F.coalesce(F.col("_o") + PAD, F.lit(PAD))
     fits = F.when(F.col("below"), bottom - F.col("y1") >= LEAST_GAP).otherwise(F.col("y0") - top >= LEAST_GAP)
