@@ -18,6 +18,11 @@ def strip_u(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def once(value: Column, body) -> Column:
+    """body of value, which is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of Unicode white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import collapse
+from citeloom.functions.text import collapse, once
 
 MAX_ROWS, MAX_CHARS = 80, 6000
 
@@ -15,16 +15,18 @@ def markdown(rows: Column, max_rows: int = MAX_ROWS) -> Column:
     filled, blank headers named by their place; empty if under two rows or two columns are left."""
     clean = F.transform(F.slice(rows, 1, max_rows), lambda r: F.transform(r, lambda c: collapse(F.coalesce(c, F.lit("")))))
     clean = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(clean, F.size))
-    filled = F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.exists(filled, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
-    cut = F.transform(filled, lambda r: F.transform(places, lambda i: F.get(r, i)))
-    head = F.transform(F.get(cut, F.lit(0)), lambda c, i: F.when(c == "", F.concat(F.lit("col"), (i + 1).cast("string"))).otherwise(c))
+    places = lambda kept, width: F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.exists(kept, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+    cut = lambda kept, at: F.transform(kept, lambda r: F.transform(at, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+    drawn = lambda kept: once(places(kept, F.array_max(F.transform(kept, F.size))), lambda at: F.when((F.size(kept) < 2) | (F.size(at) < 2), "").otherwise(once(cut(kept, at), _drawn)))
+    return once(clean, drawn)
+
+
+def _drawn(rows: Column) -> Column:
+    """Rows of equally many cells, the header first, as lines of Markdown."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = line(F.transform(head, lambda c: F.lit("---")))
-    body = F.transform(F.slice(cut, 2, max_rows), line)
-    text = F.array_join(F.concat(F.array(line(head), rule), body), "\n")
-    return F.when((F.size(clean) < 2) | (F.size(places) < 2), "").otherwise(text)
+    head = F.transform(F.get(rows, F.lit(0)), lambda c, i: F.when(c == "", F.concat(F.lit("col"), (i + 1).cast("string"))).otherwise(c))
+    rule = F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---"))
+    return F.array_join(F.concat(F.array(line(head), line(rule)), F.transform(F.slice(rows, 2, F.size(rows)), line)), "\n")
 
 
 def table_chunks(tables: DataFrame, ranges: DataFrame, pages: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -332,18 +332,36 @@ def fig06_accepted(spark, sf_dir):
     return figures.accepted(rows, PAGE)
 
 
-@query("""WITH i AS (SELECT doc_id, 1 AS page_number, concat('doc_', doc_id, '.pdf') AS document_name, n_chars * 40 AS pixels, 300.0::DOUBLE + 40 * (doc_id % 6) AS y0, 350.0::DOUBLE + 40 * (doc_id % 6) AS y1 FROM documents),
-c AS (SELECT doc_id, 'a caption' AS caption, 'Figure 1' AS label, 520.0::DOUBLE AS y0, 540.0::DOUBLE AS y1 FROM documents WHERE doc_id % 4 <> 0)
-SELECT i.doc_id, CASE WHEN near THEN 'a caption' ELSE concat('Untitled image on page 1 of ', document_name) END AS caption, CASE WHEN near THEN 'Figure 1' ELSE '' END AS label FROM (
-  SELECT i.*, least(abs(c.y0 - i.y1), abs(i.y0 - c.y1)) < 90 AS near FROM i JOIN c USING (doc_id)) i WHERE pixels >= 40000 AND (near OR pixels >= 160000)""")
+@query("""WITH i AS (SELECT doc_id, unnest([0, 1, 2]) AS image_id, n_chars FROM documents),
+images AS (SELECT doc_id, image_id, n_chars * 20 * (image_id + 1) AS pixels, 300.0 + 40 * ((doc_id + image_id) % 6) AS y0, 350.0 + 40 * ((doc_id + image_id) % 6) AS y1 FROM i),
+caps AS (SELECT doc_id, 0 AS c_id, 'a caption' AS caption, 'Figure 1' AS label, 520.0 AS y0, 540.0 AS y1 FROM documents WHERE doc_id % 4 <> 0
+  UNION ALL SELECT doc_id, 1, 'another', 'Figure 3', 240.0, 260.0 FROM documents WHERE doc_id % 3 = 0),
+taken AS (SELECT doc_id, 'Figure 2' AS label, 60.0 AS x0, 320.0 AS y0, 200.0 AS x1, 380.0 AS y1 FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'FIGURE 1', 400.0, 700.0, 500.0, 780.0 FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, '', 400.0, 600.0 + unnest(range(6)), 500.0, 690.0 FROM documents WHERE doc_id % 11 = 0),
+free AS (SELECT * FROM images i WHERE pixels >= 40000 AND doc_id IN (SELECT doc_id FROM caps)
+  AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.doc_id = i.doc_id AND 60 < t.x1 AND t.x0 < 200 AND i.y0 < t.y1 AND t.y0 < i.y1)),
+near AS (SELECT f.doc_id, image_id, arg_min({'caption': caption, 'label': label}, (least(abs(c.y0 - f.y1), abs(f.y0 - c.y1)), c_id)) AS c FROM free f JOIN caps c ON c.doc_id = f.doc_id AND least(abs(c.y0 - f.y1), abs(f.y0 - c.y1)) < 90 GROUP BY ALL),
+named AS (SELECT doc_id, image_id, pixels, coalesce(c.caption, '') AS caption, coalesce(c.label, '') AS label FROM free LEFT JOIN near USING (doc_id, image_id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY image_id) AS nth FROM named n WHERE (caption <> '' OR pixels >= 160000) AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.doc_id = n.doc_id AND t.label <> '' AND lower(t.label) = lower(n.label)))
+SELECT doc_id, image_id, CASE WHEN caption <> '' THEN caption ELSE concat('Untitled image on page 1 of doc_', doc_id, '.pdf') END AS caption, label FROM kept WHERE nth + (SELECT count(*) FROM taken t WHERE t.doc_id = kept.doc_id) <= 8""")
 def fig07_images(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    at = 40 * (F.col("doc_id") % 6)
+    """Three images a page beside two captions and up to eight regions that are taken."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(1).alias("page_number"))
+    at = 40 * ((F.col("doc_id") + F.col("image_id")) % 6)
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    images = docs.select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("image_id"), name.alias("document_name"), (F.col("n_chars") * 40).alias("pixels"), F.lit(60.0).alias("x0"), (300.0 + at).alias("y0"), F.lit(200.0).alias("x1"), (350.0 + at).alias("y1"))
-    caps = docs.where("doc_id % 4 <> 0").select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("rect_id"), F.lit("a caption").alias("caption"), F.lit("Figure 1").alias("label"), F.lit(520.0).alias("y0"), F.lit(540.0).alias("y1"))
-    taken = caps.where("false").select(*PAGE, "rect_id", "label", F.lit(0.0).alias("x0"), "y0", F.lit(0.0).alias("x1"), "y1")
-    return figures.embedded_images(images, caps, taken, PAGE).select("doc_id", "caption", "label")
+    images = docs.withColumn("image_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        *PAGE, "image_id", name.alias("document_name"), (F.col("n_chars") * 20 * (F.col("image_id") + 1)).alias("pixels"), F.lit(60.0).alias("x0"), (300.0 + at).alias("y0"), F.lit(200.0).alias("x1"), (350.0 + at).alias("y1"),
+    )
+    cap = lambda rows, i, caption, label, y: rows.select(*PAGE, F.lit(i).alias("rect_id"), F.lit(caption).alias("caption"), F.lit(label).alias("label"), F.lit(y).alias("y0"), F.lit(y + 20).alias("y1"))
+    caps = cap(docs.where("doc_id % 4 <> 0"), 0, "a caption", "Figure 1", 520.0).unionByName(cap(docs.where("doc_id % 3 = 0"), 1, "another", "Figure 3", 240.0))
+    box = lambda rows, i, label, *edges: rows.select(*PAGE, i.alias("rect_id"), F.lit(label).alias("label"), *[e.alias(c) for c, e in zip(layout.BOX, edges, strict=True)])
+    nth, lit = F.explode(F.sequence(F.lit(0), F.lit(5))), F.lit
+    many = docs.where("doc_id % 11 = 0").withColumn("nth", nth)
+    taken = box(docs.where("doc_id % 5 = 0"), lit(2), "Figure 2", lit(60.0), lit(320.0), lit(200.0), lit(380.0))
+    taken = taken.unionByName(box(docs.where("doc_id % 7 = 0"), lit(3), "FIGURE 1", lit(400.0), lit(700.0), lit(500.0), lit(780.0)))
+    taken = taken.unionByName(box(many, F.col("nth") + 4, "", lit(400.0), 600.0 + F.col("nth"), lit(500.0), lit(690.0)))
+    return figures.embedded_images(images, caps, taken, PAGE).select("doc_id", "image_id", "caption", "label")
 
 
 @query(f"""SELECT doc_id, page_number, line_number, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, line_number) - 1)::INT AS figure_index FROM {fx.DUCK_LINES}""")
@@ -358,26 +376,36 @@ def fig09_text(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    """A table of cells per document: its first words, an empty column, and its length; a ragged last row."""
-    w = F.split("text", " ", -1)
-    rows = [F.array(F.lit("word"), F.lit(""), F.lit("")), F.array(F.get(w, F.lit(0)), F.lit(""), F.col("n_chars").cast("string")), F.array(F.lit(""), F.lit(None).cast("string")), F.array(F.concat(F.lit(" "), F.get(w, F.lit(1)), F.lit(" \n x|")))]
-    return read(spark, sf_dir, "documents").select("doc_id", F.array(*rows).alias("rows"))
+    """A table of cells per document: its words three a row beside an empty column, with rows that are empty, blank or
+    ragged, so that long texts have more rows than a table shows."""
+    words = F.filter(F.split("text", "[ \\n]+", -1), lambda w: w != "")
+    starts = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(3)), lambda i: i <= F.size(w))
+    row = lambda w, i: F.concat(F.array(F.concat(F.get(w, i - 1), F.lit(" \n x|")), F.lit("")), F.slice(w, i + 1, 2))
+    head = F.array(F.array(F.lit("word"), F.lit("")), F.array(F.lit(""), F.lit(None).cast("string")), F.array(F.lit(" "), F.lit(""), F.lit("")))
+    rows = tx.once(words, lambda w: F.transform(starts(w), lambda i: row(w, i)))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(head, rows).alias("rows"))
 
 
-@query("""SELECT doc_id, concat('| word | col2 |', chr(10), '| --- | --- |', chr(10), '| ', trim(regexp_replace(w[1], '\\s+', ' ', 'g')), ' | ', n_chars, ' |',
-  CASE WHEN len(w) > 1 THEN concat(chr(10), '| ', trim(regexp_replace(concat(' ', w[2], ' x|'), '\\s+', ' ', 'g')), ' |  |') ELSE '' END) AS markdown FROM (SELECT doc_id, n_chars, string_split(text, ' ') AS w FROM documents)""")
+_CELL = lambda k: f"trim(regexp_replace(w[3 * r + {k}], '[[:space:]]+', ' ', 'g'))"
+_MARKDOWN = f"""SELECT doc_id, CASE WHEN len(w) < 2 THEN '' ELSE concat('| word |', CASE WHEN len(w) > 1 THEN ' col2 |' END, CASE WHEN len(w) > 2 THEN ' col3 |' END, chr(10), '| --- |', CASE WHEN len(w) > 1 THEN ' --- |' END, CASE WHEN len(w) > 2 THEN ' --- |' END,
+  array_to_string(list_transform(range(least(77, (len(w) + 2) // 3)), lambda r: concat(chr(10), '| ', {_CELL(1)}, ' x| |', concat(' ', coalesce({_CELL(2)}, ''), ' |'), CASE WHEN len(w) > 2 THEN concat(' ', coalesce({_CELL(3)}, ''), ' |') END)), '')) END AS markdown
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(_MARKDOWN)
 def tbl01_markdown(spark, sf_dir):
     return _cells(spark, sf_dir).select("doc_id", tables.markdown(F.col("rows")).alias("markdown"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 4 WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS line_start, CASE WHEN doc_id % 3 = 0 THEN 9 WHEN doc_id % 3 = 1 THEN 30 ELSE 0 END AS line_end, concat('Table extracted from page 1:', chr(10), chr(10), '| word | col2 |') AS head FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 4 WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS line_start, CASE WHEN doc_id % 3 = 0 THEN 9 WHEN doc_id % 3 = 1 THEN 30 ELSE 0 END AS line_end,
+  md5(concat('Table extracted from page 1:', chr(10), chr(10), substring(markdown, 1, 6000))) AS digest FROM ({_MARKDOWN}) WHERE markdown <> ''""")
 def tbl02_chunks(spark, sf_dir):
     t = _cells(spark, sf_dir).select(F.col("doc_id").alias("doc_uid"), F.lit(1).alias("page_number"), F.lit(0).alias("ord"), "rows")
     ids = t.select("doc_uid", "page_number", "ord")
     ranges = ids.where("doc_uid % 3 = 0").select("*", F.lit(4).alias("line_start"), F.lit(9).alias("line_end"))
     pages = ids.where("doc_uid % 3 = 1").select("doc_uid", "page_number", F.lit(30).alias("n_lines"))
     made = tables.table_chunks(t, ranges, pages)
-    return made.select(F.col("doc_uid").alias("doc_id"), "line_start", "line_end", F.substring_index("text", "\n", 3).alias("head"))
+    return made.select(F.col("doc_uid").alias("doc_id"), "line_start", "line_end", F.md5("text").alias("digest"))
 
 
 # Retrieval --------------------------------------------------------------------------------------------------------------
