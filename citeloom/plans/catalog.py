@@ -97,13 +97,25 @@ def _stored(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"), "doc_id", "source", "n_chars", F.col("doc_id").alias("row_id"))
 
 
-@query(f"""SELECT doc_id, document_name, source, n_chars FROM {_OLD} WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL
-  SELECT doc_id, document_name, 'new', n_chars + 1 FROM {_OLD} WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def _chunk_rows(docs, texts):
+    """A chunk for each of an array of texts of documents."""
+    one = docs.select("doc_id", F.posexplode(texts).alias("at", "text")).withColumn("doc_uid", F.col("doc_id").cast("string"))
+    known = {"row_id": tx.row_id(F.col("doc_uid"), F.lit(1), "c", F.col("at")), "doc_uid": F.col("doc_uid"), "chunk_index": F.col("at"), "text": F.col("text"), "page_number": F.lit(1)}
+    fields = [f.split(" ") for f in store.COLLECTIONS["chunks"].split(", ")]
+    return one.select(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+
+@query("""WITH old AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  new AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN [concat('new ', lines[1])] ELSE lines END AS lines FROM old)
+  SELECT doc_id::VARCHAR AS doc_uid, (n - 1)::INT AS chunk_index, lines[n] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM new)""")
 def snk01_replace(spark, sf_dir):
-    old = _stored(spark, sf_dir)
-    ids = read(spark, sf_dir, "labels").select("doc_id").distinct()
-    new = old.join(ids, "doc_id", "left_semi").withColumn("source", F.lit("new")).withColumn("n_chars", F.col("n_chars") + 1)
-    return store.upserted(old, new).select("doc_id", "document_name", "source", "n_chars")
+    """A store of a chunk per line, where those documents that have labels are replaced by one chunk each."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    kept = store.Store(spark, shared_path(spark, "store"))
+    kept.write(chunks=_chunk_rows(docs, F.col("lines")))
+    changed = docs.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept.replace_documents(_chunk_rows(changed, F.array(F.concat(F.lit("new "), F.get("lines", F.lit(0))))), kept.read("figures"))
+    return kept.read("chunks").select("doc_uid", "chunk_index", "text")
 
 
 @query(f"SELECT source, count(*) AS n FROM {_OLD} WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")

@@ -179,6 +179,7 @@ class Ingest:
         report.scanned, report.skipped = n["n"], n["n"] - n["todo"]
         if not n["todo"]:
             return
+        self.store.sized(n["bytes"] or 0)
         batches = min(n["todo"], max(1, -(-(n["bytes"] or 0) // self.batch_bytes)))
         batch = F.pmod(F.xxhash64("rel_path"), F.lit(batches))
         for i in range(batches):
@@ -257,7 +258,7 @@ class Ingest:
         s = self.settings
         size = found.where("error is null and page_number is not null").groupBy(*PAGE).agg(F.max("width").alias("width"), F.max("height").alias("height"))
         lines = spans.text_lines(found.where("error is null")).join(size, PAGE)
-        lines = layout.reading_order(lines.withColumn("tie", F.col("block") * 100_000 + F.col("line")), PAGE, "tie")
+        lines = self._snapshot(layout.reading_order(lines.withColumn("tie", F.col("block") * 100_000 + F.col("line")), PAGE, "tie"), "lines")
         texts = F.transform(F.sort_array(F.collect_list(F.struct("line_number", "text"))), lambda x: x["text"])
         pages = lines.groupBy(*PAGE).agg(texts.alias("lines"))
         parts = chunking.chunk_pages(pages, s.chunk_target, s.chunk_overlap, s.chunk_least)
@@ -278,9 +279,10 @@ class Ingest:
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("block_text"),
             F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         )
-        caps = figures.captions(blocks).withColumn("rect_id", F.col("block"))
+        caps = self._snapshot(figures.captions(blocks).withColumn("rect_id", F.col("block")), "captions")
         placed = figures.caption_columns(caps, layout.column_bounds(lines, PAGE), PAGE)
-        areas = figures.accepted(figures.regions(placed, lines, spans.graphics(found), PAGE), PAGE, s.figure_min_area, s.figure_max_per_page)
+        found_areas = self._snapshot(figures.regions(placed, lines, spans.graphics(found), PAGE), "regions")
+        areas = figures.accepted(found_areas, PAGE, s.figure_min_area, s.figure_max_per_page)
         kept = caps.join(areas.select(*PAGE, "rect_id"), [*PAGE, "rect_id"], "left_semi")
         kept = kept.select(*PAGE, "rect_id", "kind", "label", "caption", "x0", "y0", "x1", "y1", F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("binary").alias("data"))
         if s.extract_images:

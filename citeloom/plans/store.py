@@ -1,6 +1,6 @@
 """The store of a knowledge base: Parquet snapshots of its collections behind a pointer that is renamed into place.
 
-Rows stand in buckets by their document. A change writes the buckets that it touches anew and then moves the pointer, so
+Rows stand in buckets by their document, as many as the corpus asks for when the store is first filled. A change writes the buckets that it touches anew and then moves the pointer, so
 readers see the old state or the new one and a crash leaves the old one. The snapshots of the state before are kept for readers that are
 still at it, older ones are removed. Images are rows of a collection, under the path that they are exported to, so they
 come and go with their documents. Paths go through Hadoop's file systems.
@@ -23,12 +23,13 @@ COLLECTIONS = {
 }
 
 
-BUCKETS = 64
+LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
+BUCKET_BYTES = 256 << 20  # of files that one bucket takes, about, up to MOST_BUCKETS
 TRIES = 10  # to read the pointer while it is moved
 
 
-def bucket_of(uid: Column) -> Column:
-    return F.pmod(F.xxhash64(uid), F.lit(BUCKETS)).cast("int")
+def bucket_of(uid: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int")
 
 
 class BackendChanged(RuntimeError):
@@ -75,10 +76,22 @@ class Store:
         paths = [path for b, path in known.items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(COLLECTIONS[name]).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], COLLECTIONS[name])
 
-    @staticmethod
-    def touched(uids: DataFrame) -> list[int]:
+    @property
+    def buckets(self) -> int:
+        return self._state().get("buckets", LEAST_BUCKETS)
+
+    def sized(self, n_bytes: int) -> None:
+        """Sets the number of buckets for so many bytes of files, if the store holds no rows; others keep theirs until they
+        are rebuilt."""
+        state = self._state()
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES)))
+        if not _paths(state["tables"]) and buckets != state.get("buckets", LEAST_BUCKETS):
+            state["buckets"] = buckets
+            self._move(state)
+
+    def touched(self, uids: DataFrame) -> list[int]:
         """The buckets of documents (doc_uid)."""
-        return sorted(r[0] for r in uids.select(bucket_of(F.col("doc_uid"))).distinct().collect())
+        return sorted(r[0] for r in uids.select(bucket_of(F.col("doc_uid"), self.buckets)).distinct().collect())
 
     def get_meta(self, key: str) -> str | None:
         return self._state()["meta"].get(key)
@@ -104,7 +117,7 @@ class Store:
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             fields = [f.split(" ")[0] for f in COLLECTIONS[name].split(", ")]
-            rows = df.select(*fields, bucket_of(F.col("doc_uid")).alias("_b"))
+            rows = df.select(*fields, bucket_of(F.col("doc_uid"), state.get("buckets", LEAST_BUCKETS)).alias("_b"))
             rows = rows if buckets is None else rows.where(F.col("_b").isin(buckets))
             rows.hint("rebalance", "_b").write.partitionBy("_b").parquet(f"{self.root}/{folder}")
             kept = {} if buckets is None else {b: p for b, p in before.get(name, {}).items() if int(b) not in buckets}

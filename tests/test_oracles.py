@@ -30,8 +30,3 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(columns) == sorted(df.columns)
     want = sorted(tuple(plain(v) for v in row) for row in cursor.fetchall())
     assert sorted(tuple(plain(v) for v in row) for row in df.select(columns).collect()) == want
-
-
-def test_queries_without_sql_give_rows(spark):
-    for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
-        assert catalog.QUERIES[name](spark, SF).count() > 0, name

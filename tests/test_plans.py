@@ -216,3 +216,22 @@ def test_command_line(spark, base, tmp_path):
     assert call("status") == 0 and "documents: 2" in said
     assert call("reindex", "--rebuild", "--failed") == 1 and call("reset") == 1 and call("reset", "--yes") == 0
     assert call("kb", "remove", "nothing") == 1 and call("doctor") == 0
+
+
+def test_buckets_follow_the_corpus_and_a_change_rewrites_its_own(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "f")
+    store.sized(100 << 30)
+    assert store.buckets == 400 and Store(spark, store.root).buckets == 400
+    row = lambda uids: spark.createDataFrame([(u, "x.pdf", "indexed") for u in uids], "doc_uid string, document_name string, status string")
+    full = lambda rows: store.read("manifest").limit(0).unionByName(rows, allowMissingColumns=True)
+    store.write(manifest=full(row([f"u{i}" for i in range(50)])))
+    store.sized(1 << 50)
+    before = store._state()["tables"]["manifest"]
+    assert store.buckets == 400 and len(before) > 20
+    store.replace_documents(store.read("chunks"), store.read("figures"), manifest=full(row(["u7"]).withColumn("document_name", F.lit("y.pdf"))))
+    after = store._state()["tables"]["manifest"]
+    assert [b for b in after if after[b] != before.get(b)] == [str(b) for b in store.touched(row(["u7"]))]
+    assert {r["document_name"]: r["count"] for r in store.read("manifest").groupBy("document_name").count().collect()} == {"x.pdf": 49, "y.pdf": 1}
+    store.reset()
+    store.sized(1 << 50)
+    assert store.buckets == 16_384 and store.read("manifest").count() == 0
