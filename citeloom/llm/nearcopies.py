@@ -10,9 +10,11 @@ A text's sketch holds for each of 256 classes of digests whether an odd number o
 differ in no more places than there are shingles that one text has and the other hasn't, so pairs whose sketches differ in
 more than a Jaccard of 0.8 allows are left out before anything is made of them.
 
-Texts with equal shingles are one node from the start, and links that another method proposes are verified first. A shingle that many nodes share is first searched for links
-between neighbours in size only; once these have joined a group's members, only pairs of different classes are looked
-at, so a large group of near copies doesn't meet itself pair by pair.
+Texts with equal shingles are one node from the start, and links that another method proposes are verified first. Of the
+shingles of a node that many nodes share, a few of each order of magnitude are searched for links between neighbours in a
+random order, and then, for nodes that these haven't joined to the largest class, between a node and the few whose
+sketches are nearest to its own. A large group of near copies is one class by then: only pairs of different classes are
+looked at, all of them, so the group doesn't meet itself pair by pair.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import connected_components
@@ -32,8 +34,9 @@ SHINGLE = 5
 #: Two texts are near copies from a Jaccard of TIMES / OF on.
 TIMES, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000  # one text in SAMPLE is sampled; COMMON texts of them make a shingle common
-CROWD, CHAIN = 16, 4  # nodes of a shingle that is searched at random first; its place in a text is below CHAIN
-REACH = 12  # nodes on either side that a node is compared with in that order
+CROWD, CHAIN = 16, 2  # nodes that crowd a shingle; of a node's shingles of a like crowd, CHAIN are searched for links beforehand
+REACH = 6  # nodes on either side that a node is compared with in a random order
+NEAREST = 4  # nodes of other classes, by sketches, that a node is compared with after that
 BROADCAST = 200_000
 SKETCH = ["s0", "s1", "s2", "s3"]
 BLOCK = 1 << 17  # rows or pairs that are in memory at once
@@ -70,15 +73,10 @@ def least_shared(n):
 
 
 def longest_prefix(n):
-    """How many shingles a text of n looks for smaller ones, and as large ones, with."""
+    """How many shingles a text of n looks for others with, whatever their size."""
     return n - (TIMES * n + OF - 1) // OF + least_shared(n)
 
 
-def shortest_prefix(n):
-    """How many shingles a text of n is found by larger ones, and as large ones, with."""
-    return n - (2 * TIMES * n + TIMES + OF - 1) // (TIMES + OF) + least_shared(n)
-
-
 def nodes(texts: DataFrame, code_of) -> DataFrame:
     """(_no, node, fp, s0 to s3) per row of texts (_no, text): the digest of its set of shingles, code_of these, its sketch."""
 
@@ -164,30 +162,36 @@ def _by_token(function, names: list[str]):
 
 
 def _shared(token, n, node, pos):
-    """The rows of tokens of two nodes or more, each node once."""
+    """The rows of tokens of two nodes or more, each node once, with the number of nodes."""
     first = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
     token, n, node, pos = token[first], n[first], node[first], pos[first]
-    same = token[1:] == token[:-1]
-    two = np.r_[same, False] | np.r_[False, same]
-    yield token[two], n[two], node[two], pos[two]
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)])
+    many = np.repeat(sizes, sizes)
+    two = many > 1
+    yield token[two], n[two], node[two], pos[two], many[two]
 
 
 def _fits(small_n, small_pos, large_n, large_pos):
-    """Whether the places of a token are in the prefixes of a smaller text and one as large or larger that fit in size."""
-    shared = least_shared(small_n) - 1
-    limit = large_n - (TIMES * large_n + OF - 1) // OF + 1 + shared
-    return (OF * small_n >= TIMES * large_n) & (small_pos < shortest_prefix(small_n)) & (large_pos < limit)
+    """Whether two texts fit in size and a token is among the places that the first shared ones have, if as many are shared
+    as a Jaccard of TIMES / OF asks for."""
+    missing = least_shared(small_n) - (TIMES * (small_n + large_n) + TIMES + OF - 1) // (TIMES + OF)
+    return (OF * small_n >= TIMES * large_n) & (small_pos < small_n + missing) & (large_pos < large_n + missing)
+
+
+def _slack(i, j, n, sketch):
+    """How much less than a Jaccard of TIMES / OF allows the sketches of rows i and j differ; below 0 it is impossible."""
+    apart = sum(np.bitwise_count(s[i].view(np.uint64) ^ s[j].view(np.uint64)).astype(np.int64) for s in sketch)
+    return (OF - TIMES) * (n[i] + n[j]) - (TIMES + OF) * apart
 
 
 def _alike(i, j, n, sketch):
     """Whether the sketches of rows i and j leave a Jaccard of TIMES / OF possible."""
-    apart = sum(np.bitwise_count(s[i].view(np.uint64) ^ s[j].view(np.uint64)).astype(np.int64) for s in sketch)
-    return (TIMES + OF) * apart <= (OF - TIMES) * (n[i] + n[j])
+    return _slack(i, j, n, sketch) >= 0
 
 
-def _neighbours(token, n, node, pos, *sketch):
-    """Pairs of nodes that are near each other in a random order of those with a crowded token near the start of the text."""
-    on = pos < CHAIN
+def _neighbours(token, n, node, nth, *sketch):
+    """Pairs of nodes that are near each other in a random order of those with a token as one of their first of its crowd."""
+    on = nth <= CHAIN
     token, n, node, sketch = token[on], n[on], node[on], [s[on] for s in sketch]
     mixed = (node ^ token).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), token))
@@ -204,6 +208,35 @@ def _neighbours(token, n, node, pos, *sketch):
         yield node[k], node[k + d]
 
 
+def _others(own_n, own_kind):
+    """(r, rows that fit it in size) for the rows of a token that aren't of its largest class; own_n ascends."""
+    values, counts = np.unique(own_kind, return_counts=True)
+    largest = values[counts.argmax()]  # its members only meet the others
+    for r in np.flatnonzero(own_kind != largest).tolist():
+        a = int(np.searchsorted(own_n, -(-TIMES * own_n[r] // OF)))
+        b = int(np.searchsorted(own_n, OF * own_n[r] // TIMES, side="right"))
+        other = np.arange(a, b)
+        yield r, other[own_kind[other] != own_kind[r]], largest
+
+
+def _nearest(token, n, node, nth, kind, *sketch):
+    """Pairs of a node and the few of other classes whose sketches are nearest, of those with a token as one of their first
+    of its crowd; n ascends in a token. Members of a token's largest class are found by the others."""
+    on = nth <= CHAIN
+    token, n, node, kind, sketch = token[on], n[on], node[on], kind[on], [s[on] for s in sketch]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(token)])
+    for s, m in zip(starts[sizes >= CROWD].tolist(), sizes[sizes >= CROWD].tolist(), strict=True):
+        held = []
+        for r, other, _ in _others(n[s : s + m], kind[s : s + m]):
+            slack = _slack(s + r, s + other, n, sketch)
+            best = np.argsort(-slack, kind="stable")[:NEAREST]
+            held.append((np.full(len(best), node[s + r]), node[s + other[best]], slack[best] >= 0))
+        if held:
+            a, b, ok = map(np.concatenate, zip(*held, strict=True))
+            yield a[ok], b[ok]
+
+
 def _apart(token, n, node, pos, kind, *sketch):
     """(a, b, least): all pairs of nodes of different classes that share a token of their prefixes; n ascends in a token."""
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -227,14 +260,9 @@ def _apart(token, n, node, pos, kind, *sketch):
             break
         yield pairs(i, i + d)
     for s, m in zip(starts[mixed & (sizes > CROWD)].tolist(), sizes[mixed & (sizes > CROWD)].tolist(), strict=True):
-        own_n, own_kind = n[s : s + m], kind[s : s + m]
-        values, counts = np.unique(own_kind, return_counts=True)
-        largest = values[counts.argmax()]  # its members only meet the others
+        own_kind = kind[s : s + m]
         held, rows = [], 0
-        for r in np.flatnonzero(own_kind != largest).tolist():
-            a = int(np.searchsorted(own_n, -(-TIMES * own_n[r] // OF)))
-            b = int(np.searchsorted(own_n, OF * own_n[r] // TIMES, side="right"))
-            other = np.arange(a, b)
+        for r, other, largest in _others(n[s : s + m], own_kind):
             other = other[(own_kind[other] == largest) | (other > r)]
             held.append((s + np.minimum(other, r), s + np.maximum(other, r)))
             rows += len(other)
@@ -249,11 +277,11 @@ def _some(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST else rows
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose Jaccard is TIMES / OF or more. nodes (_no, node) name rows of texts (_no, text)."""
+def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose Jaccard is TIMES / OF or more. firsts (node, _no) name a row of texts (_no, text) each."""
     pairs = written(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = written(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_no").alias("_no")), "asked")
+    asked = written(firsts.join(asked, "node", "left_semi"), "asked")
     found = texts.join(_some(asked, asked.count()), "_no").select("node", "text")
     sets = written(in_python(found, _all_shingles, "key long, codes array<long>"), "shingles")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("codes").alias("y")), "b")
@@ -266,7 +294,8 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     and stays the same when texts are read again. nodes are those of nodes(), written; proposed (a, b) pairs of them that
     another method takes for near copies. Texts without words are one kind."""
     spark = texts.sparkSession
-    sketches = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in SKETCH])
+    distinct = written(nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in ["_no", *SKETCH]]), "distinct")
+    sketches, firsts = distinct.select("node", *SKETCH), distinct.select("node", "_no")
     texts, nodes = texts.select("_no", "text"), nodes.select("_no", "node")
     sample = in_python(texts.where(F.pmod(F.xxhash64("_no"), F.lit(SAMPLE)) == 0), _all_shingles, "key long, codes array<long>")
     counted = sample.select(F.explode("codes").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
@@ -274,17 +303,24 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     common = spark.sparkContext.broadcast(last)
     prefixes = in_python(texts.select("text"), _prefixes(common), "token long, node long, n int, pos int").select("token", "n", "node", "pos")
     in_order = lambda rows: rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    schema = "token long, n long, node long, pos long"
-    shared = in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos"]), schema)
-    shared = written(shared.join(sketches, "node").select("token", "n", "node", "pos", *SKETCH), "shared")
-    near = in_python(in_order(shared), _by_token(_neighbours, ["a", "b"]), "a long, b long")
-    near = near.unionByName(proposed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    links = written(verified(near, texts, nodes), "links")
+    unordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    schema = "token long, n long, node long, pos long, many long"
+    shared = in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos", "many"]), schema)
+    like = Window.partitionBy("node", F.floor(F.log2("many") / 2)).orderBy("token")  # crowds that differ by less than a factor of four
+    nth = F.row_number().over(like).cast("long").alias("nth")
+    shared = written(shared.join(sketches, "node").select("token", "n", "node", "pos", nth, *SKETCH), "shared")
+    near = in_python(in_order(shared.drop("pos")), _by_token(_neighbours, ["a", "b"]), "a long, b long")
+    links = written(verified(unordered(near.unionByName(proposed)), texts, firsts), "links")
+    kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
+    kind = F.coalesce("kind", "node").alias("kind")
+    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "nth", kind, *SKETCH))
+    near = in_python(rows, _by_token(_nearest, ["a", "b"]), "a long, b long")
+    links = written(verified(unordered(near), texts, firsts).unionByName(links), "links")
     kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
-    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", F.coalesce("kind", "node").alias("kind"), *SKETCH))
+    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", kind, *SKETCH))
     apart = in_python(rows, _by_token(_apart, ["a", "b", "least"]), "a long, b long, least long")
     apart = apart.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
-    more = verified(apart, texts, nodes)
+    more = verified(apart, texts, firsts)
     for end in ("a", "b"):
         more = more.join(kinds.select(F.col("node").alias(end), F.col("kind").alias(f"{end}_kind")), end, "left")
     more = written(more.select(F.coalesce("a_kind", "a").alias("a"), F.coalesce("b_kind", "b").alias("b")).distinct(), "links")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontam, hnsw, langid, license, mixing, simhash, tokencount, tokenfile, toxicity, urlfilter
+from citeloom.llm import decontam, hnsw, langid, license, mixing, nearcopies, simhash, tokencount, tokenfile, toxicity, urlfilter
 from citeloom.llm.components import connected_components
 from citeloom.llm.elias_fano import EliasFano
 from citeloom.llm.queries import RULES, tokenizer_path
@@ -127,6 +127,34 @@ def test_keep_one_equals_brute_force(spark, docs):
     assert sorted(kept) == sorted(want)
 
 
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    rng, looked_at = random.Random(3), []
+    base, rows = [f"w{rng.randrange(3000)}" for _ in range(150)], []
+    for i in range(1600):  # about half of them are near to many others, the rest to none
+        w = list(base)
+        for _ in range(min(12, int(rng.expovariate(1 / 3.5)))):
+            w[rng.randrange(150)] += rng.choice("abcdefgh")
+        rows.append((i, " ".join(w)))
+    written = nearcopies.written
+
+    def counting(df, what):
+        got = written(df, what)
+        looked_at.extend([got.count()] if what == "pairs" else [])
+        return got
+
+    monkeypatch.setattr(nearcopies, "written", counting)
+    kept = sorted(r[0] for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert 0 < sum(looked_at) <= 20 * len(rows)
+    sets = [nearcopies.shingles(t) for _, t in rows]
+    places = {x: k for k, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    held = np.zeros((len(sets), len(places)), np.float32)
+    for i, codes in enumerate(sets):
+        held[i, [places[x] for x in codes.tolist()]] = 1
+    same, size = held @ held.T, held.sum(axis=1)
+    near = np.argwhere(5 * same >= 4 * (size[:, None] + size - same))
+    assert kept == sorted(set(classes(range(len(rows)), near.tolist()).values()))
+
+
 def brute_neighbours(rows, queries, k):
     good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
