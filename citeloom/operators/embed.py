@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.workers import with_python_path
 
 DIM = 384
+ROWS = 500  # texts that an embedding function gets at once
 
 
 def fingerprint(backend: str, model: str, dim: int) -> str:
@@ -74,14 +75,14 @@ def _onnx(model: str):
 
 
 def embed(rows: DataFrame, load: Callable, text: str = "text") -> DataFrame:
-    """rows with `embedding`; the function is loaded once a task and gets an Arrow batch of texts at a time."""
+    """rows with `embedding`; the function is loaded once a task and gets ROWS texts at a time, however many an Arrow batch has."""
     columns = [c for c in rows.columns if c != "embedding"]
 
     def run(batches):
         function = None
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             function = function or load()
-            vectors = np.asarray(function(b.column(columns.index(text)).to_pylist()), np.float32) if b.num_rows else np.empty((0, 1), np.float32)
+            vectors = np.asarray(function(b.column(columns.index(text)).to_pylist()), np.float32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, flat], [*columns, "embedding"])
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -152,3 +153,11 @@ def test_embedders(spark):
         pass
     else:
         raise AssertionError
+
+
+def test_embedding_functions_get_few_texts_at_once(spark):
+    df = spark.range(1200, numPartitions=1).selectExpr("id", "string(id) as text")
+    rows = embed.embed(df, lambda: lambda texts: np.array([[len(texts), int(t)] for t in texts])).collect()
+    assert [(r["id"], r["embedding"][1]) for r in rows] == [(i, i) for i in range(1200)]
+    assert max(r["embedding"][0] for r in rows) <= embed.ROWS
+    assert embed.embed(df.limit(0), embed.embedder("hashing")).collect() == []
