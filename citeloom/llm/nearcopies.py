@@ -36,6 +36,7 @@ TIMES, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000  # one text in SAMPLE is sampled; COMMON texts of them make a shingle common
 CROWD, CHAIN = 16, 2  # nodes that crowd a shingle; of a node's shingles of a like crowd, CHAIN are searched for links beforehand
 REACH = 6  # nodes on either side that a node is compared with in a random order
+PART = 512  # nodes of a crowded shingle, about, that are searched by one another beforehand
 NEAREST = 4  # nodes of other classes, by sketches, that a node is compared with after that
 BROADCAST = 200_000
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -189,10 +190,8 @@ def _alike(i, j, n, sketch):
     return _slack(i, j, n, sketch) >= 0
 
 
-def _neighbours(token, n, node, nth, *sketch):
-    """Pairs of nodes that are near each other in a random order of those with a token as one of their first of its crowd."""
-    on = nth <= CHAIN
-    token, n, node, sketch = token[on], n[on], node[on], [s[on] for s in sketch]
+def _neighbours(token, n, node, *sketch):
+    """Pairs of nodes that are near each other in a random order of those of a part of a crowd."""
     mixed = (node ^ token).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), token))
     token, n, node, sketch = token[order], n[order], node[order], [s[order] for s in sketch]
@@ -219,12 +218,10 @@ def _others(own_n, own_kind):
         yield r, other[own_kind[other] != own_kind[r]], largest
 
 
-def _nearest(token, n, node, nth, kind, *sketch):
-    """Pairs of a node and the few of other classes whose sketches are nearest, of those with a token as one of their first
-    of its crowd; n ascends in a token. Members of a token's largest class are found by the others."""
-    on = nth <= CHAIN
-    token, n, node, kind, sketch = token[on], n[on], node[on], kind[on], [s[on] for s in sketch]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+def _nearest(token, n, node, kind, *sketch):
+    """Pairs of a node and the few of other classes whose sketches are nearest, of those of a part of a crowd; n ascends in
+    it. Members of its largest class are found by the others."""
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     for s, m in zip(starts[sizes >= CROWD].tolist(), sizes[sizes >= CROWD].tolist(), strict=True):
         held = []
@@ -306,18 +303,20 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     unordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     schema = "token long, n long, node long, pos long, many long"
     shared = in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos", "many"]), schema)
+    shared = written(shared, "shared")
     like = Window.partitionBy("node", F.floor(F.log2("many") / 2)).orderBy("token")  # crowds that differ by less than a factor of four
-    nth = F.row_number().over(like).cast("long").alias("nth")
-    shared = written(shared.join(sketches, "node").select("token", "n", "node", "pos", nth, *SKETCH), "shared")
-    near = in_python(in_order(shared.drop("pos")), _by_token(_neighbours, ["a", "b"]), "a long, b long")
+    crowds = shared.where(F.col("many") >= CROWD).withColumn("nth", F.row_number().over(like)).where(F.col("nth") <= CHAIN)
+    part = F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / PART))).alias("token")
+    crowds = written(crowds.select(part, "n", "node").join(sketches, "node").select("token", "n", "node", *SKETCH), "crowds")
+    near = in_python(in_order(crowds), _by_token(_neighbours, ["a", "b"]), "a long, b long")
     links = written(verified(unordered(near.unionByName(proposed)), texts, firsts), "links")
     kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
     kind = F.coalesce("kind", "node").alias("kind")
-    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "nth", kind, *SKETCH))
+    rows = in_order(crowds.join(kinds, "node", "left").select("token", "n", "node", kind, *SKETCH))
     near = in_python(rows, _by_token(_nearest, ["a", "b"]), "a long, b long")
     links = written(verified(unordered(near), texts, firsts).unionByName(links), "links")
     kinds = written(connected_components(spark, links).withColumnRenamed("component", "kind"), "kinds")
-    rows = in_order(shared.join(kinds, "node", "left").select("token", "n", "node", "pos", kind, *SKETCH))
+    rows = in_order(shared.join(sketches, "node").join(kinds, "node", "left").select("token", "n", "node", "pos", kind, *SKETCH))
     apart = in_python(rows, _by_token(_apart, ["a", "b", "least"]), "a long, b long, least long")
     apart = apart.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
     more = verified(apart, texts, firsts)
