@@ -36,6 +36,7 @@ TIMES, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000  # one text in SAMPLE is sampled; COMMON texts of them make a shingle common
 CROWD, CHAIN = 16, 2  # nodes that crowd a shingle; of a node's shingles of a like crowd, CHAIN are searched for links beforehand
 REACH = 6  # nodes on either side that a node is compared with in a random order
+LONG, START = 512, 4  # sketches don't tell texts of LONG shingles apart: of these only the rarest START shingles are searched beforehand
 PART = 512  # nodes of a crowded shingle, about, that are searched by one another beforehand
 NEAREST = 4  # nodes of other classes, by sketches, that a node is compared with after that
 BROADCAST = 200_000
@@ -305,7 +306,7 @@ def classes(texts: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFram
     shared = in_python(in_order(prefixes), _by_token(_shared, ["token", "n", "node", "pos", "many"]), schema)
     shared = written(shared, "shared")
     like = Window.partitionBy("node", F.floor(F.log2("many") / 2)).orderBy("token")  # crowds that differ by less than a factor of four
-    crowds = shared.where(F.col("many") >= CROWD).withColumn("nth", F.row_number().over(like)).where(F.col("nth") <= CHAIN)
+    crowds = shared.where((F.col("many") >= CROWD) & ((F.col("n") < LONG) | (F.col("pos") < START))).withColumn("nth", F.row_number().over(like)).where(F.col("nth") <= CHAIN)
     part = F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / PART))).alias("token")
     crowds = written(crowds.select(part, "n", "node").join(sketches, "node").select("token", "n", "node", *SKETCH), "crowds")
     near = in_python(in_order(crowds), _by_token(_neighbours, ["a", "b"]), "a long, b long")
