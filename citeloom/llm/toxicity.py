@@ -11,8 +11,8 @@ words of each toxic text as its positive ones. A text's score comes from its hig
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, pairwise
 from uuid import uuid4
@@ -20,15 +20,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import drawn, held, in_python, parts, sampled, scratch, spread
+from citeloom.llm.shared import drawn, held, in_python, parts, release, sampled, scratch, spread, written
 
 ORDER, DECAY = 3, 0.6
 WINDOW = 16  # longer words are scored by windows of so many characters, half of them new
 LANDMARKS = 256
 FEATURED = 64  # words whose kernel values are made at once
+AT_ONCE = 4096  # words that training makes values of at once
 CHANCE = 1e-5
 POOL = 150_000  # clean words at most that training looks at
 SAMPLE = 3000  # training texts of either class at most
@@ -154,17 +156,18 @@ def table_of(words: list[str]) -> np.ndarray:
     return table
 
 
-def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """A linear machine's weights, the last one its bias: squared hinge loss, by Newton steps."""
-    n = z.shape[1]
+def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float = 4.0, rounds: int = 12) -> np.ndarray:
+    """A linear machine's weights, the last one its bias: squared hinge loss, by Newton steps. blocks: (rows, their label,
+    a weight for each), of which no joint copy is made."""
+    n = blocks[0][0].shape[1]
     w = np.zeros(n + 1)
     for _ in range(rounds):
         h, g = np.eye(n + 1), np.zeros(n + 1)
-        for s in range(0, len(z), 4096):  # a block at a time, so that no second copy of z is made
-            a, t, k = z[s : s + 4096], y[s : s + 4096], c * weight[s : s + 4096]
-            a = np.c_[a[on := t * (a @ w[:-1] + w[-1]) < 1], np.ones(on.sum())].astype(np.float64)
-            h += (a.T * k[on]) @ a
-            g += a.T @ (k[on] * t[on])
+        for z, t, weight in blocks:
+            on = t * (z @ w[:-1] + w[-1]) < 1
+            a, k = np.c_[z[on], np.ones(on.sum())].astype(np.float64), c * weight[on]
+            h += (a.T * k) @ a
+            g += a.T @ (k * t)
         new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             break
@@ -203,62 +206,124 @@ def _apart(marks: list[list[int]]) -> list[int]:
     return kept
 
 
-def fit(sets: list[set[str]], marks: list[list[int]], labels: list[int], rounds: int = 3, seed: int = 7) -> dict:
-    """A model of labelled texts, each by its units() and marks_of(): table (a weight per subsequence), bias, and slope and
-    offset of the logistic curve.
+def _at_once(of, words: list[str], places: np.ndarray) -> list[np.ndarray]:
+    """of(words), for some words at a time."""
+    return [of([words[i] for i in places[s : s + AT_ONCE]]) for s in range(0, max(1, len(places)), AT_ONCE)]
 
-    With texts of one class only, the model gives that class's score to all texts.
-    """
-    if len(set(labels)) < 2:
-        return {"table": np.zeros(32**ORDER, np.float32), "bias": 0.0, "curve": (0.0, 6.0 if 1 in labels else -6.0)}
-    rng = np.random.default_rng(seed)
-    kept = _apart(marks)
-    sets, labels = [sets[i] for i in kept], [labels[i] for i in kept]
-    toxic, clean = [s for s, y in zip(sets, labels, strict=True) if y], [s for s, y in zip(sets, labels, strict=True) if not y]
-    known = sorted(set().union(*clean))
-    fresh = Counter(w for s in toxic for w in s)
-    for w in known:
-        fresh.pop(w, None)
+
+def learned(words: list[str], sets: list[np.ndarray], labels: list[int], rounds: int = 3, seed: int = 7) -> dict:
+    """A model of texts of both classes, each by its units(): their ascending places in words, which are ascending too, so
+    that four bytes stand for each word of a text."""
+    rng, n = np.random.default_rng(seed), len(words)
+    toxic = [s for s, y in zip(sets, labels, strict=True) if y]
+    in_clean, in_toxic = np.zeros(n, bool), np.zeros(n, np.int64)
+    for s, y in zip(sets, labels, strict=True):
+        if y:
+            in_toxic[s] += 1
+        else:
+            in_clean[s] = True
+    count = np.where(in_clean, 0, in_toxic)  # of fresh words, those of toxic texts alone
     # Words that so many toxic texts and no clean one hold that chance is out of question are the first positive ones.
     share = len(toxic) / max(1, len(sets))
     least = max(3, int(np.ceil(np.log(CHANCE) / np.log(max(1e-3, min(share, 0.9))))))
-    sure = sorted(w for w, n in fresh.items() if n >= least) or sorted(w for w, n in fresh.items() if n == max(fresh.values()))
-    explained = [s for s in toxic if s.intersection(sure)]
-    plain = sorted({w for s in explained for w in s if w in fresh} - set(sure))  # the other words of those texts
-    pool = known + plain
+    is_sure = count >= least if (count >= least).any() else (count == count.max(initial=0)) & (count > 0)
+    sure = np.flatnonzero(is_sure)
+    open_texts, is_plain = [], np.zeros(n, bool)  # the other words of the texts that hold a sure one
+    for s in toxic:
+        if is_sure[s].any():
+            is_plain[s] = True
+        else:
+            open_texts.append(s)
+    pool = np.r_[np.flatnonzero(in_clean), np.flatnonzero(is_plain & (count > 0) & ~is_sure)]
     if len(pool) > POOL:
-        pool = [pool[i] for i in np.sort(rng.choice(len(pool), POOL, replace=False))]
-    marked = sure if len(sure) <= LANDMARKS // 2 else np.random.default_rng(seed).choice(sure, LANDMARKS // 2, replace=False).tolist()
-    marks = sorted({*marked, *(pool[i] for i in rng.choice(len(pool), min(len(pool), LANDMARKS // 2), replace=False))}) if pool else sure
-    base = table_of(marks)
+        pool = pool[np.sort(rng.choice(len(pool), POOL, replace=False))]
+    marked = sure if len(sure) <= LANDMARKS // 2 else np.random.default_rng(seed).choice(sure, LANDMARKS // 2, replace=False)
+    landmarks = np.unique(np.r_[marked, pool[rng.choice(len(pool), min(len(pool), LANDMARKS // 2), replace=False)]]) if len(pool) else sure
+    base = table_of([words[i] for i in landmarks])
     values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
     keep = values > 1e-4 * values[-1]
     root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    some = rng.choice(len(pool), min(len(pool), CLEAN_WORDS // 2), replace=False)
-    z_neg, negatives = features([pool[i] for i in some], base) @ root, {pool[i] for i in some}
+
+    def rows(own: list[str]) -> np.ndarray:
+        return features(own, base) @ root
+
+    some = pool[rng.choice(len(pool), min(len(pool), CLEAN_WORDS // 2), replace=False)]
+    clean = _at_once(rows, words, some)
+    negative = np.zeros(n, bool)
+    negative[some] = True
     positive = sure
-    open_texts = [s for s in toxic if not s.intersection(sure)]
     for step in range(rounds):
-        every = positive + _gapped(positive, rng)
-        z_pos = features(every, base) @ root
-        own = np.array([min(50.0, float(fresh[w])) if w in fresh else 2.0 for w in every])
-        w = svm(np.r_[z_neg, z_pos], np.r_[-np.ones(len(z_neg)), np.ones(len(z_pos))], np.r_[np.ones(len(z_neg)), own])
+        every = [words[i] for i in positive]
+        every += _gapped(every, rng)
+        at = [bisect_left(words, w) for w in every]
+        own = np.array([min(50.0, float(count[i])) if i < n and words[i] == w and count[i] else 2.0 for i, w in zip(at, every, strict=True)])
+        w = svm([*((z, -1.0, np.ones(len(z))) for z in clean), (rows(every), 1.0, own)])
         model = {"table": (base @ (root @ w[:-1]).astype(np.float32)).astype(np.float32), "bias": float(w[-1]), "curve": (1.0, 0.0)}
         scorer = Scorer(model)
         if step == rounds - 1:
             break
         # The clean words that score highest are the next negatives; texts without a sure word name their best one.
-        value = scorer.values(pool)
-        hard = [pool[i] for i in np.argsort(-value, kind="stable")[: CLEAN_WORDS // 4] if pool[i] not in negatives]
-        negatives.update(hard)
-        z_neg = np.r_[z_neg, features(hard, base) @ root]
-        best = {max(c, key=lambda x: (scorer.values([x])[0], x)) for s in open_texts if (c := [x for x in s if x in fresh and len(x) > 2])}
-        positive = sorted({*sure, *(x for x in best if scorer.values([x])[0] > 0)})
-    x = np.array([max(scorer.bias, *scorer.values(sorted(own)).tolist()) if own else scorer.bias for own in sets])
+        value = np.concatenate(_at_once(scorer.values, words, pool))
+        hard = pool[np.argsort(-value, kind="stable")[: CLEAN_WORDS // 4]]
+        hard = hard[~negative[hard]]
+        negative[hard] = True
+        clean += _at_once(rows, words, hard)
+        named = [c for s in open_texts if len(c := np.array([i for i in s[count[s] > 0] if len(words[i]) > 2], np.int64))]
+        if named:
+            asked = np.unique(np.concatenate(named))
+            value = np.zeros(n)
+            value[asked] = np.concatenate(_at_once(scorer.values, words, asked))
+            best = np.array([c[np.flatnonzero(value[c] == value[c].max())[-1]] for c in named])
+            positive = np.union1d(sure, best[value[best] > 0])
+    held_words = np.unique(np.concatenate(sets))
+    value = np.full(n, -np.inf)
+    value[held_words] = np.concatenate(_at_once(scorer.values, words, held_words))
+    x = np.array([value[s].max(initial=scorer.bias) for s in sets])
     model["curve"] = _logistic(x, np.array(labels, float))
     return model
 
 
+def numbered(batches: Iterable[pa.RecordBatch]) -> tuple[list[str], list[np.ndarray], list[int]]:
+    """What learned() takes, of (doc_id, digest, toxic, units) in any order: texts in the order of the first three."""
+    keys, lengths, chunks = [], [], []
+    for b in batches:
+        keys.append(np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:3]]))
+        lengths.append(b.column(3).value_lengths().to_numpy().copy())
+        chunks.append(b.column(3).flatten().dictionary_encode())
+    chunks = pa.chunked_array(chunks).unify_dictionaries().chunks
+    order = pc.array_sort_indices(chunks[0].dictionary)  # by UTF-8 bytes, which is the order of code points
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    own = np.split(np.concatenate([rank[c.indices.to_numpy()] for c in chunks]), np.cumsum(np.concatenate(lengths))[:-1])
+    key = np.concatenate(keys, axis=1)
+    first = np.lexsort(key[::-1]).tolist()
+    return chunks[0].dictionary.take(order).to_pylist(), [own[i] for i in first], key[2, first].tolist()
+
+
+def fit(texts: DataFrame, marks: list[list[int]], labels: list[int]) -> dict:
+    """A model of labelled texts (doc_id, digest, toxic, units): table (a weight per subsequence), bias, and slope and
+    offset of the logistic curve. marks_of() the texts and their labels are in the order of the first three columns.
+
+    With texts of one class only, the model gives that class's score to all texts. A task learns from the sample, whose
+    size is bounded; words and kernel values don't come to the driver.
+    """
+    if len(set(labels)) < 2:
+        return {"table": np.zeros(32**ORDER, np.float32), "bias": 0.0, "curve": (0.0, 6.0 if 1 in labels else -6.0)}
+    kept = _apart(marks)
+
+    def run(batches):
+        release()
+        words, sets, known = numbered(batches)
+        model = learned(words, [sets[i] for i in kept], [known[i] for i in kept])
+        yield pa.RecordBatch.from_pylist([{"table": model["table"].tobytes(), "bias": model["bias"], "slope": model["curve"][0], "origin": model["curve"][1]}])
+        del words, sets, model
+        release()
+
+    rows = texts.select("doc_id", "digest", "toxic", "units").repartition(1)
+    row = in_python(rows, run, "table binary, bias double, slope double, origin double").collect()[0]
+    return {"table": np.frombuffer(bytes(row["table"]), np.float32), "bias": row["bias"], "curve": (row["slope"], row["origin"])}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve of y on x, by Newton steps with a small penalty."""
     a = np.c_[x, np.ones(len(x))]
@@ -333,8 +398,8 @@ def trainable(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = 200_000) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, toxic): of either class `sample` texts at most, those whose
     ids have the smallest hashes, and none over `longest` characters. Rows that repeat an id and a text count once, and so do
-    repeated labels, a toxic one first; null labels, ids and texts are left out. Executors cut the texts into units, and the
-    driver gets these alone."""
+    repeated labels, a toxic one first; null labels, ids and texts are left out. Executors cut the texts into units; the
+    driver gets keys and marks_of() the texts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = known.where(trainable(F.col("doc_id")))
     ids = drawn(known.withColumn("h", F.xxhash64("doc_id")), "toxic", ["h"], sample).select("doc_id", "toxic")
@@ -342,19 +407,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(units(t)) for t in texts], schema.field(3).type), pa.array([marks_of(t) for t in texts], schema.field(4).type)], schema=schema)
 
-    one: dict[str, str] = {}  # of equal words a single one is kept
-    found = []
     with scratch(docs.sparkSession):
         rows = sampled(own, ids, ["doc_id"], "toxic", sample)
         rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "toxic", "text")
-        for r in in_python(rows, run, "doc_id long, digest long, toxic int, units array<string>, marks array<long>").toLocalIterator():
-            found.append((r["doc_id"], r["digest"], r["toxic"], {one.setdefault(w, w) for w in r["units"]}, r["marks"]))
-    found.sort(key=lambda r: r[:3])
-    return fit([r[3] for r in found], [r[4] for r in found], [r[2] for r in found])
+        texts = written(in_python(rows, run, "doc_id long, digest long, toxic int, units array<string>, marks array<long>"), "units")
+        keys = sorted(texts.select("doc_id", "digest", "toxic", "marks").collect(), key=lambda r: r[:3])
+        return fit(texts, [r["marks"] for r in keys], [r["toxic"] for r in keys])
 
 
 def shared_model(spark: SparkSession, model: dict):

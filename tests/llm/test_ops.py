@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -672,3 +674,23 @@ def test_toxicity_learns_gapped_insults(spark, sf_dir):
     assert all(0 <= s <= 1 for s in rows.values())
     assert toxicity.keep_civil(frame(spark, [(1, "an idiot"), (2, "the thing"), (3, None)]), model).select("doc_id").collect() == [(2,), (3,)]
     assert toxicity.train(df.limit(0), labels)["curve"]
+
+
+def test_toxicity_training_stays_off_the_driver(spark):
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        model = toxicity.train(df, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model["table"].any() and peak < 8e6  # the landmarks' table alone is over 20 MB
+
+
+def test_toxicity_numbers_stand_for_units():
+    rows = [(7, 1, 0, ["a", "é", "\U0001f600"]), (3, 2, 1, []), (3, 1, 1, ["b", "�"]), (3, 1, 0, ["a", "b"])]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string()))])
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    words, sets, known = toxicity.numbered([whole.slice(0, 1), whole.slice(1, 1), whole.slice(2, 2)])
+    assert words == sorted({w for r in rows for w in r[3]}) and all((np.diff(s) > 0).all() for s in sets)
+    assert [([words[i] for i in s], y) for s, y in zip(sets, known, strict=True)] == [(r[3], r[2]) for r in sorted(rows, key=lambda r: r[:3])]
