@@ -7,19 +7,21 @@ Candidates are Apriori-safe: a phrase is looked at only if its parts can be freq
 exactly. For longer phrases the places whose parts pass are hashed, the hashes' counts are summed, and those that reach
 the least count set bits of a filter of fixed size, which lets every frequent phrase through and some others.
 
-The candidates, dealt into slices by their hashes, become double-array tries over words: a state's edge by a word leads to the state
-base[state] + word if check there names the state. Every place of a block starts at the root and all of them advance
-together, a word a level; the accepting states they reach are counted by bincount, and the counts of all tasks are summed.
+The places of candidates are dealt into slices by the hash of their first two words, each once, with as many words as pass. A
+slice's candidates become double-array tries over words: a state's edge by a word leads to the state base[state] + word if
+check there names the state. Every place of a slice starts at the root and all of them advance together, a word a level; the
+accepting states they reach are counted by bincount. So a place is sent and walked once, however many candidates there are.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,18 +35,20 @@ TOP = 2000
 PER_MILLE = 1_000_000  # the score of a phrase whose parts never stand apart
 COVERED = 50  # a candidate goes if a longer one has that share of its occurrences, of a hundred
 BLOCK_WORDS = 1 << 19
-HELD_WORDS = 1 << 20  # words of all languages that a task holds before it writes blocks
+HELD_WORDS = 1 << 20  # words of all languages that a task holds before it writes blocks, or distinct ones before it sends their counts
 HELD_HASHES = 1 << 20  # that a task counts before it sends them on
-SPLIT_BYTES = 1 << 20  # of a text that are split at once
+SPLIT_BYTES = 1 << 22  # of texts that are split at once
 FILTER_BITS = 26  # places of a filter at most, as a power of two: 8 MB
-SLICE = 1 << 17  # phrases of a trie, about
-AT_ONCE = 1 << 19  # phrases of the tries that are broadcast at once; more are taken in turn
-HELD_PHRASES = 1 << 19  # candidates that a task holds before it sends them on
+SLICE = 1 << 17  # phrases of a slice, about
+SLICE_WORDS = 1 << 22  # words of the corpus to a slice
+AT_ONCE = 1 << 19  # phrases of a trie; where a slice has more, they are taken in turn
+HELD_RUNS = 1 << 20  # places of candidates that a task holds before it sends them on
 RANGE_WORDS = 1 << 20  # words of the corpus to a range of hashes
+WORD_RANGE = 1 << 22  # words of the corpus to a range of distinct words
 BLOCKS_PER_FILE = 8
 ROUNDS = 30  # of 64 places each that are tried for a state's edges, before they go behind all others
 _cut = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
-_BLOCK = "lang string, words array<binary>, places binary"
+_BLOCK = "lang string, words binary, hashes binary, places binary, n long"
 
 
 class _Numbers(dict):
@@ -62,32 +66,45 @@ class _Held:
     """The texts of one language that a task holds."""
 
     def __init__(self):
-        self.numbers, self.arrays, self.size = _Numbers(), [], 0
+        self.numbers, self.arrays, self.size, self.texts, self.bytes = _Numbers(), [], 0, [], 0
 
     def add(self, data: bytes) -> int:
-        """Takes a text, split some bytes at a time, and gives how many places it has."""
-        data, begin, before = data.translate(_cut).replace(b"\n", b" \n "), 0, self.size
+        """Takes a text and gives how many places it has, about."""
+        data = data.translate(_cut)
+        n = data.count(b" ") + data.count(b"\n") + 2
+        self.texts.append(data)
+        self.size += n
+        self.bytes += len(data)
+        if self.bytes >= SPLIT_BYTES:
+            self.number()
+        return n
+
+    def number(self) -> None:
+        """Numbers the words of the texts that wait, split some bytes at a time."""
+        data, begin = b"\n".join([*self.texts, b""]).replace(b"\n", b" \n "), 0
+        self.texts, self.bytes = [], 0
         while begin < len(data):
             end = data.find(b" ", begin + SPLIT_BYTES)
             end = len(data) if end < 0 else end
-            found = data[begin:end].split(b" ")
-            places = np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+            found = pc.split_pattern(pa.array([data[begin:end]], pa.large_binary()), " ").values.dictionary_encode()
+            number = np.array([self.numbers[w] for w in found.dictionary.to_pylist()], np.int32)
+            places = number[found.indices.to_numpy()]
             self.arrays.append(places[places > 0] - 1)
-            self.size += len(self.arrays[-1])
             begin = end
-        self.arrays.append(np.zeros(1, np.int32))
-        self.size += 1
-        return self.size - before
 
     def row(self, lang: str) -> pa.RecordBatch:
+        self.number()
         places = np.concatenate(self.arrays)
         words = list(self.numbers)[2:]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([places.tobytes()], pa.binary())], ["lang", "words", "places"])
+        n = pa.array([np.count_nonzero(places)], pa.int64())
+        packed = [pa.array([x], pa.binary()) for x in (b"\n".join(words), _hash(lang, words).tobytes(), places.tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *packed, n], ["lang", "words", "hashes", "places", "n"])
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks (lang, words, places) of docs (text, lang): places are 0 for the end of a piece or n for words[n - 1]. Null
-    languages are `und`; null texts hold nothing. A text stays in one block."""
+    """Blocks (lang, words, hashes, places, n) of docs (text, lang): distinct words by lines, their hashes, and places, which
+    are 0 for the end of a piece or i for the i-th word; n of them are words. Null languages are `und`; null texts hold
+    nothing. A text stays in one block."""
     rows = spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text")).where(F.col("text").isNotNull()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,23 +124,65 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     return in_python(rows, run, _BLOCK)
 
 
-def _blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), np.frombuffer(b.column(2)[i].as_buffer(), np.int32)
+class _Block(NamedTuple):
+    lang: str
+    words: bytes  # by lines; empty where the column isn't read
+    hashes: np.ndarray
+    places: np.ndarray
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(lang, word, f) of all words."""
+def _blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield _Block(row["lang"], row.get("words", b""), np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["places"], np.int32))
+
+
+def _summed_words(lists: list[tuple[bytes, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some lists of (words by lines, counts), the sums of their counts (up to 2 ** 53), and the number
+    of the distinct word at each place of the lists."""
+    found = pa.concat_arrays([pc.split_pattern(pa.array([w], pa.large_binary()), "\n").values for w, _ in lists]).dictionary_encode()
+    at = found.indices.to_numpy()
+    n = np.bincount(at, np.concatenate([n for _, n in lists]))
+    return found.dictionary, n.astype(np.int64), at
+
+
+def word_counts(blocks: DataFrame, n_words: int) -> DataFrame:
+    """(lang, word, f) of all words. A task sums its own and sends them packed, in ranges of their hashes by n_words; the sums
+    of a range's lists are taken where they meet."""
+    ranges = 64 + n_words // WORD_RANGE
+
+    def sent(lang, lists):
+        words, n, at = _summed_words([x[:2] for x in lists])
+        part = np.zeros(len(n), np.int64)
+        part[at] = np.concatenate([h for *_, h in lists]) % np.uint64(ranges)
+        order = np.argsort(part, kind="stable")
+        found, cuts = np.unique(part[order], return_index=True)
+        ranged = pa.LargeListArray.from_arrays(pa.array(np.r_[cuts, len(order)], pa.int64()), words.take(pa.array(order)))
+        packed = [_squeezed(w.as_py()) for w in pc.binary_join(ranged, pa.scalar(b"\n", pa.large_binary()))]
+        counts = [_planes(own) for own in np.split(n[order], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], ["lang", "r", "words", "n"])
 
     def run(batches):
-        for lang, words, places in _blocks_of(batches):
-            n = np.bincount(places, minlength=len(words) + 1)[1:]
-            for i in range(0, len(words), 50_000):
-                some = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(n[i : i + 50_000], pa.int64())], ["lang", "word", "f"])
+        held: dict[str, list[tuple]] = {}
+        size = 0
+        for b in _blocks_of(batches):
+            if len(b.hashes):
+                held.setdefault(b.lang, []).append((b.words, np.bincount(b.places, minlength=len(b.hashes) + 1)[1:], b.hashes))
+                size += len(b.hashes)
+            if size > HELD_WORDS:
+                most = max(held, key=lambda x: sum(len(h) for *_, h in held[x]))
+                size -= sum(len(h) for *_, h in held[most])
+                yield sent(most, held.pop(most))
+        for lang in sorted(held):
+            yield sent(lang, held[lang])
+
+    def meet(key, rows):
+        lists = zip(rows.column("words").to_pylist(), rows.column("n").to_pylist(), strict=True)
+        words, n, _ = _summed_words([(_opened(w), _values(c, np.int64)) for w, c in lists])
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(n), pa.string()), "word": words.cast(pa.binary()).cast(pa.string()), "f": n})
 
-    return in_python(blocks, run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    sent_lists = in_python(blocks, run, "lang string, r int, words binary, n binary")
+    return sent_lists.groupBy("lang", "r").applyInArrow(meet, "lang string, word string, f long")
 
 
 def _hash(lang: str, words: list[bytes]) -> np.ndarray:
@@ -164,25 +223,29 @@ def _squeezed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
+def _opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers by their bytes, all first bytes, all second ones and so on, compressed."""
     return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
 def _values(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(_opened(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _hashed(lang: str, words: list[bytes], places: np.ndarray, filters: list[Filter]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For runs of 1, 2, .. words, one more than there are filters: the places at which a run stands whose parts pass, and
-    the run's hash. The last of these has not been asked in a filter of its own."""
-    word = np.r_[np.uint64(0), _hash(lang, words)]
+def _hashed(block: _Block, filters: list[Filter], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1, 2, .. most words, one more than there are filters at most: the places at which a run stands whose parts
+    pass, and the run's hash. A run of more words than there are filters has not been asked in a filter of its own."""
+    word, places = np.r_[np.uint64(0), block.hashes], block.places
     passed = np.r_[False, filters[0].holds(word[1:])]
     at = np.flatnonzero(passed[places])
     h = word[places[at]]
     out = [(at, h)]
-    for n in range(2, len(filters) + 2):
+    for n in range(2, most + 1):
         # A run of n words at a place has one of n - 1 there and one at the next place.
         both = np.flatnonzero(np.diff(at) == 1)
         start, joined = at[both], _mixed(h[both], word[places[at[both] + n - 1]])
@@ -216,15 +279,16 @@ def frequent_hashes(blocks: DataFrame, filters: list[Filter], least: int, n_word
 
     def sent(h, n):
         cuts = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[r], cuts[r + 1])
-            steps = np.diff(h[own] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_planes(steps)]), pa.array([_planes(n[own].astype(np.uint32))])], ["r", "steps", "n"])
+        found = np.flatnonzero(np.diff(cuts))
+        lists = [slice(cuts[r], cuts[r + 1]) for r in found.tolist()]
+        steps = [_planes(np.diff(h[own] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(np.uint32)) for own in lists]
+        counts = [_planes(n[own].astype(np.uint32)) for own in lists]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], ["r", "steps", "n"])
 
     def run(batches):
         held, size = [], 0
-        for lang, words, places in _blocks_of(batches):
-            held.append(np.unique(_hashed(lang, words, places, shared.value)[-1][1] & low, return_counts=True))
+        for b in _blocks_of(batches):
+            held.append(np.unique(_hashed(b, shared.value, len(shared.value) + 1)[-1][1] & low, return_counts=True))
             size += len(held[-1][0])
             if size > HELD_HASHES:
                 held = [_summed(held)]
@@ -239,7 +303,7 @@ def frequent_hashes(blocks: DataFrame, filters: list[Filter], least: int, n_word
         h, n = _summed(lists)
         return pa.table({"h": (h[n >= least] + (np.uint64(key[0].as_py()) << np.uint64(32))).view(np.int64)})
 
-    return in_python(blocks, run, "r int, steps binary, n binary").groupBy("r").applyInArrow(meet, "h long")
+    return in_python(blocks.select("lang", "hashes", "places"), run, "r int, steps binary, n binary").groupBy("r").applyInArrow(meet, "h long")
 
 
 def _summed(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,41 +317,68 @@ def _summed(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[first], np.add.reduceat(n[order], first)
 
 
-def candidates(blocks: DataFrame, filters: list[Filter], slices: int) -> DataFrame:
-    """(lang, slice, n, phrases, trie): all runs of two words or more that pass the filters, each once, in slices by their
-    hashes. A task sends the distinct ones of its blocks as sorted lists, which meet by slice, where the trie is made."""
+def _distinct(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns of whole numbers from 0 on, in order, and the sums of their counts."""
+    if not len(n):
+        return columns, n
+    key, span = columns[0].astype(np.int64), int(columns[0].max()) + 1
+    for c in columns[1:]:
+        own = int(c.max()) + 1
+        if span * own >= 1 << 63:  # too many for a number: what is there is numbered anew
+            known, key = np.unique(key, return_inverse=True)
+            span = len(known)
+        key, span = key * own + c, span * own
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
+
+
+def dealt_runs(blocks: DataFrame, filters: list[Filter], slices: int) -> DataFrame:
+    """(lang, slice, words, runs, n): the places at which a run of two words or more passes the filters, in slices by the
+    hash of its first two words. Of a place the longest run is sent; equal ones of a task are sent once, with their number.
+    runs are columns, one a word, of numbers: 0 for nothing or i for words[i - 1]."""
     shared = blocks.sparkSession.sparkContext.broadcast(filters)
-
-    def sent(held):
-        for (lang, part), own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([_squeezed(b"\n".join(sorted(own)))])], ["lang", "slice", "phrases"])
+    most = len(filters)
+
+    def sent(lang, known, columns, n):
+        words, part, runs = list(known), columns[0], np.stack(columns[1:])
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+        rows = []
+        for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            used, local = np.unique(np.r_[0, runs[:, i:j].ravel()], return_inverse=True)
+            rows.append((lang, int(part[i]), _squeezed(b"\n".join([words[w - 1] for w in used[1:].tolist()])), _planes(local[1:].astype(np.uint32)), _planes(n[i:j].astype(np.uint32))))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "slice", "words", "runs", "n"])
 
     def run(batches):
-        held: dict[tuple[str, int], set[bytes]] = {}
-        size = 0
-        for lang, words, places in _blocks_of(batches):
-            for n, (at, h) in enumerate(_hashed(lang, words, places, shared.value)[1 : len(filters)], 2):
-                own = places[at[:, None] + np.arange(n)] - 1
-                # One place of each run: equal hashes of unlike runs are told apart by their words.
-                order = np.lexsort((*own.T[::-1], h))
-                new = order[np.r_[True, (own[order][1:] != own[order][:-1]).any(axis=1)]] if len(order) else order
-                part = (h[new] >> np.uint64(40)) % np.uint64(slices)
-                for p, w in zip(part.tolist(), own[new].tolist(), strict=True):
-                    held.setdefault((lang, p), set()).add(b" ".join([words[j] for j in w]))
-            size = sum(map(len, held.values()))
-            if size > HELD_PHRASES:
-                yield from sent(held)
-                held.clear()
-        yield from sent(held)
-
-    def meet(key, rows):
-        lists = (zstandard.ZstdDecompressor().decompress(p).split(b"\n") for p in rows.column("phrases").to_pylist())
-        phrases = sorted(set().union(*lists))
-        packed = _squeezed(b"\n".join(phrases))
-        return pa.table({"lang": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(phrases)], pa.int32()), "phrases": [packed], "trie": pa.array([pickle.dumps(trie_of(phrases))], pa.binary())})
+        held: dict[str, tuple[dict[bytes, int], list[list[np.ndarray]]]] = {}
+
+        def all_of(lang):
+            known, lists = held.pop(lang)
+            *columns, n = (np.concatenate(x) for x in zip(*lists, strict=True))
+            return sent(lang, known, *_distinct(columns, n))
+
+        for b in _blocks_of(batches):
+            (at, h), *longer = _hashed(b, shared.value, most)[1:]
+            if not len(at):
+                continue
+            columns = [b.places[at], b.places[at + 1]]
+            for k, (start, _) in enumerate(longer, 2):
+                columns.append(np.zeros(len(at), np.int32))
+                columns[-1][np.searchsorted(at, start)] = b.places[start + k]
+            known, lists = held.setdefault(b.lang, ({}, []))
+            words, number = b.words.split(b"\n"), np.zeros(len(b.hashes) + 1, np.int32)
+            number[columns[0]] = number[columns[1]] = 1
+            used = np.flatnonzero(number)
+            number[used] = [known.setdefault(words[w - 1], len(known) + 1) for w in used.tolist()]
+            lists.append([((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int32), *(number[c] for c in columns), np.ones(len(at), np.int64)])
+            if sum(len(x[0]) for _, own in held.values() for x in own) > HELD_RUNS:
+                yield all_of(max(held, key=lambda x: sum(len(own[0]) for own in held[x][1])))
+        for lang in sorted(held):
+            yield all_of(lang)
 
-    sent_lists = in_python(blocks, run, "lang string, slice int, phrases binary")
-    return sent_lists.groupBy("lang", "slice").applyInArrow(meet, "lang string, slice int, n int, phrases binary, trie binary")
+    return in_python(blocks, run, "lang string, slice int, words binary, runs binary, n binary")
 
 
 @dataclass
@@ -300,21 +391,23 @@ class Trie:
     accept: np.ndarray  # a state's phrase, by its number, or -1
     phrases: int
 
-    def counts(self, number: np.ndarray) -> np.ndarray:
-        """How often each phrase stands in an array of word numbers, 0 for other words and the ends of pieces."""
-        at = np.flatnonzero(number)
+    def counts(self, number: np.ndarray, at: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """How often each phrase stands in an array of word numbers, 0 for other words and the ends of pieces: at all its
+        places, or at some (distinct or not), each as often as times has it (in all up to 2 ** 53)."""
+        at = np.flatnonzero(number) if at is None else at
+        times = np.ones(len(at)) if times is None else times.astype(np.float64)
         state = number[at].astype(np.int64)
         total = np.zeros(self.phrases, np.int64)
         while len(at):
             own = self.accept[state]
-            total += np.bincount(own[own >= 0], minlength=self.phrases)
+            total += np.bincount(own[own >= 0], times[own >= 0], self.phrases).astype(np.int64)
             deeper = (self.base[state] != 0) & (at + 1 < len(number))
-            at, state = at[deeper] + 1, state[deeper]
+            at, state, times = at[deeper] + 1, state[deeper], times[deeper]
             symbol = number[at]
             reached = self.base[state] + symbol
             on = (symbol > 0) & (reached > 0) & (reached < len(self.check))
             on[on] = self.check[reached[on]] == state[on]
-            at, state = at[on], reached[on].astype(np.int64)
+            at, state, times = at[on], reached[on].astype(np.int64), times[on]
         return total
 
 
@@ -391,59 +484,38 @@ def trie_of(phrases: list[bytes]) -> Trie:
     return Trie(words, base, check, accept, len(phrases))
 
 
-def trie_counts(blocks: DataFrame, shared) -> DataFrame:
-    """(lang, slice, counts) of some tries, broadcast as (lang, slice, trie): a task's counts of all phrases of a slice."""
+def counted(runs: DataFrame, least: int = LEAST, at_once: int = AT_ONCE) -> DataFrame:
+    """(lang, phrase, a): the exact occurrences of the candidates of dealt runs that stand `least` times. A slice has all
+    places of its candidates, whose tries hold up to at_once phrases; where there are more, in turn."""
 
-    def run(batches):
-        total: dict[tuple[str, int], np.ndarray] = {}
-        opened: tuple = (None, None, {})
-        for lang, words, places in _blocks_of(batches):
-            for own, part, packed in shared.value:
-                if own != lang:
-                    continue
-                if opened[0] != (own, part):
-                    trie = pickle.loads(packed)
-                    opened = ((own, part), trie, {w: i for i, w in enumerate(trie.words, 1)})
-                _, trie, number = opened
-                of_word = np.fromiter((number.get(w, 0) for w in words), np.int32, len(words))
-                n = trie.counts(np.r_[np.int32(0), of_word][places])
-                total[(lang, part)] = total.get((lang, part), 0) + n
-        for (lang, part), n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([_planes(n)])], ["lang", "slice", "counts"])
-
-    return in_python(blocks, run, "lang string, slice int, counts binary")
-
-
-def counted(blocks: DataFrame, known: DataFrame, least: int = LEAST, at_once: int = AT_ONCE) -> DataFrame:
-    """(lang, phrase, a): the exact occurrences of the candidates of known (a written table) that stand `least` times. Tries
-    are broadcast together up to at_once phrases; where there are more, in turn. The counts of all tasks meet by slice."""
-    spark = blocks.sparkSession
-    groups: list[list] = []
-    size = 0
-    for lang, part, n in sorted(tuple(r) for r in known.select("lang", "slice", "n").toLocalIterator()):
-        if not groups or size + n > at_once:
-            groups.append([])
-            size = 0
-        groups[-1].append((lang, part))
-        size += n
-
-    def meet(key, own, counts):
-        n = sum(_values(c, np.int64) for c in counts.column("counts").to_pylist())
-        if not counts.num_rows or not own.num_rows:
-            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "a": pa.array([], pa.int64())})
-        phrases = zstandard.ZstdDecompressor().decompress(own.column("phrases")[0].as_py()).split(b"\n")
-        some = np.flatnonzero(n >= least)
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": pa.array([phrases[i] for i in some.tolist()], pa.binary()).cast(pa.string()), "a": n[some]})
-
-    found = spark.createDataFrame([], "lang string, phrase string, a long")
-    for group in groups:
-        some = known.join(F.broadcast(spark.createDataFrame(group, "lang string, slice int")), ["lang", "slice"])
-        shared = spark.sparkContext.broadcast([tuple(r) for r in some.select("lang", "slice", "trie").collect()])
-        counts = trie_counts(blocks, shared).groupBy("lang", "slice")
-        met = some.select("lang", "slice", "phrases").groupBy("lang", "slice").cogroup(counts).applyInArrow(meet, "lang string, phrase string, a long")
-        found = found.unionByName(written(met, "counted"))
-        shared.destroy()
-    return found
+    def meet(key, rows):
+        number: dict[bytes, int] = {}
+        lists = []
+        for words, codes, n in zip(rows.column("words").to_pylist(), rows.column("runs").to_pylist(), rows.column("n").to_pylist(), strict=True):
+            own = np.array([0, *(number.setdefault(w, len(number) + 1) for w in _opened(words).split(b"\n"))], np.int32)
+            times = _values(n, np.uint32)
+            lists.append((own[_values(codes, np.uint32)].reshape(-1, len(times)), times))
+        places, times = (np.concatenate(x, axis=-1) for x in zip(*lists, strict=True))
+        words = list(number)
+        phrases = []
+        longest = _distinct(list(places), times)[0]
+        for n in range(2, len(longest) + 1):
+            some = longest[n - 1] > 0
+            own = np.stack(_distinct([c[some] for c in longest[:n]], np.ones(np.count_nonzero(some), np.int64))[0], axis=1) - 1
+            phrases += [b" ".join([words[i] for i in w]) for w in own.tolist()]
+        a = np.zeros(len(phrases), np.int64)
+        for i in range(0, len(phrases), at_once):
+            trie = trie_of(phrases[i : i + at_once])
+            symbol = np.zeros(len(words) + 1, np.int32)
+            symbol[[number[w] for w in trie.words]] = np.arange(1, len(trie.words) + 1)
+            symbols = np.zeros((places.shape[1], len(places) + 1), np.int32)  # a row a place, with an end
+            symbols[:, :-1] = symbol[places.T]
+            begin = np.flatnonzero(symbols[:, 0])
+            a[i : i + at_once] = trie.counts(symbols.ravel(), begin * symbols.shape[1], times[begin])
+        some = np.flatnonzero(a >= least)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": pa.array([phrases[i] for i in some.tolist()], pa.binary()).cast(pa.string()), "a": a[some]})
+
+    return runs.groupBy("lang", "slice").applyInArrow(meet, "lang string, phrase string, a long")
 
 
 def _words(phrase: Column) -> Column:
@@ -465,20 +537,24 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
     rows count as often as they come; further columns are not read; an empty table gives no rows.
 
     Counts are exact: a hash lets too many candidates through, never too few. Whatever is broadcast has a bound: filters
-    of a fixed size and tries of at_once phrases, or of one slice of some slice_size.
+    of a fixed size. A place is sent and walked once: slices grow in number, by slice_size phrases and by the words of the
+    corpus, not in size, and a trie holds at_once phrases at most.
     """
     with scratch(docs.sparkSession, "words", "counted"):
         blocks = written_blocks(word_blocks(docs))
-        words = written(word_counts(blocks), "words")
-        n = words.agg(F.sum("f")).first()[0] or 1
+        n = blocks.agg(F.sum("n")).first()[0] or 1
+        words = written(word_counts(blocks, n), "words")
         bits = min(bits, max(15, n.bit_length() + 3))  # eight places a word, so that few phrases pass by chance
         filters, passed = [_word_filter(words.where(F.col("f") >= least), bits)], 0
         for _ in range(2, most_words + 1):
             often = written(frequent_hashes(blocks, filters, least, n), "hashes")
             filters.append(filter_of(often, bits))
             passed += often.count()
-        known = written(candidates(blocks, filters, 1 + passed // slice_size), "candidates")
-        found = counted(blocks, known, least, at_once)
+        if most_words > 1:
+            runs = dealt_runs(blocks, filters, 1 + max(passed // slice_size, n // SLICE_WORDS))
+            found = written(counted(runs, least, at_once), "counted")
+        else:
+            found = docs.sparkSession.createDataFrame([], "lang string, phrase string, a long")
     return ranked(found, words, least, top, covered)
 
 

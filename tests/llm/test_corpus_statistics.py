@@ -86,6 +86,30 @@ def test_large_counts_are_exact(spark):
     assert row["score"] == 1_000_000 * 30_000_000_000_007**2 // (40_000_000_000_001 * 30_000_000_000_011)
 
 
+def test_more_tries_take_no_more_jobs(spark, spoken):
+    docs = spark.createDataFrame(spoken, "text string, lang string").repartition(3)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for at_once in (1 << 20, 30):
+        spark.sparkContext.setJobGroup(f"tries of {at_once}", "collocations")
+        collocations.collocations(docs, slice_size=30, at_once=at_once).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"tries of {at_once}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0]
+
+
+def test_runs_that_are_held_in_parts_are_counted_whole(spark, spoken, monkeypatch):
+    for name, size in (("BLOCK_WORDS", 500), ("HELD_RUNS", 400), ("HELD_WORDS", 600), ("SPLIT_BYTES", 1000)):
+        monkeypatch.setattr(collocations, name, size)
+    got = collocations.collocations(spark.createDataFrame(spoken, "text string, lang string").repartition(3), 4).collect()
+    assert sorted(map(tuple, got)) == brute_collocations(spoken, 4)
+
+
+def test_distinct_rows_of_large_numbers():
+    rows = [(1, 2**31 - 1, 2**31 - 2, 7), (1, 2**31 - 1, 2**31 - 2, 7), (0, 5, 0, 2**31 - 1), (0, 5, 1, 0), (1, 2**31 - 1, 2**31 - 3, 7)]
+    columns, n = collocations._distinct([np.array(c) for c in zip(*rows, strict=True)], np.array([1, 2, 4, 8, 16]))
+    assert list(zip(*(c.tolist() for c in columns), n.tolist(), strict=True)) == [(0, 5, 0, 2**31 - 1, 4), (0, 5, 1, 0, 8), (1, 2**31 - 1, 2**31 - 3, 7, 16), (1, 2**31 - 1, 2**31 - 2, 7, 3)]
+
+
 def test_tries_count_all_places():
     rng = random.Random(2)
     words = [b"v%d" % i for i in range(50)]
