@@ -54,8 +54,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOC
             if names:
                 yield pa.RecordBatch.from_pylist([{"kind": "names", "part": part, "first": nth, "docs": names}], schema)
             nth += len(names)
-            for text in b.column(1).to_pylist():
-                ids = encoder.ids(text)
+            for ids in encoder.each(b.column(1)):
                 held += (ids, end)
                 size += len(ids) + width
                 if size >= width * block_ids:

@@ -30,16 +30,15 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 SPREAD = 1 << 61  # doc_ids of a block lie within so many of its first
 SELECTED = 4096  # documents that a reader selects at a time
-MEMO_WORDS = 600_000  # a cache's bound, about 100 MB; what is beyond it is encoded again
+MEMO_UNITS = 600_000  # a cache's bound, about 100 MB; what is beyond it is encoded again
+MEMO_LENGTH = 100  # longer units aren't kept
+CHUNK_BYTES = 4 << 20  # of texts that are cut at a time; a longer text is one chunk
 FILE_SCHEMA = (
     "part int, block int, n_docs int, n_null int, n_ids long, id_bytes int, ids binary, doc_base long, doc_last long, "
     + ", ".join(f"{x}_width int, {x}_low binary, {x}_high binary, {x}_samples binary" for x in ("end", "doc"))
 )
 
-# Unicode White_Space, which ends a word for the tokenizer's splitter.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_words = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-#: Characters whose class is the same for Python and the tokenizer; a word with others is encoded by the tokenizer as a whole.
+#: Characters whose class is the same for Python and the tokenizer; a unit with others is encoded by the tokenizer as a whole.
 _plain = re.compile("[\t\n\x0b\x0c\r !-;=-~À-ÖØ-öø-ſ]*").fullmatch
 _pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
@@ -51,42 +50,69 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of a piece that byte-level BPE never splits further, by the tokenizer's model."""
-
-    def __init__(self, model, kind: str):
-        self.model, self.kind, self.letters = model, kind, _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = array.array(self.kind, [t.id for t in tokens]).tobytes()
-        if len(self) < MEMO_WORDS // 2:
-            self[piece] = ids
-        return ids
+OTHER, WHITE, WORD, MARK, TAIL = range(5)
+# Classes of bytes. An apostrophe may begin a piece with the letters behind it, and <, | and > an added token: OTHER.
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[list(b"\t\n\x0b\x0c\r ")] = WHITE
+_CLASS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = WORD
+_CLASS[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = MARK
+_CLASS[0x80:0xC0] = TAIL  # the later bytes of a character
+_CUT = np.zeros((8, 8), bool)  # whether a unit ends between bytes of two classes
+_CUT[[OTHER, WORD, MARK, TAIL], WHITE] = _CUT[[WORD, TAIL], MARK] = _CUT[MARK, WORD] = True
+_CUT = _CUT.ravel()
+# The last two bytes of the white space beyond ASCII (Unicode White_Space) are among these.
+_WIDE = np.zeros((256, 256), bool)
+_WIDE[np.ix_([0xC2, 0x80, 0x81, 0x9A], [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])] = True
+_LATIN = np.zeros((256, 256), bool)  # letters from À to ÿ
+_LATIN[0xC3, [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+
+
+def units(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin, which lie one after another in data (UTF-8) and begin at starts.
+
+    A unit's ids don't depend on its neighbours: it ends where a text does, ahead of white space that follows a character
+    other than white space, and between letters or digits and marks, each of ASCII (letters before marks: from À to ÿ too).
+    """
+    kind = _CLASS[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _CUT[kind[:-1] << 3 | kind[1:]]
+    unsure = np.flatnonzero(cut[1:] & (kind[:-1] == TAIL)) + 1  # what stands there is told by a character's last two bytes
+    ends = data[unsure - 2], data[unsure - 1]
+    cut[unsure] = np.where(kind[unsure] == WHITE, ~_WIDE[ends], _LATIN[ends])
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
-class _Words(dict):
-    """Ids of a word with the white space before it; a word's ids don't depend on its neighbours."""
+class _Units(dict):
+    """Ids of a unit, or of a piece of one that byte-level BPE never splits further, by the tokenizer's model."""
 
     def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind = tokenizer, kind
-        self.piece = _Pieces(tokenizer.model, kind).__getitem__
-
-    def __missing__(self, word: str) -> bytes:
-        if _plain(word):
-            ids = b"".join(map(self.piece, _pieces(word)))
+        self.tokenizer, self.kind, self.letters = tokenizer, kind, _byte_letters()
+        self.model = tokenizer.model
+
+    def __missing__(self, unit: str) -> bytes:
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isascii() and word.isalpha():
+            ids = self._of_piece(unit.replace(" ", self.letters[0x20]))
+        elif not _plain(unit):
+            ids = array.array(self.kind, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        elif len(pieces := _pieces(unit)) > 1:
+            ids = b"".join(map(self.__getitem__, pieces))
         else:
-            ids = array.array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) < MEMO_WORDS:
-            self[word] = ids
+            ids = self._of_piece(unit.encode().decode("latin-1").translate(self.letters))
+        if len(unit) <= MEMO_LENGTH and len(self) < MEMO_UNITS:
+            self[unit] = ids
         return ids
 
+    def _of_piece(self, written: str) -> bytes:
+        return array.array(self.kind, [t.id for t in self.model.tokenize(written)]).tobytes()
+
 
 class Encoder:
-    """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian bytes, words memoised.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian bytes, units memoised.
 
     The ids equal those of encode(text, add_special_tokens=False). Only files whose splitter is the plain byte-level
-    one take the way through words; any other is asked for whole texts.
+    one, and whose added tokens stand within a unit, take the way through units; any other is asked for whole texts.
     """
 
     def __init__(self, path: str):
@@ -97,20 +123,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4  # the largest integer stays free
         self.kind = {2: "H", 4: "I"}[self.id_bytes]
-        by_word = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
-        self.word = _Words(self.tokenizer, self.kind).__getitem__ if by_word else None
+        plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
+        by_unit = plain and all(map(self._stays_whole, self.tokenizer.get_added_tokens_decoder().values()))
+        self.unit = _Units(self.tokenizer, self.kind).__getitem__ if by_unit else None
+
+    @staticmethod
+    def _stays_whole(token) -> bool:
+        """Whether an added token is found in the unit that holds it, as in the whole text."""
+        one = len(units(np.frombuffer(token.content.encode(), np.uint8), np.zeros(1, np.int64))) == 1
+        return one and not (_plain(token.content) or token.rstrip or token.single_word)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One per process, so that what one task memoised serves the next."""
         return held("encoder", path, lambda: cls(path))
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.word:
-            return b"".join(map(self.word, _words(text)))
-        return array.array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each of texts (string; null as empty), of which so many are cut to units at a time as are CHUNK_BYTES
+        long. Equal units of a chunk are looked up once, and Arrow puts their ids in the order of the texts."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.unit:
+            for text in texts:
+                yield array.array(self.kind, self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids).tobytes()
+            return
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        first = 0
+        while first < len(texts):
+            end = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1)
+            yield from self._chunk(texts.buffers()[2], at[first : end + 1])
+            first = end
+
+    def _chunk(self, buffer: pa.Buffer, at: np.ndarray) -> Iterator[bytes]:
+        """The ids of the texts between the places `at` of buffer."""
+        size = int(at[-1] - at[0])
+        if not size:
+            yield from [b""] * (len(at) - 1)
+            return
+        data = buffer.slice(int(at[0]), size)
+        begins = units(np.frombuffer(data, np.uint8), at[:-1] - at[0])
+        coded = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.r_[begins, size]), data).dictionary_encode()
+        ids = pa.array(list(map(self.unit, coded.dictionary.to_pylist())), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(begins, at - at[0])].tolist()
+        run = memoryview(ids.buffers()[2])
+        for s, e in pairwise(ends):
+            yield bytes(run[s:e])
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,8 +202,8 @@ def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: in
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in FILE_SCHEMA.split(", "))])
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = encoder.ids(text) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.each(b.column(1)), strict=True):
+                own = ids + end
                 first = doc_id if not docs or docs[-1] is None else first
                 if docs and doc_id is not None and doc_id - first >= SPREAD:
                     yield flush()

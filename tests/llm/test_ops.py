@@ -273,6 +273,39 @@ def test_tokens_round_trip(spark, docs):
     assert all(list(r["ids"]) in texts[r["doc_id"]] for r in some)
 
 
+def test_equal_units_of_a_column_are_looked_up_once():
+    encoder, asked = tokenfile.Encoder(tokenizer_path()), Counter()
+    unit = encoder.unit
+    encoder.unit = lambda u: (asked.update([u]), unit(u))[1]
+    texts = ["the cat, the dog. the cat", None, "", "\nthe (dog) été."] * 300
+    got = list(encoder.each(pa.array(["cut off", *texts])[1:]))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked == Counter(["the", " cat", ",", " the", " dog", ".", "\nthe", " (", "dog", ")", " été"])
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 4 << 20])
+def test_units_are_encoded_as_in_whole_texts(monkeypatch, chunk):
+    monkeypatch.setattr(tokenfile, "CHUNK_BYTES", chunk)
+    encoder, rng = tokenfile.Encoder(tokenizer_path()), np.random.default_rng(4)
+    some = [*" \n\t\x1c\x85\xa0\u2003\u3000abst1é×ßĀ½Ⅷ٣\u0301日🎉.,!-_<|>()»—'\x00", "  ", "\r\n", "<|endoftext|>", "'s", "'ll", "%%%", "word"]
+    texts = HARD + ["".join(rng.choice(some, n)) for n in rng.integers(0, 12, 5000)]
+    for column in (texts, texts[:1], []):
+        got = [np.frombuffer(g, "<u2").tolist() for g in encoder.each(pa.array(column, pa.string()))]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in column]
+
+
+def test_added_tokens_that_a_cut_would_part_are_found(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for i, token in enumerate((AddedToken("a.b"), AddedToken("[x]"), AddedToken("<two words>"), AddedToken("<r>", rstrip=True), AddedToken("<w>", single_word=True))):
+        tokenizer, path = Tokenizer.from_file(tokenizer_path()), str(tmp_path / f"{i}.json")
+        tokenizer.add_special_tokens([token])
+        tokenizer.save(path)
+        texts = [f"see {token.content}, x{token.content} y", f"{token.content}  {token.content}s", None, ""]
+        got = [np.frombuffer(g, "<u2").tolist() for g in tokenfile.Encoder(path).each(pa.array(texts))]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_a_doc_id_of_many_rows_is_dealt(spark):
     rows = spark.range(4000).selectExpr("if(id % 3 > 0, null, id) AS doc_id", "concat('text ', id % 900) AS text")
     parts = tokenfile.in_order(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()
